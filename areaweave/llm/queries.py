@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweave.llm import bpe
-from areaweave.llm._common import documents
+from areaweave.llm import bpe, langid, quality, secrets, winnow
+from areaweave.llm._common import documents, text_or_empty
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,6 +16,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of every document with a model learnt from three quarters of the ids."""
+    docs = documents(spark, sf_dir)
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    pieces = langid.read_pieces(tokenizer_path("piece_bpe_32k.model"))
+    langs, table = langid.fit(docs.where(~held_out), pieces)
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), pieces, langs, table, keep=["doc_id", "held_out"])
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probability and decision for every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, quality.grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.score(docs, model).select("doc_id", "expected_grade", "p_top", "keep")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of documents; digests of ids and decoded text."""
     made = bpe.encode(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), keep=["doc_id"])
@@ -27,8 +44,40 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint every document and its edited text; likeness to the edited text and to the next document."""
+    docs = documents(spark, sf_dir).select("doc_id", text_or_empty().alias("text"))
+    rows = winnow.with_next(winnow.fingerprint(docs, "text", "fp"), "doc_id", ["text", "fp"], ["text"])
+    rows = rows.withColumn("edited", winnow.edited(F.col("text"), F.col("next_text"))).drop("next_text")
+    rows = winnow.fingerprint(rows, "edited", "efp")
+    rows = rows.withColumn("own", winnow.hashes(F.col("fp")))
+    nothing = F.array().cast("array<bigint>")
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        winnow.printed(F.col("fp")).alias("fingerprint"),
+        winnow.printed(F.col("efp")).alias("edited_fingerprint"),
+        winnow.likeness(F.col("own"), winnow.hashes(F.col("efp"))).alias("near_edited"),
+        winnow.likeness(F.col("own"), winnow.hashes(F.coalesce("next_fp", nothing))).alias("near_next"),
+    )
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document: counts and digest of the strong ones, and all spans."""
+    rows = secrets.find(documents(spark, sf_dir), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    strong = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return rows.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.printed(strong).cast("binary"), 256).alias("base_sha256"),
+        secrets.printed(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe}
+    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op6_winnow": op6_winnow, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
