@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweave.llm import bpe, langid, quality, secrets, winnow
+from areaweave.llm import bpe, decontam, langid, quality, secrets, urlrules, winnow
 from areaweave.llm._common import documents, text_or_empty
 
 
@@ -44,6 +44,22 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that leaks a benchmark item, with the item."""
+    return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "item_id")
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page URL by the fixed rules, else by rules mined from pages that carry a label.
+
+    A page is labelled by the row of labels of the same id: blocked if that is of low quality or toxic.
+    """
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    labelled = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", "blocked")
+    return urlrules.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint every document and its edited text; likeness to the edited text and to the next document."""
     docs = documents(spark, sf_dir).select("doc_id", text_or_empty().alias("text"))
@@ -77,7 +93,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op6_winnow": op6_winnow, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op6_winnow": op6_winnow, "op7_urls": op7_urls, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
