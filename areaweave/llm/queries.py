@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweave.llm import bpe, decontam, langid, quality, secrets, urlrules, winnow
+from areaweave.llm import bpe, decontam, jaccard, langid, quality, secrets, urlrules, winnow
 from areaweave.llm._common import documents, text_or_empty
 
 
@@ -92,8 +92,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op6_winnow": op6_winnow, "op7_urls": op7_urls, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op6_winnow": op6_winnow, "op7_urls": op7_urls, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
