@@ -20,7 +20,10 @@ from areaweave.llm.jaccard import text_bytes
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 6 << 20
 SCHEMA = "block long, ids array<long>, sizes array<int>, n_bytes long, body binary"
-_CODEC = "zstd"
+
+
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=5)
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -30,7 +33,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_B
         for whole in batches:
             for part in slices(whole, "text", block_bytes):
                 raw, offsets = text_bytes(part.column(1))
-                body = pa.compress(raw.tobytes(), codec=_CODEC, asbytes=True)
+                body = _codec().compress(raw.tobytes(), asbytes=True)
                 sizes = np.diff(offsets).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -51,7 +54,7 @@ def unpack(batch: pa.RecordBatch, i: int) -> tuple[int, list, np.ndarray, np.nda
     """Block number, ids, bytes and row offsets of row ``i`` of a batch with the block columns."""
     col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
     n = col["n_bytes"][i].as_py()
-    raw = np.frombuffer(pa.decompress(col["body"][i].as_buffer(), n, codec=_CODEC), np.uint8) if n else np.zeros(0, np.uint8)
+    raw = np.frombuffer(_codec().decompress(col["body"][i].as_buffer(), n), np.uint8) if n else np.zeros(0, np.uint8)
     sizes = np.array(col["sizes"][i].as_py(), np.int64)
     return col["block"][i].as_py(), col["ids"][i].as_py(), raw, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 

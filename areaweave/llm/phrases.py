@@ -83,19 +83,45 @@ def decode(data: bytes, n: int) -> np.ndarray:
     return (high.astype(np.uint64) << np.uint64(40)) | low.view("<u8").ravel()
 
 
+#: What a block sends to the shards.
+SENT = "shard int, block long, n int, hashes binary, twice binary"
+
+
+def to_shards(block: int, hashes: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The distinct hashes of a block, sorted, a row for each shard, with marks on those it holds twice."""
+    values, counts = np.unique(hashes, return_counts=True)
+    shard = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+    cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    rows = [(int(s), block, int(cuts[s + 1] - cuts[s]), encode(values[cuts[s] : cuts[s + 1]]), np.packbits(counts[cuts[s] : cuts[s + 1]] > 1).tobytes()) for s in full]
+    columns = list(zip(*rows)) if rows else [()] * 5
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "block", "n", "hashes", "twice"])
+
+
+def from_shards(hashes: np.ndarray, told: list) -> np.ndarray:
+    """Which of a block's hashes occur again, from the marks that the shards sent back."""
+    values, inverse = np.unique(hashes, return_inverse=True)
+    ordered = sorted(told, key=lambda m: m["shard"])
+    marks = np.concatenate([np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=m["n"]) for m in ordered]).astype(bool) if ordered else np.zeros(0, bool)
+    if len(marks) != len(values):
+        raise ValueError("a block's marks do not fit its hashes")
+    return marks[inverse] if len(values) else np.zeros(0, bool)
+
+
+def settle(sent: DataFrame, bits: int) -> DataFrame:
+    """``(of, marks)``: for each block the marks of its hashes, shard by shard."""
+    dealt = sent.repartition(max(1, 1 << bits), "shard").sortWithinPartitions("shard")
+    answers = dealt.mapInArrow(_answer, "block long, shard int, n int, marks binary")
+    return answers.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("shard", "n", "marks")).alias("marks"))
+
+
 def _send(size: int, bits: int):
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 block, _, raw, offsets = _blocks.unpack(b, i)
-                values, counts = np.unique(Words(raw, offsets, size).hashes, return_counts=True)
-                shard = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
-                cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                rows = [(int(s), block, int(cuts[s + 1] - cuts[s]), encode(values[cuts[s] : cuts[s + 1]]), np.packbits(counts[cuts[s] : cuts[s + 1]] > 1).tobytes()) for s in full]
-                columns = list(zip(*rows)) if rows else [()] * 5
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "block", "n", "hashes", "twice"])
+                yield to_shards(block, Words(raw, offsets, size).hashes, bits)
 
     return run
 
@@ -169,12 +195,8 @@ def _remove(size: int):
             for i in range(b.num_rows):
                 _, ids, raw, offsets = _blocks.unpack(b, i)
                 words = Words(raw, offsets, size)
-                values, inverse = np.unique(words.hashes, return_inverse=True)
-                told = sorted(b.column(marks_at)[i].as_py() or [], key=lambda m: m["shard"])
-                marks = np.concatenate([np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=m["n"]) for m in told]).astype(bool) if told else np.zeros(0, bool)
-                if len(marks) != len(values):
-                    raise ValueError("a block's marks do not fit its windows")
-                covered = locate(raw, offsets, words, marks[inverse] if len(values) else np.zeros(0, bool), size)
+                again = from_shards(words.hashes, b.column(marks_at)[i].as_py() or [])
+                covered = locate(raw, offsets, words, again, size)
                 text, starts, stops = raw.tobytes(), words.starts.tolist(), words.ends.tolist()
                 kept_texts, spans, counts = [], [], []
                 for d in range(len(ids)):
@@ -197,9 +219,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     blocks = _blocks.pack(docs, id_col, text_col, block_bytes)
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = max(0, int(np.ceil(np.log2(max(1, total / shard_bytes)))))
-    sent = blocks.mapInArrow(_send(size, bits), "shard int, block long, n int, hashes binary, twice binary")
-    dealt = sent.repartition(max(1, 1 << bits), "shard").sortWithinPartitions("shard")
-    answers = dealt.mapInArrow(_answer, "block long, shard int, n int, marks binary")
-    told = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "n", "marks")).alias("marks")).withColumnRenamed("block", "of")
+    told = settle(blocks.mapInArrow(_send(size, bits), SENT), bits)
     both = blocks.join(told, F.col("block") == F.col("of"), "left").drop("of")
     return both.mapInArrow(_remove(size), "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweave.llm import bpe, decontam, jaccard, langid, phrases, quality, secrets, urlrules, winnow
+from areaweave.llm import bpe, decontam, jaccard, langid, phrases, quality, secrets, suffixes, urlrules, winnow
 from areaweave.llm._common import documents, text_or_empty
 
 
@@ -51,6 +51,13 @@ def op3_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", lost.cast("long").alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that start in two places."""
+    rows = suffixes.dedup(documents(spark, sf_dir))
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return rows.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that leaks a benchmark item, with the item."""
     return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "item_id")
@@ -105,7 +112,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_phrases": op3_phrases, "op5_decontaminate": op5_decontaminate, "op6_winnow": op6_winnow, "op7_urls": op7_urls, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_phrases": op3_phrases, "op4_suffixes": op4_suffixes, "op5_decontaminate": op5_decontaminate, "op6_winnow": op6_winnow, "op7_urls": op7_urls, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
