@@ -18,7 +18,7 @@ from areaweave.llm._common import cut, slices
 from areaweave.llm.jaccard import text_bytes
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 SCHEMA = "block long, ids array<long>, sizes array<int>, n_bytes long, body binary"
 
 

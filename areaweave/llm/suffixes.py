@@ -34,7 +34,7 @@ CROWD = 1000
 #: Bytes that one suffix array holds, besides the contexts of its last gram.
 SORT_BYTES = 400_000
 #: Bytes of text that are hashed at a time.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
