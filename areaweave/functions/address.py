@@ -45,35 +45,48 @@ def normalize_address(c: Column) -> Column:
 PARTS = ("unit_number", "street_number", "street_name", "street_type", "locality", "state", "postcode")
 
 
-def parse_address(df: DataFrame, normalized: str, out: str = "parsed") -> DataFrame:
-    """Add a struct of the parts of a normalised address; null if it has no number, name, locality and postcode.
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once: its expression is not repeated where it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
 
-    The parts depend on one another, so they are built in projections that each use the one before.
-    """
-    c = F.col(normalized)
+def parsed_address(c: Column) -> Column:
+    """The parts of a normalised address as a struct; null if it has no number, name, locality and postcode."""
     blank = lambda x: F.nullif(F.trim(x), F.lit(""))
-    step = df.withColumn("__pc", F.nullif(F.regexp_extract(c, POSTCODE, 1), F.lit("")))
-    step = step.withColumn("__t", tokens(F.when(F.col("__pc").isNotNull(), F.regexp_replace(c, POSTCODE, "")).otherwise(c)))
-    last = F.get("__t", F.size("__t") - 1)
-    step = step.withColumn("__state", F.when(last.isin(*STATE_NAMES.values()), last))
-    step = step.withColumn("__t", F.when(F.col("__state").isNotNull(), F.slice("__t", F.lit(1), F.size("__t") - 1)).otherwise(F.col("__t")))
-    step = step.withColumn("__at", F.array_max(F.transform("__t", lambda t, i: F.when(t.isin(*STREET_TYPES), i))))
-    first = F.get("__t", F.lit(0))
-    head, tail = F.substring_index(first, "/", 1), F.substring(first, F.instr(first, "/") + 1, F.length(first))
-    slashed = F.contains(first, F.lit("/"))
-    unit = F.when(slashed & head.rlike("^(U?[0-9]+|U)$"), head)
-    number = F.when(slashed, F.when(unit.isNotNull() & tail.rlike(NUMBER), tail)).when(first.rlike(NUMBER), first)
-    step = step.withColumn("__unit", unit).withColumn("__no", number)
-    taken = F.when(F.col("__no").isNotNull(), 1).otherwise(0)
-    step = step.withColumn("__kind", F.get("__t", F.col("__at")))
-    step = step.withColumn("__at", F.col("__at") - taken).withColumn("__t", F.slice("__t", taken + 1, F.greatest(F.size("__t") - taken, F.lit(0))))
-    split_ = F.col("__at").isNotNull() & (F.col("__at") >= 0)
-    name = F.when(split_, blank(F.array_join(F.slice("__t", F.lit(1), F.col("__at")), " ")))
-    rest = F.when(split_, F.slice("__t", F.col("__at") + 2, F.size("__t"))).otherwise(F.col("__t"))
-    step = step.withColumn("__name", name).withColumn("__loc", blank(F.array_join(rest, " ")))
-    made = F.struct(*[F.col(x).alias(y) for x, y in zip(("__unit", "__no", "__name", "__kind", "__loc", "__state", "__pc"), PARTS)])
-    some = F.coalesce("__no", "__name", "__loc", "__pc").isNotNull()
-    return step.withColumn(out, F.when(some, made)).drop("__pc", "__t", "__state", "__at", "__unit", "__no", "__kind", "__name", "__loc")
+
+    def ending(a: Column) -> Column:
+        last = F.get(a["t"], F.size(a["t"]) - 1)
+        state = F.when(last.isin(*STATE_NAMES.values()), last)
+        rest = F.when(state.isNotNull(), F.slice(a["t"], F.lit(1), F.greatest(F.size(a["t"]) - 1, F.lit(0)))).otherwise(a["t"])
+        return F.struct(a["pc"].alias("pc"), state.alias("state"), rest.alias("t"))
+
+    def front(b: Column) -> Column:
+        first = F.get(b["t"], F.lit(0))
+        slashed = F.contains(first, F.lit("/"))
+        head, tail = F.substring_index(first, "/", 1), F.substring(first, F.instr(first, "/") + 1, F.length(first))
+        unit = F.when(slashed & head.rlike("^(U?[0-9]+|U)$"), head)
+        number = F.when(slashed, F.when(head.rlike("^(U?[0-9]+|U)$") & tail.rlike(NUMBER), tail)).when(first.rlike(NUMBER), first)
+        at = F.array_max(F.transform(b["t"], lambda t, i: F.when(t.isin(*STREET_TYPES), i)))
+        return F.struct(b["pc"].alias("pc"), b["state"].alias("state"), b["t"].alias("t"), unit.alias("unit"), number.alias("no"), at.alias("at"))
+
+    def finished(d: Column) -> Column:
+        taken = F.when(d["no"].isNotNull(), 1).otherwise(0)
+        typed = d["at"].isNotNull() & (d["at"] >= taken)
+        name = F.when(typed, blank(F.array_join(F.slice(d["t"], taken + 1, F.greatest(d["at"] - taken, F.lit(0))), " ")))
+        rest = F.slice(d["t"], F.when(typed, d["at"] + 2).otherwise(taken + 1), F.size(d["t"]) + 1)
+        locality = blank(F.array_join(rest, " "))
+        values = (d["unit"], d["no"], name, F.get(d["t"], d["at"]), locality, d["state"], d["pc"])
+        return F.struct(*[v.alias(n) for v, n in zip(values, PARTS)])
+
+    pc = F.nullif(F.regexp_extract(c, POSTCODE, 1), F.lit(""))
+    start = F.struct(pc.alias("pc"), tokens(F.regexp_replace(c, POSTCODE, "")).alias("t"))
+    made = _let(start, lambda a: _let(ending(a), lambda b: _let(front(b), finished)))
+    return _let(made, lambda p: F.when(F.coalesce(p["street_number"], p["street_name"], p["locality"], p["postcode"]).isNotNull(), p))
+
+
+def parse_address(df: DataFrame, normalized: str, out: str = "parsed") -> DataFrame:
+    """Add the parts of a normalised address."""
+    return df.withColumn(out, parsed_address(F.col(normalized)))
 
 
 def cache_key_text(c: Column) -> Column:

@@ -5,6 +5,7 @@ A boundary table has ``code``, ``name`` and ``rings``: array of rings, each an a
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +131,6 @@ def overlap_area(a, b) -> float:
 def overlaps(left: DataFrame, right: DataFrame, cell: float, least: float = 1.0) -> DataFrame:
     """``a_code, b_code, area`` of overlapping areas in plane coordinates; slivers below ``least`` are left out."""
     import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("double")
     def shared(a: pd.Series, b: pd.Series) -> pd.Series:

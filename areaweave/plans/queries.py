@@ -275,7 +275,7 @@ def historical_projection(spark, sf):
     return pivot.history(every, "k", "population_history_", years)
 
 
-@query(f"WITH {_windows_sql(_YEARS)} SELECT list_sort(list(DISTINCT (SELECT arg_max(release, start_) FROM w WHERE start_<=CAST(o_orderdate AS DATE)))) AS orders FROM orders")
+@query(f"WITH {_windows_sql(_YEARS)} SELECT list_sort(list(DISTINCT r)) AS orders FROM (SELECT (SELECT arg_max(release, start_) FROM w WHERE start_<=CAST(o_orderdate AS DATE)) AS r FROM orders) WHERE r IS NOT NULL")
 def releases_used(spark, sf):
     return summary.releases_used(asof.asof_release(_days(spark, sf), "day", _YEARS), {"orders": "release"})
 
@@ -458,10 +458,10 @@ def state_union(spark, sf):
     return enrich.union_states([o.where(F.col("o_orderstatus") == s) for s in "OFP"])
 
 
-@query("SELECT table_id, code, description FROM (SELECT p_brand AS table_id, p_partkey AS pos, p_name AS code, p_type AS description FROM part) WHERE contains(lower(code), '1') OR contains(lower(description), '1') ORDER BY CASE WHEN contains(lower(code), '1') THEN 0 ELSE 1 END, table_id, pos, code LIMIT 20")
+@query("SELECT table_id, code, description FROM (SELECT p_brand AS table_id, p_partkey AS pos, p_name AS code, p_type AS description FROM part) WHERE contains(lower(code), 'e') OR contains(lower(description), 'e') ORDER BY CASE WHEN contains(lower(code), 'e') THEN 0 ELSE 1 END, table_id, pos, code LIMIT 20")
 def catalog_search(spark, sf):
     p = _t(spark, sf, "part").select(F.col("p_brand").alias("table_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("code"), F.col("p_type").alias("description"))
-    return VariableCatalog(p).search("1")
+    return VariableCatalog(p).search("e")
 
 
 @query("SELECT event_type, CAST(arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), ts) AS BIGINT) AS k, max(ts) AS ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r=1 GROUP BY 1")
