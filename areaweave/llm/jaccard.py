@@ -338,7 +338,8 @@ def join(
     # a gathering is cut into blocks of about ``block`` texts, or as many shingles as such a block usually has
     blocks = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / (block * 500))).cast("int").alias("blocks"))
     dealt = member.join(blocks, "root").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    brought = source.join(
+    # joined by shuffle at every size: the members grow with the corpus
+    brought = source.hint("merge").join(
         dealt.select("root", "blocks", "part", "node", "copies", F.col("brings.doc_id").alias("id"), F.col("brings.text_key").alias("key")),
         F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")),
     )
@@ -376,4 +377,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """One document of each class, the one of least id, with all its columns; rows without an id stay."""
     found = join(docs, id_col, text_col, **options)
     gone = found.where("class_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return docs.hint("merge").join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
