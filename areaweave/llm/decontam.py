@@ -81,9 +81,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hits = seeds(own, ["doc_id", "text_key"], "h").join(sent(probes), "seed")
     pairs = hits.select("doc_id", "text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     candidates = pairs.groupBy("doc_id", "text_key", "item_key").agg(F.collect_set("shift").alias("shifts"))
-    # the texts of candidates are read again and laid under their items
+    # the texts of candidates are read again and laid under their items; by shuffle at every size, as candidates grow
     same = (candidates["doc_id"].eqNullSafe(keyed["doc_id"])) & (candidates["text_key"] == keyed["text_key"])
-    laid = candidates.join(keyed, same).select(candidates["doc_id"], candidates["text_key"], "item_key", "shifts", "text")
+    laid = candidates.join(keyed.hint("merge"), same).select(candidates["doc_id"], candidates["text_key"], "item_key", "shifts", "text")
     laid = laid.join(sent(bodies), "item_key").withColumn("h", token_hashes(F.col("text"))).drop("text")
     found = laid.where(F.exists("shifts", lambda s: _agrees(F.col("h"), F.col("item"), s))).select("doc_id", "text_key", "item_key").distinct()
     return found.join(sent(items.select("item_id", "item_key")), "item_key").select("doc_id", "text_key", "item_id").distinct()
@@ -93,4 +93,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """The documents that leak no item, with all their columns."""
     bad = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty(f"`{text_col}`")) == F.col("__key"))
-    return docs.join(bad, same, "left_anti")
+    return docs.hint("merge").join(bad, same, "left_anti")
