@@ -1,0 +1,134 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from areaweave.llm import decontam, secrets, urlrules, winnow
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_winnow_matches_brute_force(spark, docs, rows):
+    """Every window of the guarantee's length is hit, equal texts agree, positions rise."""
+    fp = winnow.fingerprint(docs, "text", "fp")
+    assert "Python" not in plan(fp) and "Arrow" not in plan(fp)
+    got = {r["extra"]: r for r in fp.withColumn("shown", winnow.printed(F.col("fp"))).collect()}
+    for r in rows:
+        tokens = re.findall(r"\S{1,16}", r[1] or "", re.A)
+        at = [int(x.split(":")[1]) for x in got[r[5]]["shown"].split(",") if x]
+        if not tokens:
+            assert at == []
+        elif len(tokens) < winnow.GRAM:
+            assert at == [0]
+        else:
+            grams = len(tokens) - winnow.GRAM + 1
+            assert at == sorted(at) and all(0 <= a < grams for a in at)
+            spans = [0, *[a for a in at], grams - 1]
+            assert max(b - a for a, b in zip(spans, spans[1:])) <= winnow.WINDOW
+    same = {}
+    for r in rows:
+        same.setdefault(r[1] or "", set()).add(got[r[5]]["shown"])
+    assert all(len(v) == 1 for v in same.values())
+
+
+def test_rightmost_tie(spark):
+    df = winnow.fingerprint(spark.createDataFrame([("a " * 40,)], "text string"), "text", "fp").select(winnow.printed(F.col("fp")))
+    at = [int(x.split(":")[1]) for x in df.first()[0].split(",")]
+    assert at == list(range(15, 37))  # every window has one value, and takes its last place
+
+
+def test_likeness_and_next(spark):
+    ids = [5, 70, 64, 200000, -3, None, 9999999]
+    df = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string")
+    got = {r["doc_id"]: r["next_text"] for r in winnow.with_next(df, "doc_id", ["text"], ["text"]).collect()}
+    order = sorted(i for i in ids if i is not None)
+    assert got == {a: f"text of {b}" for a, b in zip(order, order[1:] + order[:1])} | {None: None}
+    a, b = F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3))
+    none = F.array().cast("array<int>")
+    r = spark.range(1).select(winnow.likeness(a, b), winnow.likeness(none, none), winnow.likeness(a, none)).first()
+    assert tuple(r) == (1 / 3, 1.0, 0.0)
+    e = spark.createDataFrame([("abcdé", "XY"), ("abcd", None), ("", "x")], "t string, n string").select(winnow.edited(F.col("t"), F.col("n"))).collect()
+    assert [x[0] for x in e] == ["abcXY", "ab", ""]
+
+
+def test_decontamination(spark, docs, empty):
+    item = " ".join(f"q{i}" for i in range(30))
+    swapped = item.split()
+    for k in (3, 11, 19, 27):
+        swapped[k] = "other"
+    texts = [(1, f"begin {item} end"), (2, "before " + " ".join(swapped) + " after"), (3, "q1 q2 q3 and nothing else of it"), (4, None), (5, item.upper().replace(" ", ", ")), (5, "clean"), (None, item), (7, ""), (8, " ".join(item.split()[:12]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("seed", F.lit(1))
+    bench = spark.createDataFrame([(10, item), (11, item), (12, None), (13, "short one"), (14, "totally different tokens " * 6)], "item_id long, text string")
+    found = decontam.leaks(df, bench)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(d, i) for d in (1, 2, 5, None) for i in (10, 11)}
+    kept = decontam.clean(df, bench)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] != 4) == sorted(t for t in texts if t[0] in (3, 7, 8) or t == (5, "clean"))
+    assert "Python" not in plan(kept)
+    assert decontam.leaks(docs, bench.limit(0)).count() == decontam.leaks(empty, bench).count() == 0
+    old, decontam.BROADCAST_HASHES = decontam.BROADCAST_HASHES, 0
+    try:
+        assert decontam.leaks(df, bench).count() == found.count()
+    finally:
+        decontam.BROADCAST_HASHES = old
+
+
+ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(t):
+    s = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    s += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    s += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [(secrets.KINDS[r], a, b) for a, r, b in sorted(s)]
+
+
+def test_secrets(spark):
+    key = "AKIA" + "A1" * 10
+    texts = [
+        f"é😀 password = 'hunter22' and {key}", "secret=token:abcdefgh secret=token=abcdefgh", "token: abc PASSWD=\"abcdef", "f" * 24 + " " + "a" * 23 + " AKIA123 AKIAKIA" + "Z" * 20, None, "", "api_key=" + "ab12cd" * 8,
+        "TOKEN=" + "x" * 5000 + " " + ("apikey:" + "0f" * 20 + " ") * 200,
+    ]
+    rows = [(i % 3, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1))
+    found = secrets.find(df)
+    assert found.columns == ["doc_id", "text", "spans"] and "Python" not in plan(found)
+    got = found.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [tuple(s) for s in r["spans"] if s["kind"] in ("assign", "access", "hex")] == base_spans(r["text"] or "")
+
+
+def test_linked_parts(spark):
+    weak = "Zk9Qw3Rt5Yu7Io1Pa2Sd4Fg6"
+    texts = {
+        1: f"user_name: deploy key {weak} at https://db.example.org/x", 2: f"key {weak} alone", 3: "user_name: deploy", 4: "user_name: deploy" + " filler" * 100 + f" {weak}",
+        5: "https://db.example.org/x only", 6: f"AKIA{'B2' * 8} {weak}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.find(df).collect()}
+    assert got == {1: ["ident", "key", "endpoint"], 2: [], 3: [], 4: [], 5: [], 6: ["access", "key"]}
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.find(df)).collect()}
+    assert weak not in out[1] and out[1].startswith("[SECRET] key [SECRET] at [SECRET]") and out[2] == texts[2]
+
+
+def test_url_rules(spark):
+    rules = {
+        "https://A.Example.NET/en/x?q#f": ("a.example.net", "/en/x", "example.net/en/", "allow"), "http://b.net/de": ("b.net", "/de", "net/", "block"), "x://example.com/de/": ("example.com", "/de/", "example.com/de/", "block"),
+        "x://badexample.com/de/": ("badexample.com", "/de/", None, "allow"), "x://a.org/fr/1": ("a.org", "/fr/1", "org/fr/", "allow"), "x://net": ("net", "", None, "allow"), "nothing": ("", "", None, "allow"), None: ("", "", None, "allow"),
+        "http://h.org?u=://x.net/": ("h.org", "", None, "allow"), "": ("", "", None, "allow"), "x://É.NET/": ("É.net", "/", "net/", "block"),
+    }
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(rules)] + [(1, "http://b.net/de", 2), (None, "http://b.net/de", 2)], "page_id long, url string, host int")
+    labelled = spark.createDataFrame([], "url string, blocked boolean")
+    got = urlrules.judge(pages, labelled)
+    assert sorted(map(str, [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()])) == sorted(map(str, [*rules.values(), rules["http://b.net/de"], rules["http://b.net/de"]]))
+    assert urlrules.judge(pages.limit(0), labelled).count() == 0
+
+
+def test_mined_rules(spark):
+    rows = [(f"http://{'pills' if k % 4 == 0 else 'news'}.example.org/{'buy' if k % 4 == 0 or k % 8 == 1 else 'read'}/{k}", k % 4 == 0) for k in range(200)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    pages = spark.createDataFrame([(1, "http://pills.example.org/buy/9"), (2, "http://news.example.org/buy/9"), (3, "http://news.example.org/read/1"), (4, "http://pills.example.org/other")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge(pages, labelled, min_confidence=0.8).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "block"}
