@@ -33,7 +33,7 @@ def outer_concat(tables: list[DataFrame], key: str) -> DataFrame:
     """
     columns = list(dict.fromkeys(c for t in tables for c in t.columns if c != key))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    return stacked.groupBy(key).agg(*[F.first(F.col(c), ignorenulls=True).alias(c) for c in columns])
+    return stacked.groupBy(key).agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in columns])
 
 
 def outer_join_shared(tables: list[DataFrame], key: str) -> DataFrame:

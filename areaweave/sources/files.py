@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252")
-_SPARK_NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252"}
+#: Spark reads Latin-1; the 27 places where Windows text differs are put right in the columns.
+_SPARK_NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1"}
+_WINDOWS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:
@@ -33,12 +35,10 @@ def encoding_of(spark: SparkSession, path: str) -> str:
     if not flawed:
         head = raw.limit(1).collect()
         return "utf-8-sig" if head and bytes(head[0]["b"]).startswith(b"\xef\xbb\xbf") else "utf-8"
-    undefined = F.col("b").cast("string")
     holes = [b"\x81", b"\x8d", b"\x8f", b"\x90", b"\x9d"]
     bad = F.lit(False)
     for h in holes:
         bad = bad | F.contains(F.col("b"), F.lit(h))
-    del undefined
     if raw.where(bad).limit(1).count():
         raise ValueError(f"{path} is in none of the encodings {', '.join(ENCODINGS)}")
     return "cp1252"
@@ -46,8 +46,13 @@ def encoding_of(spark: SparkSession, path: str) -> str:
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True, **options) -> DataFrame:
     """A CSV file with a header, its encoding found by trial; a byte-order mark is no part of the first name."""
-    df = spark.read.csv(path, header=True, inferSchema=infer, encoding=_SPARK_NAMES[encoding_of(spark, path)], multiLine=True, escape='"', **options)
-    return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
+    encoding = encoding_of(spark, path)
+    df = spark.read.csv(path, header=True, inferSchema=infer, encoding=_SPARK_NAMES[encoding], multiLine=True, escape='"', **options)
+    df = df.toDF(*[c.removeprefix("\ufeff").translate(str.maketrans(_WINDOWS) if encoding == "cp1252" else {}) for c in df.columns])
+    if encoding == "cp1252":
+        text = [c for c, kind in df.dtypes if kind == "string"]
+        df = df.withColumns({c: F.translate(F.col(f"`{c}`"), "".join(_WINDOWS), "".join(_WINDOWS.values())) for c in text})
+    return df
 
 
 def write_csv(df: DataFrame, path: str, order: str | None = None, one_file: bool = True) -> None:
