@@ -28,7 +28,9 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENT = r"""(?i:\b(client_?id|access_?key(?:_?id)?|user(?:_?name)?|login|account))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})"""
-KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[a-z0-9+/_-]{0,63}[A-Z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])"
+#: A whole run of key-like letters with a digit and a capital, of any length; it may follow a name and ``=``, and is not
+#: itself such a name. Possessive, so a run is read once.
+KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}+=*+(?![A-Za-z0-9+/_-])"
 ENDPOINT = r"""\b(?:https?|s3|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+"""
 
 #: Kinds in the order in which spans of one start are listed.
