@@ -8,9 +8,10 @@ text on the diagonal of the hit, and the tokens that agree are counted: a docume
 Only rows whose hashes meet a benchmark hash go on. The benchmark side is broadcast if its hashes are few enough
 (their number is counted first), and otherwise joined by shuffle.
 
-Defined cases: null text is an empty text; a text or item with fewer tokens than a mask spans is compared by the hash
-of all its tokens. Items without tokens match nothing. An empty benchmark leaves every document clean. Rows of equal id
-and text are decided alike; a document is named once for each item. Columns other than id and text play no part.
+Defined cases: null text is an empty text. A short item is found anywhere in a text, by masks of its own length, and all
+its tokens have to agree if it has three or fewer. Items without tokens match nothing. An empty benchmark leaves every
+document clean. Rows of equal id and text are decided alike; a document is named once for each item. Columns other than
+id and text play no part.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 
 from areaweave.llm._common import cut, text_or_empty
 
-#: Places that each mask looks at, within a span of eight tokens.
-MASKS = ((0, 1, 3, 4, 7), (0, 2, 3, 6, 7))
-SPAN = 8
+#: Places that each mask looks at, by the length of an item (the greatest holds for all longer ones).
+_LONG = ((0, 1, 3, 4, 7), (0, 2, 3, 6, 7))
+MASKS = {
+    1: ((0,),), 2: ((0, 1),), 3: ((0, 1, 2),), 4: ((0, 1, 2), (0, 1, 3), (0, 2, 3)), 5: ((0, 1, 2), (0, 1, 3)),
+    6: ((0, 1, 2, 3), (0, 1, 3, 4)), 7: ((0, 1, 3, 4),), 8: _LONG,
+}
 #: Tokens of an item that are compared at a time, and the share of them that has to agree.
 STRETCH, AGREE = 13, 0.75
 #: Benchmark hashes (16 bytes each) up to which they are sent to every executor.
@@ -35,8 +39,8 @@ def token_hashes(text: Column) -> Column:
 
 
 def _seed_array(h: Column, mask: tuple[int, ...]) -> Column:
-    """The hash under a mask at every place of a text."""
-    n = F.size(h) - SPAN + 1
+    """The hash under a mask at every place of a text; none if the text is shorter than the mask."""
+    n = F.size(h) - mask[-1]
     cut_ = lambda k: F.slice(h, F.lit(1 + k), F.greatest(n, F.lit(0)))
     out = cut_(mask[0])
     for k in mask[1:]:
@@ -44,25 +48,31 @@ def _seed_array(h: Column, mask: tuple[int, ...]) -> Column:
     return out
 
 
-def seeds(df: DataFrame, keys: list[str], h: str) -> DataFrame:
-    """``keys``, ``at``, ``seed``: a row for each place and mask; short texts have one seed of all their tokens."""
-    short = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.lit("short"), F.col(h)).alias("seed")))
+def seeds(df: DataFrame, keys: list[str], h: str, masks: dict[tuple[int, ...], Column | None]) -> DataFrame:
+    """``keys``, ``at``, ``seed``: a row for each place and mask; a mask may hold for some rows only."""
+    none = F.array().cast("array<struct<at:int,seed:bigint>>")
 
-    def placed(m: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(_seed_array(F.col(h), mask), lambda s, i: F.struct(i.alias("at"), F.xxhash64(s, F.lit(m)).alias("seed")))
+    def placed(mask: tuple[int, ...], fits: Column | None) -> Column:
+        tag = F.lit(",".join(map(str, mask)))
+        made = F.transform(_seed_array(F.col(h), mask), lambda s, i: F.struct(i.alias("at"), F.xxhash64(s, tag).alias("seed")))
+        return made if fits is None else F.when(fits, made).otherwise(none)
 
-    rows = [placed(m, mask) for m, mask in enumerate(MASKS)]
-    every = F.when(F.size(h) == 0, F.array().cast("array<struct<at:int,seed:bigint>>")).when(F.size(h) < SPAN, short).otherwise(F.concat(*rows))
+    every = F.concat(none, *[placed(m, fits) for m, fits in masks.items()])
     return df.select(*keys, F.explode(every).alias("x")).select(*keys, F.col("x.at").alias("at"), F.col("x.seed").alias("seed"))
 
 
+def _holds(value: Column, test) -> Column:
+    """``test`` of a value that is worked out once: the optimizer puts a plain column's expression wherever it is named."""
+    return F.exists(F.array(value), test)
+
+
 def _agrees(own: Column, item: Column, shift: Column) -> Column:
     """Whether an item, laid over a text from token ``shift`` on, agrees with it in some stretch."""
-    same = F.transform(item, lambda x, i: F.when(F.get(own, shift + i) == x, F.lit(1)).otherwise(F.lit(0)))
+    laid = F.transform(item, lambda x, i: F.when(F.get(own, shift + i) == x, F.lit(1)).otherwise(F.lit(0)))
     size = F.least(F.size(item), F.lit(STRETCH))
     starts = F.sequence(F.lit(0), F.size(item) - size)
-    total = lambda s: F.aggregate(F.slice(same, s + 1, size), F.lit(0), lambda a, b: a + b)
-    return F.exists(starts, lambda s: total(s) >= F.ceil(size * AGREE))
+    total = lambda same, s: F.aggregate(F.slice(same, s + 1, size), F.lit(0), lambda a, b: a + b)
+    return _holds(laid, lambda same: F.exists(starts, lambda s: total(same, s) >= F.ceil(size * AGREE)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -71,21 +81,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = items.where(F.size("item") > 0).withColumn("item_key", F.xxhash64("item")).dropDuplicates(["item_id", "item_key"])
     # items of equal tokens are one item to the join
     bodies = items.select("item_key", "item").dropDuplicates(["item_key"])
-    probes = cut(seeds(bodies, ["item_key"], "item").withColumnRenamed("at", "item_at"), "benchmark-seeds")
+    length = F.least(F.size("item"), F.lit(max(MASKS)))
+    lengths = [r[0] for r in bodies.select(length).distinct().collect()]
+    # documents are hashed only under the masks of lengths that the benchmark has
+    used = sorted({m for n in lengths for m in MASKS[n]})
+    fits = {m: length.isin([n for n in MASKS if m in MASKS[n]]) for m in used}
+    # a hit of an item that has to agree in all its tokens is found anew wherever it stands: one place is enough
+    whole = F.size("item") == F.ceil(F.size("item") * AGREE)
+    probes = cut(seeds(bodies.withColumn("whole", whole), ["item_key", "whole"], "item", fits).withColumnRenamed("at", "item_at"), "benchmark-seeds")
     small = probes.count() <= BROADCAST_HASHES
     sent = F.broadcast if small else (lambda df: df)
 
     keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(f"`{text_col}`").alias("text"))
     keyed = keyed.withColumn("text_key", F.xxhash64("text"))
     own = keyed.withColumn("h", token_hashes(F.col("text")))
-    hits = seeds(own, ["doc_id", "text_key"], "h").join(sent(probes), "seed")
-    pairs = hits.select("doc_id", "text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hits = seeds(own, ["doc_id", "text_key"], "h", dict.fromkeys(used)).join(sent(probes), "seed")
+    shift = F.col("at") - F.col("item_at")
+    pairs = hits.groupBy("doc_id", "text_key", "item_key", F.when(~F.col("whole"), shift).alias("each")).agg(F.min(shift).alias("shift"))
     candidates = pairs.groupBy("doc_id", "text_key", "item_key").agg(F.collect_set("shift").alias("shifts"))
     # the texts of candidates are read again and laid under their items; by shuffle at every size, as candidates grow
     same = (candidates["doc_id"].eqNullSafe(keyed["doc_id"])) & (candidates["text_key"] == keyed["text_key"])
     laid = candidates.join(keyed.hint("merge"), same).select(candidates["doc_id"], candidates["text_key"], "item_key", "shifts", "text")
-    laid = laid.join(sent(bodies), "item_key").withColumn("h", token_hashes(F.col("text"))).drop("text")
-    found = laid.where(F.exists("shifts", lambda s: _agrees(F.col("h"), F.col("item"), s))).select("doc_id", "text_key", "item_key").distinct()
+    laid = laid.join(sent(bodies), "item_key")
+    found = laid.where(_holds(token_hashes(F.col("text")), lambda h: F.exists("shifts", lambda s: _agrees(h, F.col("item"), s)))).select("doc_id", "text_key", "item_key").distinct()
     return found.join(sent(items.select("item_id", "item_key")), "item_key").select("doc_id", "text_key", "item_id").distinct()
 
 

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -74,6 +76,42 @@ def test_decontamination(spark, docs, empty):
         decontam.BROADCAST_HASHES = old
 
 
+
+def agrees(text, item):
+    """Brute force: some stretch of the item, laid anywhere over the text, agrees in enough places."""
+    size = min(len(item), decontam.STRETCH)
+    for shift in range(-len(item), len(text)):
+        same = [0 <= shift + i < len(text) and text[shift + i] == x for i, x in enumerate(item)]
+        if any(sum(same[s:s + size]) >= math.ceil(size * decontam.AGREE) for s in range(len(item) - size + 1)):
+            return True
+    return False
+
+
+def substituted(n, more=0):
+    """An item of ``n`` tokens with as many substitutions as the rule allows (and ``more``), in all ways."""
+    item = [f"n{n}t{i}" for i in range(n)]
+    allowed = min(n, decontam.STRETCH) - math.ceil(min(n, decontam.STRETCH) * decontam.AGREE)
+    for places in itertools.combinations(range(n), min(n, allowed + more)):
+        yield ["other" if i in places else x for i, x in enumerate(item)]
+
+
+def leaks_of(spark, lengths, texts):
+    bench = spark.createDataFrame([(n, " ".join(f"n{n}t{i}" for i in range(n))) for n in lengths], "item_id long, text string")
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(df, bench).collect()}
+    items = {n: [f"n{n}t{i}" for i in range(n)] for n in lengths}
+    want = {(k, n) for k, t in enumerate(texts) for n, item in items.items() if set(t) & set(item) and agrees(t, item)}
+    assert got == want
+    return got
+
+
+def test_short_items_inside_longer_texts(spark):
+    around = [f"w{i}" for i in range(12)]
+    texts = [[*around, *t, *around] for n in range(1, 8) for t in substituted(n)] + [t for n in range(1, 8) for t in substituted(n)]
+    assert len(leaks_of(spark, range(1, 8), texts)) == len(texts)
+    leaks_of(spark, range(1, 8), [[*around, *t, *around] for n in range(1, 8) for t in substituted(n, 1)] + [["n1t0"] * 500])
+
+
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
