@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from areaweave.llm._common import cut, text_or_empty
 
-#: Places that each mask looks at, by the length of an item (the greatest holds for all longer ones).
-_LONG = ((0, 1, 3, 4, 7), (0, 2, 3, 6, 7))
+#: Places that each mask looks at, by the length of an item (the greatest holds for all longer ones). Every way to
+#: substitute as many tokens as ``AGREE`` allows leaves a place of some mask untouched; the tests enumerate them.
+_LONG = ((0, 1, 2, 4), (0, 3, 4, 5))
 MASKS = {
     1: ((0,),), 2: ((0, 1),), 3: ((0, 1, 2),), 4: ((0, 1, 2), (0, 1, 3), (0, 2, 3)), 5: ((0, 1, 2), (0, 1, 3)),
-    6: ((0, 1, 2, 3), (0, 1, 3, 4)), 7: ((0, 1, 3, 4),), 8: _LONG,
+    6: ((0, 1, 2, 3), (0, 1, 3, 4)), 7: ((0, 1, 3, 4),), 8: (*_LONG, (0, 2, 5, 6)), 9: _LONG,
 }
 #: Tokens of an item that are compared at a time, and the share of them that has to agree.
 STRETCH, AGREE = 13, 0.75

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -105,6 +106,17 @@ def leaks_of(spark, lengths, texts):
     return got
 
 
+def test_leaks_under_all_substitutions(spark):
+    lengths = range(8, 14)
+    texts = [t for n in lengths for t in substituted(n)]
+    texts = [(["begin"] * (k % 3) + t + ["end"] * (k % 4)) for k, t in enumerate(texts)]
+    assert len(leaks_of(spark, lengths, texts)) == len(texts) == 28 + 36 + 45 + 55 + 220 + 286
+    assert leaks_of(spark, [8, 10], [t for n in (8, 10) for t in substituted(n, 1)]) == set()
+    rng = random.Random(3)
+    long = [[x if rng.random() < 0.75 else "other" for x in (f"n30t{i}" for i in range(30))] for _ in range(150)]
+    assert len(leaks_of(spark, [13, 30], long)) > 100
+
+
 def test_short_items_inside_longer_texts(spark):
     around = [f"w{i}" for i in range(12)]
     texts = [[*around, *t, *around] for n in range(1, 8) for t in substituted(n)] + [t for n in range(1, 8) for t in substituted(n)]
