@@ -1,128 +1,64 @@
 """Jaccard self-join on word shingles: a MinHash LSH forest proposes, exact comparison decides.
 
-Each distinct set of shingles has a signature of ``TREES`` labels of ``DEPTH`` hashes, one for each tree of the forest.
-A tree is a sorted list of labels, and a prefix of a label is a node of its trie. Prefixes are shortened from the full
-depth until the chance that a pair at the threshold shares a node in some tree reaches the target recall; texts under
-one node are candidates of each other. What the nodes connect is gathered by shared-minimum steps, each text's
-shingles move once to its gathering, and there all pairs are counted exactly by an inverted index, in blocks for large
-gatherings. Pairs never become rows: a text comes back with its number of links and its class.
+Each distinct set of shingles has a label of ``DEPTH`` hashes for each of ``TREES`` trees. A tree is the sorted list of
+its labels, and a prefix of a label is a node of its trie. A text starts at its longest prefix and shortens it until the
+chance to meet a partner of the weakest similarity it can have reaches the target recall: a long text at the threshold
+goes back to five hashes, a short one, whose possible similarities lie apart, stays deeper, and one that can equal
+copies alone meets nobody. Two texts meet if their labels share, in some tree, the longer of their two prefixes.
+
+Neighbours in the sorted lists that share the shortest prefix in use are linked, which brings what may meet to one place
+(a gathering); each text's shingles move there once for each pair of blocks. There the tries are sorted again, pairs
+that meet in a node are marked, once for all trees, and exactly those are compared, by counts of an inverted index.
+Pairs never become rows: a text comes back with its number of links and its class.
 
 Defined cases: words are runs without white space (space, tab to carriage return); a text of fewer than five words has
 one shingle of all its words. Null, empty and blank texts have no shingles, no links, and a class of their own for
-each row. Rows of equal shingle sets are copies: they share a class, and each counts the others as links. The class id
-is the least ``doc_id`` of the class, null ids last (a class of null ids has a null id). Columns other than id and text
-play no part.
+each row. Very long texts are hashed whole, by themselves. Rows of equal shingle sets are copies: they share a class,
+and each counts the others as links. The class id is the least ``doc_id`` of the class, null ids last (a class of null
+ids has a null id). An empty table gives an empty table. Columns other than id and text play no part.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaweave.llm._common import cut, slices
+from areaweave.llm._hash import MULTIPLIER, digest, mix, text_bytes, window_hashes, word_bounds, word_hashes
 
 #: Words in a shingle, and the similarity from which two texts are linked.
 SHINGLE, THRESHOLD = 5, 0.8
+#: Trees of the forest, and hashes (16 bits each) of a label.
 TREES, DEPTH = 24, 8
-#: Chance that a pair just at the threshold is met in some tree.
+#: Chance that a pair of the weakest possible similarity meets in some tree.
 RECALL = 0.9999
 #: Texts of a gathering that are compared at a time.
-BLOCK = 2048
+BLOCK = 512
+#: Bytes of text that are hashed at a time.
+SLICE_BYTES = 1 << 20
 
 
-def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix with which the forest reaches the recall for pairs at the threshold."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def prefix_depth(trees: int = TREES, depth: int = DEPTH, similarity: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest prefix with which the forest reaches the recall for pairs of a similarity."""
+    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[32, *range(9, 14)]] = True
-_MULTIPLIER = 0x9E3779B97F4A7C15
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads their bits."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_POWERS = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """Powers of the multiplier, modulo 2**64."""
-    global _POWERS
-    if len(_POWERS) < n:
-        size = max(n, 1 << 20)
-        factors = np.full(size, _MULTIPLIER, np.uint64)
-        factors[0] = 1
-        _POWERS = np.cumprod(factors, dtype=np.uint64)
-    return _POWERS[:n]
-
-
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column, end to end, and the offsets of its rows (null: empty)."""
-    if column.null_count:
-        column = column.fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    return raw, offsets - offsets[0]
-
-
-def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the first word of each row (one more: the number of words)."""
-    inside = ~_SEPARATOR[raw]
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
-    at = offsets[:-1][offsets[:-1] < len(raw)]
-    begin[at] = inside[at]
-    end = inside.copy()
-    end[:-1] &= ~inside[1:]
-    at = offsets[1:][offsets[1:] > 0] - 1
-    end[at] = inside[at]
-    starts = np.flatnonzero(begin)
-    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
-
-
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, by a polynomial over its bytes: equal words have equal hashes."""
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    # from the back, so that a word's polynomial is shifted by a power that can be divided out by multiplication
-    p = powers(len(raw) + 1)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[:-1], out=sums[1:])
-    inverse = pow(_MULTIPLIER, -1, 1 << 64)
-    back = _inverse_powers(len(raw) + 1, inverse)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-
-
-_BACK = np.ones(1, np.uint64)
-
-
-def _inverse_powers(n: int, inverse: int) -> np.ndarray:
-    global _BACK
-    if len(_BACK) < n:
-        size = max(n, 1 << 20)
-        factors = np.full(size, inverse, np.uint64)
-        factors[0] = 1
-        _BACK = np.cumprod(factors, dtype=np.uint64)
-    return _BACK[:n]
-
-
-def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of every k words in a row; grams that cross rows are for the caller to leave out."""
-    n = max(0, len(h) - k + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(_MULTIPLIER) + h[i : i + n]
-    return mix(out)
+def weakest(size: int, threshold: float = THRESHOLD) -> float | None:
+    """The least similarity, from the threshold on, of a set of so many shingles to another one; None if there is none."""
+    if size > 100_000:  # steps between possible values are too small to matter
+        return threshold
+    found = None
+    for union in range(size, int(size / threshold + 1e-9) + 1):
+        both = max(0, int(np.ceil(threshold * union - 1e-9)))
+        if both <= size and (both, union) != (size, size):
+            found = min(found or 1.0, both / union)
+    return found
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE):
@@ -130,21 +66,18 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE):
     raw, offsets = text_bytes(column)
     starts, ends, first = word_bounds(raw, offsets)
     h = word_hashes(raw, starts, ends)
-    grams = gram_hashes(h, size)
+    grams = window_hashes(h, size)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= size:
             yield np.unique(grams[a : b - size + 1])
         elif b > a:
-            own = np.uint64(b - a)
-            for x in h[a:b]:
-                own = mix(np.array([own], np.uint64) * np.uint64(_MULTIPLIER) + x)[0]
-            yield np.array([own], np.uint64)
+            yield mix(window_hashes(h[a:b], b - a) + np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
 
 
 def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(_MULTIPLIER))
+    x = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * MULTIPLIER)
     return (x[:n] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (x[n:] >> np.uint64(32)).astype(np.uint32)
 
 
@@ -161,35 +94,123 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
-def _sketch(trees: int, depth: int):
-    """Texts to two hashes of their shingle set, its size, and a label (the prefix of ``depth`` hashes) for each tree."""
+def labels_of(m: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """A label for each tree: up to eight hashes of 16 bits, in two numbers whose order is that of the hashes."""
+    short = (mix(m.astype(np.uint64)) >> np.uint64(48)).reshape(trees, depth)
+    out = np.zeros((trees, 2), np.uint64)
+    for d in range(depth):
+        out[:, d // 4] |= short[:, d] << np.uint64(48 - 16 * (d % 4))
+    # sorted as signed numbers elsewhere
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
+
+
+_PLACE = pa.struct([("hi", pa.int64()), ("lo", pa.int64())])
+
+
+def _sketch(trees: int, depth: int, threshold: float, recall: float):
+    """Texts to a digest of their shingle set, its size, the depth of its prefixes, and a label for each tree."""
 
     def run(batches):
         a, b = _factors(trees * depth)
+        depths: dict[int, int] = {}
         for whole in batches:
-            for part in slices(whole, "text", 4 << 20):
-                keys, others, sizes, labels = [], [], [], []
+            for part in slices(whole, "text", SLICE_BYTES):
+                keys, sizes, deep, labels = [], [], [], []
                 for s in shingle_sets(part.column(2)):
-                    if not len(s):
-                        keys.append(None), others.append(None), sizes.append(0), labels.append([])
-                        continue
-                    mixed = mix(s)
-                    keys.append(int(np.bitwise_xor.reduce(mixed).astype(np.int64)))
-                    others.append(int(np.add.reduce(mixed).astype(np.int64)))
-                    sizes.append(len(s))
-                    m = signature(s, a, b).reshape(trees, depth).astype(np.uint64)
-                    own = np.zeros(trees, np.uint64)
-                    for d in range(depth):
-                        own = mix(own * np.uint64(_MULTIPLIER) + m[:, d] + np.uint64(1))
-                    labels.append(own.astype(np.int64))
+                    n = len(s)
+                    if n not in depths:
+                        weak = weakest(n, threshold) if n else None
+                        depths[n] = 0 if weak is None else prefix_depth(trees, depth, weak, recall)
+                    keys.append(digest(s.tobytes()) if n else None), sizes.append(n), deep.append(depths[n])
+                    labels.append(labels_of(signature(s, a, b), trees, depth) if depths[n] else np.zeros((0, 2), np.int64))
+                flat = np.concatenate(labels) if labels else np.zeros((0, 2), np.int64)
+                offsets = np.cumsum([0, *map(len, labels)]).astype(np.int32)
+                places = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(_PLACE))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:2], pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.int64()))],
-                    names=["doc_id", "text_key", "k1", "k2", "size", "labels"],
+                    [*part.columns[:2], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(deep, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), places)],
+                    names=["doc_id", "text_key", "node", "size", "depth", "labels"],
                 )
 
     return run
 
 
+def common_prefix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many hashes two labels share from the front, from the differing bits of their halves."""
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    same = lambda v: sum((v < np.uint64(1 << k)).astype(np.int8) for k in (48, 32, 16, 0))
+    return np.where(x != 0, same(x), 4 + same(y))
+
+
+def _neighbours(base: int):
+    """Places in order of (tree, label) to edges from each run of neighbours that share ``base`` hashes to its first.
+
+    The first and last place of a partition also come out without a partner, to be linked across partitions.
+    """
+
+    def run(batches):
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tree, hi, lo = (b.column(k).to_numpy() for k in range(3))
+            node = b.column(3).to_pylist()
+            if last is not None:
+                tree, hi, lo, node = np.append(last[0], tree), np.append(last[1], hi), np.append(last[2], lo), [last[3], *node]
+            else:
+                yield _edges([(node[0], None, int(tree[0]), int(hi[0]), int(lo[0]))])
+            apart = np.ones(len(node), bool)
+            apart[1:] = (tree[1:] != tree[:-1]) | (common_prefix(hi[1:] ^ hi[:-1], lo[1:] ^ lo[:-1]) < base)
+            first = np.maximum.accumulate(np.where(apart, np.arange(len(node)), 0))
+            yield _edges([(node[k], node[h], None, None, None) for k, h in enumerate(first.tolist()) if k != h])
+            # what comes next is linked to the first of the run that is open
+            last = tree[-1:], hi[-1:], lo[-1:], node[first[-1]]
+            end = node[-1]
+        if last is not None:
+            yield _edges([(end, None, int(last[0][0]), int(last[1][0]), int(last[2][0]))])
+
+    return run
+
+
+def _edges(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 5
+    kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["u", "v", "tree", "hi", "lo"])
+
+
+def forest_edges(texts: DataFrame, base: int) -> DataFrame:
+    """``(u, v)``: texts linked so that all that share a node of ``base`` hashes in some tree hang together."""
+    places = texts.select(F.posexplode("labels").alias("tree", "label"), "node").select(F.col("tree").cast("int").alias("tree"), "label.hi", "label.lo", "node")
+    ordered = places.repartitionByRange("tree", "hi", "lo").sortWithinPartitions("tree", "hi", "lo")
+    found = cut(ordered.mapInArrow(_neighbours(base), "u binary, v binary, tree int, hi long, lo long"), "join-neighbours")
+    # a node cut by a border between partitions shows at the ends of each of them
+    front = F.col("hi") if base >= 4 else F.shiftright("hi", 16 * (4 - base))
+    rest = F.shiftright("lo", 16 * (8 - base)) if base > 4 else F.lit(0)
+    ends = found.where("v is null").select("u", "tree", front.alias("f"), rest.alias("r"))
+    heads = ends.groupBy("tree", "f", "r").agg(F.min("u").alias("v"))
+    return found.where("v is not null").select("u", "v").unionByName(ends.join(heads, ["tree", "f", "r"]).select("u", "v"))
+
+
+def meetings(hi: np.ndarray, lo: np.ndarray, depth: np.ndarray, base: int) -> np.ndarray:
+    """Which pairs of texts meet in a node: ``hi`` and ``lo`` are labels by tree and text.
+
+    In a sorted list, what two texts share is the least that neighbours between them share; the distance between them
+    grows by one at a time, in all trees at once, until nothing is shared any more.
+    """
+    n = hi.shape[1]
+    met = np.zeros((n, n), bool)
+    order = np.lexsort((lo, hi), axis=-1)
+    h, low = np.take_along_axis(hi, order, 1), np.take_along_axis(lo, order, 1)
+    step = common_prefix(h[:, 1:] ^ h[:, :-1], low[:, 1:] ^ low[:, :-1])
+    now, k = step, 1
+    while now.shape[1] and (now >= base).any():
+        a, b = order[:, : n - k], order[:, k:]
+        hit = now >= np.maximum(depth[a], depth[b])
+        met[a[hit], b[hit]] = True
+        now = np.minimum(now[:, :-1], step[:, k:])
+        k += 1
+    return met | met.T
+
+
 def gatherings(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of each node of ``edges (u, v)``: connected parts, by alternating shared-minimum steps.
 
@@ -247,10 +268,11 @@ def shared_counts(sets: list[np.ndarray], left: int):
         yield i, np.bincount(posting[at], minlength=n)
 
 
-def count_links(sets: list[np.ndarray], weight: np.ndarray, left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def count_links(sets: list[np.ndarray], weight: np.ndarray, left: int, threshold: float, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of each set, weighted by copies, and the first set of the linked part each belongs to.
 
-    ``left`` < number of sets: two blocks, of which only pairs across are compared; otherwise all pairs.
+    Only pairs that have ``met`` are looked at. ``left`` < number of sets: two blocks, of which only pairs across are
+    compared; otherwise all pairs.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -264,7 +286,7 @@ def count_links(sets: list[np.ndarray], weight: np.ndarray, left: int, threshold
 
     for i, shared in shared_counts(sets, left):
         shared[: max(i + 1, left if left < n else 0)] = 0
-        near = np.flatnonzero(shared)
+        near = np.flatnonzero((shared > 0) & met[i])
         near = near[shared[near] >= threshold * (sizes[i] + sizes[near] - shared[near]) - 1e-9]
         if len(near):
             links[i] += weight[near].sum()
@@ -275,26 +297,26 @@ def count_links(sets: list[np.ndarray], weight: np.ndarray, left: int, threshold
     return links, np.array([root(i) for i in range(n)])
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, trees: int, base: int):
     """Rows sorted by (root, bi, bj, part) to ``(root, node, links, head)``: whole groups, one at a time."""
 
     def run(batches):
-        import itertools
-
         def rows():
             for b in batches:
                 yield from zip(*(c.to_pylist() for c in b.columns))
 
         out: list[tuple] = []
         for (root, bi, bj), group in itertools.groupby(rows(), key=lambda r: r[:3]):
-            nodes, parts, weights, sets, seen = [], [], [], [], set()
-            for _, _, _, part, node, copies, packed in group:
+            nodes, parts, weights, sets, depths, signs, seen = [], [], [], [], [], [], set()
+            for _, _, _, part, node, copies, depth, sign, packed in group:
                 if node not in seen:
-                    seen.add(node), nodes.append(node), parts.append(part), weights.append(copies)
-                    sets.append(np.frombuffer(packed, np.uint64))
+                    seen.add(node), nodes.append(node), parts.append(part), weights.append(copies), depths.append(depth)
+                    sets.append(np.frombuffer(packed, np.uint64)), signs.append(np.frombuffer(sign, np.int64))
             left = len(nodes) if bi == bj else sum(p == bi for p in parts)
             if 0 < left and len(nodes) > 1 and (bi == bj or left < len(nodes)):
-                links, head = count_links(sets, np.array(weights, np.int64), left, threshold)
+                both = np.stack(signs).reshape(len(nodes), trees, 2)
+                met = meetings(np.ascontiguousarray(both[:, :, 0].T), np.ascontiguousarray(both[:, :, 1].T), np.array(depths), base)
+                links, head = count_links(sets, np.array(weights, np.int64), left, threshold, met)
                 out += [(root, nodes[k], int(links[k]), nodes[int(head[k])]) for k in np.flatnonzero(links).tolist()]
             if len(out) > 10_000:
                 yield _packed(out)
@@ -306,75 +328,92 @@ def _compare(threshold: float):
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["root", "node", "links", "head"])
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["root", "node", "links", "head"])
 
 
-def join(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    threshold: float = THRESHOLD,
-    trees: int = TREES,
-    depth: int = DEPTH,
-    recall: float = RECALL,
-    block: int = BLOCK,
-) -> DataFrame:
-    """``(doc_id, class_id, n_links)``: for each document its class (what links connect) and its number of links."""
-    used = prefix_depth(trees, depth, threshold, recall)
+def _first(id_col: str = "doc_id") -> list:
+    """What a row is ordered by in its class: rows without an id come last."""
+    return [F.col(id_col).isNull().alias("lacks"), F.col(id_col).alias("doc_id"), F.col("text_key").alias("text_key")]
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, trees: int, depth: int, recall: float, block: int) -> DataFrame:
+    """``doc_id, text_key, node, head (of the class: lacks, doc_id, text_key), n_links`` of every row; blank rows have no node."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     source = source.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    rows = cut(source.mapInArrow(_sketch(trees, used), "doc_id long, text_key long, k1 long, k2 long, size long, labels array<long>"), "join-sketches")
-    node = F.xxhash64("k1", "k2")
-    # equal shingle sets are one text; its row of least id brings its shingles
-    texts = rows.where("k1 is not null").groupBy(node.alias("node")).agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("brings"), F.first("size").alias("size"), F.first("labels").alias("labels")
+    rows = cut(source.mapInArrow(_sketch(trees, depth, threshold, recall), "doc_id long, text_key long, node binary, size long, depth int, labels array<struct<hi:long,lo:long>>"), "join-sketches")
+    # equal shingle sets are one text; its first row brings its shingles
+    texts = rows.where("node is not null").groupBy("node").agg(
+        F.count("*").alias("copies"), F.min(F.struct(*_first())).alias("first"), F.first("size").alias("size"), F.first("depth").alias("depth"), F.first("labels").alias("labels")
     )
     texts = cut(texts, "join-texts")
-    places = texts.select("node", F.posexplode("labels").alias("tree", "label"))
-    heads = places.groupBy("tree", "label").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = gatherings(places.join(heads, ["tree", "label"]).select(F.col("node").alias("u"), F.col("head").alias("v")))
-    member = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()).join(texts.drop("labels", "least"), "node")
-    member = cut(member, "join-members")
+    base = prefix_depth(trees, depth, threshold, recall)
+    met = gatherings(forest_edges(texts.where("depth > 0"), base))
+    member = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()).join(texts, "node")
     # a gathering is cut into blocks of about ``block`` texts, or as many shingles as such a block usually has
-    blocks = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / (block * 500))).cast("int").alias("blocks"))
+    blocks = cut(member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / (block * 500))).cast("int").alias("blocks")), "join-blocks")
     dealt = member.join(blocks, "root").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     # joined by shuffle at every size: the members grow with the corpus
     brought = source.hint("merge").join(
-        dealt.select("root", "blocks", "part", "node", "copies", F.col("brings.doc_id").alias("id"), F.col("brings.text_key").alias("key")),
+        dealt.select("root", "blocks", "part", "node", "copies", "depth", "labels", F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key")),
         F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")),
     )
 
     def shingled(batches):
         for whole in batches:
-            for part in slices(whole, "text", 4 << 20):
-                packed = [s.tobytes() for s in shingle_sets(part.column(5))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(packed, pa.binary())], names=["root", "blocks", "part", "node", "copies", "shingles"])
+            for part in slices(whole, "text", SLICE_BYTES):
+                packed = [s.tobytes() for s in shingle_sets(part.column(7))]
+                signs = [np.array([(x["hi"], x["lo"]) for x in row], np.int64).tobytes() for row in part.column(6).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(signs, pa.binary()), pa.array(packed, pa.binary())], names=["root", "blocks", "part", "node", "copies", "depth", "sign", "shingles"])
 
-    sets = brought.select("root", "blocks", "part", "node", "copies", "text").mapInArrow(shingled, "root long, blocks int, part int, node long, copies long, shingles binary")
+    sets = brought.select("root", "blocks", "part", "node", "copies", "depth", "labels", "text").mapInArrow(shingled, "root binary, blocks int, part int, node binary, copies long, depth int, sign binary, shingles binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("bi"), F.greatest(o, F.col("part")).alias("bj")))
-    spread = sets.select("root", F.explode(pairs).alias("b"), "part", "node", "copies", "shingles").select("root", "b.bi", "b.bj", "part", "node", "copies", "shingles")
+    spread = sets.select("root", F.explode(pairs).alias("b"), "part", "node", "copies", "depth", "sign", "shingles").select("root", "b.bi", "b.bj", "part", "node", "copies", "depth", "sign", "shingles")
     # within a pair of blocks, those of the first come first
     grouped = spread.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "part", "node")
-    compared = cut(grouped.mapInArrow(_compare(threshold), "root long, node long, links long, head long"), "join-links")
+    compared = cut(grouped.mapInArrow(_compare(threshold, trees, base), "root binary, node binary, links long, head binary"), "join-links")
 
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     stars = compared.join(blocks, "root")
     single = stars.where("blocks = 1").select("node", "head")
     across = stars.where("blocks > 1").select(F.col("node").alias("u"), F.col("head").alias("v")).where("u <> v")
     joined = gatherings(across)
-    classes = single.unionByName(joined.select("node", F.col("root").alias("head")))
-    named = texts.select("node", "copies", "least").join(classes, "node", "left").join(links, "node", "left")
-    named = named.withColumn("head", F.coalesce("head", "node"))
-    ids = named.groupBy("head").agg(F.min("least").alias("class_id"))
-    named = named.join(ids, "head").select(F.col("node").alias("of"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    # rows without shingles meet nothing: a key of their own spreads them
-    keyed = rows.select("doc_id", "k1", F.when(F.col("k1").isNotNull(), node).alias("node"))
-    out = keyed.join(named, F.col("node") == F.col("of"), "left")
-    return out.select("doc_id", F.when(F.col("k1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class, the one of least id, with all its columns; rows without an id stay."""
-    found = join(docs, id_col, text_col, **options)
-    gone = found.where("class_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.hint("merge").join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    found = single.unionByName(joined.select("node", F.col("root").alias("head")))
+    named = texts.select("node", "copies", "first").join(found, "node", "left").join(links, "node", "left")
+    named = named.withColumn("of", F.coalesce("head", "node")).drop("head")
+    firsts = named.groupBy("of").agg(F.min("first").alias("head"))
+    named = named.join(firsts, "of").select(F.col("node").alias("__node"), "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # rows without shingles meet nothing
+    keyed = rows.select("doc_id", "text_key", "node")
+    return keyed.join(named, F.col("node") == F.col("__node"), "left").drop("__node")
+
+
+def join(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    recall: float = RECALL,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``(doc_id, class_id, n_links)``: for each document its class (what links connect) and its number of links."""
+    out = classes(docs, id_col, text_col, threshold, trees, depth, recall, block)
+    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """One row of each class, with all its columns: that of least id (null ids last), then text; blank rows all stay.
+
+    A row is told by its id and its text, so texts that share an id are told apart, and of rows that share both one stays.
+    """
+    found = classes(docs, id_col, text_col, threshold, trees, depth, recall, block)
+    heads = found.where("node is not null").select("head.*").distinct()
+    heads = heads.select(F.col("lacks").alias("__lacks"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_key").alias("__key"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    blank = ~text.rlike(r"[^\x20\x09-\x0D]")
+    own = docs.where(~blank).withColumn("__lacks", F.col(f"`{id_col}`").isNull()).withColumn("__id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0))).withColumn("__key", F.xxhash64(text))
+    keys = ["__lacks", "__id", "__key"]
+    kept = own.hint("merge").join(heads, keys, "left_semi").dropDuplicates(keys)
+    return docs.where(blank).unionByName(kept.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -1,224 +1,149 @@
 """Substring dedup by repeated-phrase automata.
 
-1. Confirm: every window of ``WINDOW`` words is hashed. Each block of documents sends its distinct hashes, with those
-   it holds twice marked, to shards by hash range; a shard tells each block which of its hashes occur elsewhere. One
-   block sends a hash once, however often it holds it, so no passage makes a shard heavy. The windows that occur again
-   form passages: maximal runs of recurring windows.
-2. Compile: the distinct passages of a block make one shard of Aho-Corasick automata (pyahocorasick).
-3. Stream: every document of the block runs through the automaton, which locates every occurrence of every passage;
-   the words that some occurrence covers are removed.
+1. Confirm: a passage is the words of all windows of ``WINDOW`` words that share an anchor (`_anchored`), or a run of
+   windows of such a passage. Passages recur if a digest of 128 bits of their words does; where passages around one
+   anchor differ, their windows are compared word by word. One block sends a passage once, however often it holds it.
+2. Compile: the distinct confirmed passages that a block of documents may hold make one shard of Aho-Corasick automata
+   (pyahocorasick), over the numbers of the block's distinct words: words match if they are equal.
+3. Stream: every document of the block runs through the automaton, which locates every occurrence of every passage. What
+   is sent back for a passage is its text, by one place in the block; where else it stands, the automaton tells. The
+   words that an occurrence covers are removed.
 
 Windows are judged on the input, not on what is left, and never cross documents.
 
-Defined cases: words are runs without space, tab to carriage return, kept unchanged. Null, empty and blank texts have no
-words; texts of fewer words than a window lose none. Rows of equal id or text are rows of their own (a copied row makes
-all its windows recur). Columns other than id and text play no part. Window hashes have 64 bits.
+Defined cases: words are runs without space, tab to carriage return, kept unchanged, of any length. Null, empty and
+blank texts have no words; texts of fewer words than a window lose none; a very long text is a block of its own, taken
+in steps. Rows of equal id or text are rows of their own (a copied row makes all its windows recur). An empty table
+gives an empty table. Columns other than id and text play no part.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from areaweave.llm import _blocks
-from areaweave.llm.jaccard import _MULTIPLIER, mix, word_bounds, word_hashes
-
-WINDOW = 35
-#: Bytes of text whose windows a shard takes.
-SHARD_BYTES = 24 << 20
-
-
-def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of ``size`` words in a row, by doubling: a run of 2n is two runs of n."""
-    out, done, length = None, 0, 1
-    run = h
-    rest = size
-    while rest:
-        if rest & 1:
-            if out is None:
-                out, done = run, length
-            else:
-                n = len(h) - done - length + 1
-                out = mix(out[:n] * np.uint64(_MULTIPLIER) + run[done : done + n]) if n > 0 else out[:0]
-                done += length
-        rest >>= 1
-        if rest:
-            n = len(run) - length
-            run = mix(run[:n] * np.uint64(_MULTIPLIER) + run[length : length + n]) if n > 0 else run[:0]
-            length *= 2
-    return out
-
-
-class Words:
-    """The words of a block and its windows: their starts (word numbers) and hashes."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, size: int):
-        self.starts, self.ends, self.first = word_bounds(raw, offsets)
-        h = word_hashes(raw, self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
-        count = np.diff(self.first)
-        usable = np.maximum(count - size + 1, 0)
-        total = int(usable.sum())
-        self.at = np.arange(total) + np.repeat(self.first[:-1] - (np.cumsum(usable) - usable), usable)
-        self.hashes = window_hashes(h, size)[self.at] if total else np.zeros(0, np.uint64)
-
-
-def encode(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers: the upper 24 bits by difference, compressed; the lower 40 as they are."""
-    high = (sorted_hashes >> np.uint64(40)).astype(np.int64)
-    steps = np.diff(high, prepend=0).astype("<u4")
-    low = sorted_hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    packed = pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
-    return len(packed).to_bytes(4, "little") + packed + low.tobytes()
-
-
-def decode(data: bytes, n: int) -> np.ndarray:
-    k = int.from_bytes(data[:4], "little")
-    steps = np.frombuffer(pa.decompress(data[4 : 4 + k], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T
-    high = np.cumsum(np.ascontiguousarray(steps).view("<u4").ravel().astype(np.int64))
-    low = np.zeros((n, 8), np.uint8)
-    low[:, :5] = np.frombuffer(data[4 + k :], np.uint8).reshape(n, 5)
-    return (high.astype(np.uint64) << np.uint64(40)) | low.view("<u8").ravel()
-
-
-#: What a block sends to the shards.
-SENT = "shard int, block long, n int, hashes binary, twice binary"
-
-
-def to_shards(block: int, hashes: np.ndarray, bits: int) -> pa.RecordBatch:
-    """The distinct hashes of a block, sorted, a row for each shard, with marks on those it holds twice."""
-    values, counts = np.unique(hashes, return_counts=True)
-    shard = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
-    cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
-    full = np.flatnonzero(np.diff(cuts))
-    rows = [(int(s), block, int(cuts[s + 1] - cuts[s]), encode(values[cuts[s] : cuts[s + 1]]), np.packbits(counts[cuts[s] : cuts[s + 1]] > 1).tobytes()) for s in full]
-    columns = list(zip(*rows)) if rows else [()] * 5
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "block", "n", "hashes", "twice"])
-
-
-def from_shards(hashes: np.ndarray, told: list) -> np.ndarray:
-    """Which of a block's hashes occur again, from the marks that the shards sent back."""
-    values, inverse = np.unique(hashes, return_inverse=True)
-    ordered = sorted(told, key=lambda m: m["shard"])
-    marks = np.concatenate([np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=m["n"]) for m in ordered]).astype(bool) if ordered else np.zeros(0, bool)
-    if len(marks) != len(values):
-        raise ValueError("a block's marks do not fit its hashes")
-    return marks[inverse] if len(values) else np.zeros(0, bool)
-
-
-def settle(sent: DataFrame, bits: int) -> DataFrame:
-    """``(of, marks)``: for each block the marks of its hashes, shard by shard."""
-    dealt = sent.repartition(max(1, 1 << bits), "shard").sortWithinPartitions("shard")
-    answers = dealt.mapInArrow(_answer, "block long, shard int, n int, marks binary")
-    return answers.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("shard", "n", "marks")).alias("marks"))
-
-
-def _send(size: int, bits: int):
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                block, _, raw, offsets = _blocks.unpack(b, i)
-                yield to_shards(block, Words(raw, offsets, size).hashes, bits)
 
-    return run
+from areaweave.llm import _anchored, _blocks
+from areaweave.llm._hash import window_hashes, word_hashes
+
+WINDOW, GRAM = 35, 8
+#: Places before the gram that share a core, for anchors with very many kinds of passages (see `_anchored`).
+WIDTHS = (6, 1)
+#: Bytes of passages that are compared at a time, besides those of the last anchor.
+COMPARE_BYTES = 4 << 20
+#: A word goes through the automaton as two letters: the upper part of its number, and the lower.
+_BITS, _UPPER, _LOWER = 8, 0x20000, 0x100
+
+
+def bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words that single blanks part."""
+    blank = np.flatnonzero(raw == 32)
+    return (np.concatenate([[0], blank + 1]), np.concatenate([blank, [len(raw)]])) if len(raw) else (np.zeros(0, np.int64),) * 2
+
+
+def _view(gram: int):
+    def view(raw: np.ndarray, offsets: np.ndarray):
+        text = raw.tobytes()
+        starts, ends = bounds(raw)
+
+        def hashes(begin: int, end: int) -> np.ndarray:
+            a, z = int(starts[begin]), int(ends[end - 1])
+            return window_hashes(word_hashes(raw[a:z], starts[begin:end] - a, ends[begin:end] - a), gram)
+
+        return hashes, lambda a, b: text[starts[a] : ends[b - 1]]
+
+    return view
+
+
+def _symbols(data: bytes):
+    words = data.split(b" ")
+    return lambda a, b: b" ".join(words[a:b])
+
+
+def _solve(size: int):
+    """The windows that stand in two of the contexts, or twice in one, or in one that is whole; word by word."""
+
+    def solve(contexts: list[bytes], whole: np.ndarray, keys: list) -> list[np.ndarray]:
+        split, seen = [], Counter()
+        for c, w in zip(contexts, whole.tolist()):
+            starts, ends = bounds(np.frombuffer(c, np.uint8))
+            own = [c[a:z] for a, z in zip(starts.tolist(), ends[size - 1 :].tolist())]
+            split.append(own)
+            for x in own:
+                seen[x] += 1 + w
+        return [np.array([k for k, x in enumerate(own) if seen[x] > 1], np.int64) for own in split]
+
+    return solve
+
+
+class Numbers:
+    """The words of a block by number: equal words have equal numbers, and the first of a kind decides which."""
+
+    def __init__(self, raw: np.ndarray):
+        self.starts, self.ends = bounds(raw)
+        self.text = raw.tobytes()
+        index: dict[bytes, int] = {}
+        n, parts = len(self.starts), []
+        for a in range(0, n, 1 << 17):
+            b = min(a + (1 << 17), n)
+            words = self.text[self.starts[a] : self.ends[b - 1]].split(b" ")
+            parts.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, b - a))
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        letters = np.empty((n, 2), np.uint32)
+        letters[:, 0], letters[:, 1] = (ids >> _BITS) + _UPPER, (ids & ((1 << _BITS) - 1)) + _LOWER
+        self.letters = letters
+
+    def line(self, a: int, b: int) -> str:
+        return self.letters[a:b].tobytes().decode("utf-32-le")
 
 
-def _answer(batches):
-    """Rows of a shard, one after another, to the marks of each block's hashes: which occur again anywhere."""
-
-    def settled(rows):
-        decoded = [decode(r[3], r[2]) for r in rows]
-        values, counts = np.unique(np.concatenate(decoded), return_counts=True)
-        again = values[counts > 1]
-        out = []
-        for (shard, block, n, _, twice), own in zip(rows, decoded):
-            marks = np.unpackbits(np.frombuffer(twice, np.uint8), count=n).astype(bool)
-            if len(again):
-                at = np.minimum(np.searchsorted(again, own), len(again) - 1)
-                marks |= again[at] == own
-            out.append((block, shard, n, np.packbits(marks).tobytes()))
-        columns = list(zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "shard", "n", "marks"])
-
-    held: list[tuple] = []
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if held and held[0][0] != row[0]:
-                yield settled(held)
-                held = []
-            held.append(row)
-    if held:
-        yield settled(held)
-
-
-def locate(raw: np.ndarray, offsets: np.ndarray, words: Words, recurring: np.ndarray, size: int) -> np.ndarray:
-    """Which words of a block some occurrence of a recurring passage covers, found by an automaton of its passages."""
-    covered = np.zeros(len(words.starts) + 1, np.int64)
-    at = words.at[recurring]
-    if not len(at):
-        return covered[:-1].astype(bool)
-    text = raw.tobytes()
-    owner = np.searchsorted(words.first, at, side="right")
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = (np.diff(at) != 1) | (np.diff(owner) != 0)
-    begins, ends = at[fresh], at[np.append(fresh[1:], True)] + size
-    starts, stops = words.starts.tolist(), words.ends.tolist()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for a, b in zip(begins.tolist(), ends.tolist()):
-        automaton.add_word(_joined(text, starts, stops, a, b), b - a)
-    automaton.make_automaton()
-    # texts that hold no passage of their own hold none of the block: a passage recurs in every text that holds it
-    for d in np.unique(owner - 1).tolist():
-        lo, hi = int(words.first[d]), int(words.first[d + 1])
-        line = _joined(text, starts, stops, lo, hi)
-        lengths = np.fromiter((len(w) + 1 for w in line[1:-1].split(" ")), np.int64, hi - lo)
-        close = np.cumsum(lengths)  # the place of the blank after each word
-        for end, n in automaton.iter(line):
-            last = lo + int(np.searchsorted(close, end)) + 1
-            covered[last - n] += 1
-            covered[last] -= 1
-    return np.cumsum(covered)[:-1] > 0
-
-
-def _joined(text: bytes, starts: list[int], stops: list[int], a: int, b: int) -> str:
-    """Words a to b, a blank before, between and after them."""
-    return " " + " ".join([text[s:e].decode() for s, e in zip(starts[a:b], stops[a:b])]) + " "
+def locate(words: Numbers, offsets: np.ndarray, passages: list[tuple[int, int]]) -> np.ndarray:
+    """Which words of a block some occurrence of a passage covers; a passage is told by one place, words a to b."""
+    edge = np.zeros(len(words.starts) + 1, np.int64)
+    if passages:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for a, b in passages:
+            automaton.add_word(words.line(a, b), b - a)
+        automaton.make_automaton()
+        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            for end, n in automaton.iter(words.line(lo, hi)):
+                last = lo + end // 2 + 1
+                edge[last - n] += 1
+                edge[last] -= 1
+    return np.cumsum(edge)[:-1] > 0
 
 
 def _remove(size: int):
     def run(batches):
         for b in batches:
-            marks_at = b.schema.get_field_index("marks")
+            whole_at, ranges_at = b.schema.get_field_index("whole"), b.schema.get_field_index("ranges")
             for i in range(b.num_rows):
                 _, ids, raw, offsets = _blocks.unpack(b, i)
-                words = Words(raw, offsets, size)
-                again = from_shards(words.hashes, b.column(marks_at)[i].as_py() or [])
-                covered = locate(raw, offsets, words, again, size)
-                text, starts, stops = raw.tobytes(), words.starts.tolist(), words.ends.tolist()
+                words = Numbers(raw)
+                passages = {(t["at"][0], t["at"][0] + t["span"] + size) for t in b.column(whole_at)[i].as_py() or []}
+                passages |= {(t["first"], t["last"] + size) for t in b.column(ranges_at)[i].as_py() or []}
+                covered = locate(words, offsets, sorted(passages))
                 kept_texts, spans, counts = [], [], []
-                for d in range(len(ids)):
-                    lo, hi = int(words.first[d]), int(words.first[d + 1])
-                    own = covered[lo:hi]
-                    kept_texts.append(" ".join([text[starts[lo + k] : stops[lo + k]].decode() for k in np.flatnonzero(~own).tolist()]))
-                    begin, end = _blocks.runs(own)
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(begin, end)])
+                for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    gone, stay = _blocks.runs(covered[lo:hi]), _blocks.runs(~covered[lo:hi])
+                    kept_texts.append(b" ".join([words.text[words.starts[lo + x] : words.ends[lo + y - 1]] for x, y in zip(*(s.tolist() for s in stay))]))
+                    spans.append([{"start": x, "end": y} for x, y in zip(*(s.tolist() for s in gone))])
                     counts.append(hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept_texts, pa.string())],
+                    [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept_texts, pa.binary()).cast(pa.string())],
                     names=["doc_id", "n_words", "removed", "kept"],
                 )
 
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, block_bytes: int = _blocks.BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, gram: int = GRAM, block_bytes: int = _blocks.BLOCK_BYTES, kinds: int = _anchored.KINDS, step: int = _anchored.STEP) -> DataFrame:
     """``doc_id``, ``n_words``, ``removed`` (word spans, end exclusive) and ``kept`` (kept words joined by a space)."""
-    blocks = _blocks.pack(docs, id_col, text_col, block_bytes)
-    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    bits = max(0, int(np.ceil(np.log2(max(1, total / shard_bytes)))))
-    told = settle(blocks.mapInArrow(_send(size, bits), SENT), bits)
-    both = blocks.join(told, F.col("block") == F.col("of"), "left").drop("of")
-    return both.mapInArrow(_remove(size), "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string")
+    blocks, view = _blocks.pack(docs, id_col, text_col, block_bytes, words=True), _view(gram)
+    run, schema = _anchored.send(size, gram, view, places=False, step=step)
+    known = _anchored.known_contexts(blocks.mapInArrow(run, schema))
+    ranges = _anchored.find(blocks, known, size, view, _symbols, _solve(size), WIDTHS, COMPARE_BYTES, kinds)
+    return _anchored.told(blocks, known, ranges).mapInArrow(_remove(size), "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string")

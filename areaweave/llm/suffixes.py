@@ -1,21 +1,17 @@
 """Suffix-array dedup: strings of ``LENGTH`` bytes that start in two places or more.
 
 A suffix array over all bytes of a corpus moves each byte dozens of times. So the texts are first cut down to what can
-repeat at all, without losing any repeat: of the ``LENGTH - GRAM + 1`` grams in a string, the one of least hash is its
-anchor, and equal strings have equal anchors at equal places. The bytes of all strings under one anchor are its context.
-
-* An anchor whose gram occurs once: none of its strings repeats.
-* Equal contexts: all their strings repeat, nothing needs sorting.
-* One gram, different contexts: the contexts (one of each) go to the suffix sort, dealt by gram, so that all places
-  where a string may occur meet. The difference-cover algorithm sorts them: the suffixes at two of three places by
-  their triples, recursively on the names of the triples, the rest by a symbol and the rank that follows, and a merge.
-  Strings that repeat stand next to each other, and adjacent prefixes are compared over their whole length.
-* A gram with more than ``CROWD`` different contexts would make one sort large; its strings are sent as hashes to
-  shards by hash range instead, where no gram is heavy.
+repeat at all, without losing any repeat (`_anchored`): strings whose anchor occurs once do not repeat, and contexts
+that are equal by a digest of 128 bits repeat as a whole. One of each kind of the other contexts goes to the suffix
+sort, dealt by gram, so that all places where a string may occur meet, and again by longer cores where one gram has very
+many kinds. The difference-cover algorithm sorts them: the suffixes at two of three places by their triples,
+recursively on the names of the triples, the rest by a symbol and the rank that follows, and a merge. Strings that repeat
+stand next to each other, and adjacent prefixes are compared byte by byte over their whole length.
 
 Defined cases: null text is empty. Matches never cross documents, may overlap, and are judged on the input. Texts
-shorter than ``LENGTH`` lose nothing. Kept bytes are a string where they are valid UTF-8 and are returned as binary.
-Rows of equal id or text are rows of their own. Columns other than id and text play no part.
+shorter than ``LENGTH`` lose nothing; a very long text is a block of its own, taken in steps. Kept bytes are returned as
+binary, as a cut may part a letter. Rows of equal id or text are rows of their own. An empty table gives an empty table.
+Columns other than id and text play no part.
 """
 
 from __future__ import annotations
@@ -23,74 +19,49 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from areaweave.llm import _blocks, phrases
-from areaweave.llm.jaccard import _MULTIPLIER, _inverse_powers, mix, powers
+from areaweave.llm import _anchored, _blocks
+from areaweave.llm._hash import MULTIPLIER, mix
 
 LENGTH, GRAM = 400, 64
-#: Different contexts of one gram that are sorted together; more go by hash.
-CROWD = 1000
+#: Places before the gram that share a core, for grams with very many kinds of contexts (see `_anchored`).
+WIDTHS = (32, 4, 1)
 #: Bytes that one suffix array holds, besides the contexts of its last gram.
 SORT_BYTES = 400_000
-#: Bytes of text that are hashed at a time.
-STEP_BYTES = 1 << 20
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-
-
-class Sums:
-    """Hashes of any stretch of a byte array, from running sums of a polynomial."""
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, raw: np.ndarray):
-        n = len(raw)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(n + 1)[:n], out=self.sums[1:])
-        self.back = _inverse_powers(n + 1, _INVERSE)
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, modulo 2**64, for one step of a text."""
+    size = 1 << max(12, (n - 1).bit_length())
+    if size not in _POWERS:
+        _POWERS.clear()
+        both = []
+        for factor in (int(MULTIPLIER), pow(int(MULTIPLIER), -1, 1 << 64)):
+            p = np.full(size, factor, np.uint64)
+            p[0] = 1
+            both.append(np.cumprod(p, dtype=np.uint64))
+        _POWERS[size] = tuple(both)
+    return _POWERS[size]
 
 
-def least_in_window(h: np.ndarray, width: int) -> np.ndarray:
-    """The place of the least of ``width`` values from each place on, the leftmost of equals; by doubling."""
-    value, place, length = h, np.arange(len(h), dtype=np.int32), 1
+def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all grams, from running sums of a polynomial. They only choose and group anchors: a clash costs work."""
+    n = len(raw)
+    if n < gram:
+        return np.zeros(0, np.uint64)
+    power, back = _powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+    return mix((sums[gram:] - sums[: n - gram + 1]) * back[: n - gram + 1])
 
-    def merged(v, p, by, n):
-        a, b = v[:n], v[by : by + n]
-        right = b < a
-        return np.where(right, b, a), np.where(right, p[by : by + n], p[:n])
 
-    while 2 * length <= width:
-        value, place = merged(value, place, length, max(0, len(value) - length))
-        length *= 2
-    if length < width:
-        value, place = merged(value, place, width - length, max(0, len(h) - width + 1))
-    return place
+def _view(gram: int):
+    def view(raw: np.ndarray, offsets: np.ndarray):
+        text = raw.tobytes()
+        return (lambda begin, end: gram_hashes(raw[begin:end], gram)), (lambda a, b: text[a:b])
 
-
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Anchors of a block in order: their strings start at ``lo`` to ``hi``; ``g`` and ``c`` name gram and context."""
-    out: dict[str, list[np.ndarray]] = {k: [] for k in ("lo", "hi", "g", "c")}
-    d, n = 0, len(offsets) - 1
-    while d < n:
-        e = max(d + 1, int(np.searchsorted(offsets, offsets[d] + STEP_BYTES, side="right")) - 1)
-        base, part, own = int(offsets[d]), raw[offsets[d] : offsets[e]], offsets[d : e + 1] - offsets[d]
-        d = e
-        usable = np.maximum(np.diff(own) - length + 1, 0)
-        total = int(usable.sum())
-        if not total:
-            continue
-        start = np.arange(total) + np.repeat(own[:-1] - (np.cumsum(usable) - usable), usable)
-        sums = Sums(part)
-        at = np.arange(len(part) - gram + 1)
-        h = sums(at, at + gram)
-        place = least_in_window(h, length - gram + 1)[start]
-        fresh = np.ones(total, bool)
-        fresh[1:] = (place[1:] != place[:-1]) | (np.diff(start) != 1)
-        lo, hi, p = start[fresh], start[np.append(fresh[1:], True)], place[fresh].astype(np.int64)
-        shape = (p - lo).astype(np.uint64) * np.uint64(_MULTIPLIER)
-        out["lo"].append(lo + base), out["hi"].append(hi + base), out["g"].append(h[p]), out["c"].append(mix(sums(lo, hi + length) ^ shape))
-    return {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k in "gc" else np.int64) for k, v in out.items()}
+    return view
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -160,133 +131,30 @@ def repeated(contexts: list[bytes], whole: np.ndarray, length: int = LENGTH) ->
     return [np.flatnonzero(hit[first[i] : first[i + 1]]) for i in range(len(contexts))]
 
 
-def _anchor_rows(length: int, gram: int):
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                block, _, raw, offsets = _blocks.unpack(b, i)
-                found = anchors(raw, offsets, length, gram)
-                n = len(found["g"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["g"].view(np.int64)), pa.array(found["c"].view(np.int64)), pa.array(np.full(n, block, np.int64)), pa.array(np.arange(n, dtype=np.int32))],
-                    names=["g", "c", "block", "slot"],
-                )
-
-    return run
-
-
-def _told(batch: pa.RecordBatch, i: int, name: str) -> list:
-    return batch.column(batch.schema.get_field_index(name))[i].as_py() or []
-
-
-def _contexts(length: int, gram: int):
-    """Contexts that go to the sort: gram, block, start in the block, whether it stands for several, bytes."""
-
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                block, _, raw, offsets = _blocks.unpack(b, i)
-                told = [t for t in _told(b, i, "told") if t["role"] == 1]
-                if not told:
-                    continue
-                found, text = anchors(raw, offsets, length, gram), raw.tobytes()
-                lo, hi = found["lo"].tolist(), found["hi"].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([t["g"] for t in told], pa.int64()),
-                        pa.array([block] * len(told), pa.int64()),
-                        pa.array([lo[t["slot"]] for t in told], pa.int64()),
-                        pa.array([t["whole"] for t in told], pa.bool_()),
-                        pa.array([text[lo[t["slot"]] : hi[t["slot"]] + length] for t in told], pa.binary()),
-                    ],
-                    names=["g", "block", "start", "whole", "bytes"],
-                )
-
-    return run
-
-
-def _resolve(length: int):
-    """Contexts in order of their grams to runs of starts of repeated strings, ``block, first, last``."""
+def _solve(length: int):
+    return lambda contexts, whole, keys: repeated(contexts, whole, length)
 
-    def settled(rows):
-        starts = repeated([r[4] for r in rows], np.array([r[3] for r in rows]), length)
-        out: list[tuple[int, int, int]] = []
-        for r, at in zip(rows, starts):
-            if len(at):
-                cuts = np.flatnonzero(np.diff(at) != 1)
-                for x, y in zip(np.append(at[0], at[cuts + 1]).tolist(), np.append(at[cuts], at[-1]).tolist()):
-                    out.append((r[1], r[2] + x, r[2] + y))
-        columns = list(zip(*out)) if out else [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "first", "last"])
 
-    def run(batches):
-        held: list[tuple] = []
-        size = 0
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and size > SORT_BYTES and row[0] != held[-1][0]:
-                    yield settled(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield settled(held)
-
-    return run
-
-
-def _crowded(raw: np.ndarray, offsets: np.ndarray, found: dict, told: list, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the strings under crowded anchors of a block."""
-    slots = np.array(sorted(t["slot"] for t in told if t["role"] == 2), np.int64)
-    if not len(slots):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    lo, hi = found["lo"][slots], found["hi"][slots]
-    n = hi - lo + 1
-    start = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
-    hashes, step = np.empty(len(start), np.uint64), STEP_BYTES
-    for base in range(0, len(raw), step):
-        inside = (start >= base) & (start < base + step)
-        if inside.any():
-            sums = Sums(raw[base : base + step + length])
-            hashes[inside] = sums(start[inside] - base, start[inside] - base + length)
-    return start, hashes
-
-
-def _send(length: int, gram: int, bits: int):
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                block, _, raw, offsets = _blocks.unpack(b, i)
-                _, hashes = _crowded(raw, offsets, anchors(raw, offsets, length, gram), _told(b, i, "told"), length)
-                yield phrases.to_shards(block, hashes, bits)
-
-    return run
-
-
-def _strip(length: int, gram: int):
+def _strip(length: int):
     def run(batches):
         for b in batches:
+            whole_at, ranges_at = b.schema.get_field_index("whole"), b.schema.get_field_index("ranges")
             for i in range(b.num_rows):
                 _, ids, raw, offsets = _blocks.unpack(b, i)
-                told = _told(b, i, "told")
                 edge = np.zeros(len(raw) + 1, np.int32)
-                found = anchors(raw, offsets, length, gram) if told else None
-                whole = np.array([t["slot"] for t in told if t["whole"]], np.int64)
-                for lo, hi in ([(found["lo"][whole], found["hi"][whole])] if len(whole) else []) + [(np.array([s["first"] for s in _told(b, i, "sorted")], np.int64), np.array([s["last"] for s in _told(b, i, "sorted")], np.int64))]:
+                told = [(x, x + t["span"]) for t in b.column(whole_at)[i].as_py() or [] for x in t["at"]]
+                told += [(t["first"], t["last"]) for t in b.column(ranges_at)[i].as_py() or []]
+                if told:
+                    lo, hi = np.array(told, np.int64).T
                     np.add.at(edge, lo, 1)
                     np.add.at(edge, hi + length, -1)
-                if any(t["role"] == 2 for t in told):
-                    start, hashes = _crowded(raw, offsets, found, told, length)
-                    again = start[phrases.from_shards(hashes, _told(b, i, "marks"))]
-                    np.add.at(edge, again, 1)
-                    np.add.at(edge, again + length, -1)
                 covered = np.cumsum(edge)[:-1] > 0
                 kept, spans, sizes = [], [], []
                 for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     own = covered[x:y]
                     begin, end = _blocks.runs(own)
                     kept.append(raw[x:y][~own].tobytes())
-                    spans.append([{"start": int(p), "end": int(q)} for p, q in zip(begin, end)])
+                    spans.append([{"start": p, "end": q} for p, q in zip(begin.tolist(), end.tolist())])
                     sizes.append(y - x)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
@@ -296,34 +164,10 @@ def _strip(length: int, gram: int):
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, block_bytes: int = _blocks.BLOCK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, kinds: int = _anchored.KINDS, block_bytes: int = _blocks.BLOCK_BYTES, step: int = _anchored.STEP) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``removed`` (byte spans, end exclusive) and ``kept`` (the remaining bytes)."""
-    from areaweave.llm._common import cut
-
-    blocks = _blocks.pack(docs, id_col, text_col, block_bytes)
-    every = cut(blocks.mapInArrow(_anchor_rows(length, gram), "g long, c long, block long, slot int"), "anchors")
-    # grams that occur again: counted and compared before anything moves whole
-    grams = every.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).where("n > 1")
-    again = cut(every.join(grams, "g").select("g", "c", "block", "slot", (F.col("least") != F.col("most")).alias("mixed")), "anchors-again")
-    contexts = again.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("block", "slot")).alias("one"))
-    kinds = contexts.groupBy("g").agg(F.count("*").alias("kinds"))
-    stands = (F.col("one.block") == F.col("block")) & (F.col("one.slot") == F.col("slot"))
-    role = F.when(~F.col("mixed") | ~stands, 0).when(F.col("kinds") > crowd, 2).otherwise(1)
-    known = again.join(contexts, ["g", "c"]).join(kinds, "g").select("block", "slot", "g", (F.col("n") > 1).alias("whole"), role.alias("role"))
-    known = cut(known.where("whole or role > 0"), "anchors-known")
-    told = known.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("slot", "g", "whole", "role")).alias("told"))
-    with_told = blocks.join(told, F.col("block") == F.col("of"), "left").drop("of")
-
-    sent = with_told.mapInArrow(_contexts(length, gram), "g long, block long, start long, whole boolean, bytes binary")
-    dealt = sent.repartition("g").sortWithinPartitions("g", "block", "start")
-    ranges = cut(dealt.mapInArrow(_resolve(length), "block long, first long, last long"), "suffix-ranges")
-    found = ranges.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("first", "last")).alias("sorted"))
-    rows = with_told.join(found, F.col("block") == F.col("of"), "left").drop("of")
-    crowded = known.where("role = 2").agg(F.count("*")).first()[0]
-    if crowded:
-        bits = max(0, int(np.ceil(np.log2(max(1, crowded * length / phrases.SHARD_BYTES)))))
-        marks = phrases.settle(with_told.mapInArrow(_send(length, gram, bits), phrases.SENT), bits)
-        rows = rows.join(marks, F.col("block") == F.col("of"), "left").drop("of")
-    else:
-        rows = rows.withColumn("marks", F.lit(None))
-    return rows.mapInArrow(_strip(length, gram), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    blocks, view = _blocks.pack(docs, id_col, text_col, block_bytes), _view(gram)
+    run, schema = _anchored.send(length, gram, view, places=True, step=step)
+    known = _anchored.known_contexts(blocks.mapInArrow(run, schema))
+    ranges = _anchored.find(blocks, known, length, view, lambda data: lambda a, b: data[a:b], _solve(length), WIDTHS, SORT_BYTES, kinds)
+    return _anchored.told(blocks, known, ranges).mapInArrow(_strip(length), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")

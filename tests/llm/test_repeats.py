@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from areaweave.llm import jaccard, phrases, suffixes
+from areaweave.llm import _hash, jaccard, phrases, suffixes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -28,8 +29,8 @@ def test_phrases(docs, rows):
     for k, w in all_words.items():
         mark = covered(len(w), [s for s in range(len(w) - size + 1) if count[tuple(w[s : s + size])] > 1], size)
         want[rows[k][0], len(w), " ".join(x for x, m in zip(w, mark) if not m)] += 1
-    for block in (1 << 20, 4000):  # one block, and many
-        got = Counter((r["doc_id"], r["n_words"], r["kept"]) for r in phrases.dedup(docs, block_bytes=block, shard_bytes=3000).collect())
+    for block, kinds, step in ((1 << 20, 1000, 1 << 20), (4000, 1000, 100), (4000, 1, 1 << 20)):  # one block; many, in steps; dealt again by cores
+        got = Counter((r["doc_id"], r["n_words"], r["kept"]) for r in phrases.dedup(docs, block_bytes=block, kinds=kinds, step=step).collect())
         assert got == want
     assert any(r["removed"] for r in phrases.dedup(docs).collect())
 
@@ -43,8 +44,8 @@ def test_suffixes(docs, rows):
     for (i, *_), t in zip(rows, texts):
         mark = covered(len(t), [s for s in range(len(t) - size + 1) if count[t[s : s + size]] > 1], size)
         want[i, len(t), bytes(b for b, m in zip(t, mark) if not m)] += 1
-    for crowd, block in ((1000, 1 << 20), (1, 5000)):  # sorted, and by hash
-        got = Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in suffixes.dedup(docs, crowd=crowd, block_bytes=block).collect())
+    for kinds, block, step in ((1000, 1 << 20, 1 << 20), (1000, 5000, 700), (1, 5000, 1 << 20)):
+        got = Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in suffixes.dedup(docs, kinds=kinds, block_bytes=block, step=step).collect())
         assert got == want
 
 
@@ -56,18 +57,33 @@ def test_suffix_array_random():
 
 
 def test_window_hashes():
-    h = jaccard.mix(np.array([1, 2, 3, 1, 2, 3, 9], np.uint64))
+    h = _hash.mix(np.array([1, 2, 3, 1, 2, 3, 9], np.uint64))
     for size in (1, 2, 3, 5):
-        w = phrases.window_hashes(h, size)
+        w = _hash.window_hashes(h, size)
         assert len(w) == 8 - size
         for i in range(len(w)):
             for j in range(len(w)):
                 assert (w[i] == w[j]) == (h[i : i + size].tolist() == h[j : j + size].tolist())
 
 
-def test_hash_packing():
-    v = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
-    assert (phrases.decode(phrases.encode(v), len(v)) == v).all()
+def test_least_places():
+    rng = np.random.default_rng(1)
+    for n, width in ((1, 1), (5, 7), (50, 7), (200, 1), (300, 29), (64, 64)):
+        h = rng.integers(0, 9, n).astype(np.uint64) << np.uint64(40)
+        want = [i + int(np.argmin(h[i : i + width])) for i in range(n - width + 1)]
+        assert _hash.least_places(h, width).tolist() == want
+
+
+def test_word_hashes():
+    """Equal words have equal hashes, wherever they stand, and no pattern of letters cancels out."""
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    names = ["a", "b", "ab", "abcdefgh", "abcdefgi", "abcdefghi", "é", "x" * 64, "x" * 65, "日本", thue, thue.translate(str.maketrans("ab", "ba"))]
+    raw, offsets = _hash.text_bytes(pa.array([" ".join(names), " ".join(reversed(names))]))
+    starts, ends, first = _hash.word_bounds(raw, offsets)
+    h = _hash.word_hashes(raw, starts, ends).tolist()
+    assert h[: len(names)] == h[len(names) :][::-1] and len(set(h)) == len(names)
 
 
 def shingles(t):
@@ -98,26 +114,68 @@ def brute(rows):
     return Counter((rows[i][0], low.get(root(i)) if sets[i] else rows[i][0], links[i]) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("block", [512, 3])
 def test_jaccard(docs, rows, block):
     got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.join(docs, block=block).collect())
     assert got == brute(rows)
 
 
 def test_keep_one(docs, rows):
+    """Of the rows with shingles, one of each class; the least id, then whatever text; blank rows all stay."""
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
-    gone = {i for i, c, _ in brute(rows) if i is not None and c is not None and c < i}
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r[0] for r in rows if r[0] not in gone)
+    sets, parent = [shingles(r[1]) for r in rows], list(range(len(rows)))
 
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
 
-def test_empty(empty):
-    assert phrases.dedup(empty).count() == suffixes.dedup(empty).count() == jaccard.join(empty).count() == 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                parent[root(i)] = root(j)
+    got = kept.collect()
+    blank = [r for r in rows if not shingles(r[1])]
+    assert Counter(r["extra"] for r in got if not shingles(r["text"])) == Counter(r[5] for r in blank)
+    left = [r for r in got if shingles(r["text"])]
+    assert sorted(root(r["extra"]) for r in left) == sorted({root(i) for i, s in enumerate(sets) if s})
+    least = {}
+    for i, r in enumerate(rows):
+        if sets[i]:
+            least[root(i)] = min(least.get(root(i), (True, 0)), (r[0] is None, r[0] or 0))
+    assert all((r["doc_id"] is None, r["doc_id"] or 0) == least[root(r["extra"])] for r in left)
+
+
+def test_keep_one_with_repeated_ids(spark):
+    a, b, c = ("one two three four five six " * 3, "seven eight nine ten eleven twelve " * 3, "red green blue black white grey " * 3)
+    df = spark.createDataFrame([(5, a), (95, a), (95, b), (7, c), (7, c), (None, b), (8, None), (8, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"] or "") for r in jaccard.keep_one(df).collect()) == [(5, a), (7, c), (8, ""), (8, ""), (95, b)]
+
+
+def test_prefixes_shorten_by_what_a_text_can_reach():
+    assert jaccard.weakest(3) is None and jaccard.weakest(4) == 0.8 and jaccard.weakest(6) == pytest.approx(5 / 6) and jaccard.weakest(7) == pytest.approx(6 / 7)
+    assert jaccard.prefix_depth(similarity=6 / 7) > jaccard.prefix_depth() == 5
+    for s in (0.8, 5 / 6, 6 / 7):
+        d = jaccard.prefix_depth(similarity=s)
+        assert 1 - (1 - s**d) ** jaccard.TREES >= jaccard.RECALL
+        assert d == jaccard.DEPTH or 1 - (1 - s ** (d + 1)) ** jaccard.TREES < jaccard.RECALL
+
+
+def test_meetings():
+    """Pairs that share the longer of their prefixes in some tree, against all pairs."""
+    rng = np.random.default_rng(2)
+    m, deep = rng.integers(0, 2, (40, 3, 8)), rng.integers(3, 7, 40)
+    both = np.stack([jaccard.labels_of(x.ravel().astype(np.uint32), 3, 8) for x in m])
+    met = jaccard.meetings(np.ascontiguousarray(both[:, :, 0].T), np.ascontiguousarray(both[:, :, 1].T), deep, 3)
+    for i in range(40):
+        for j in range(40):
+            want = i != j and any((m[i, t, : max(deep[i], deep[j])] == m[j, t, : max(deep[i], deep[j])]).all() for t in range(3))
+            assert met[i, j] == want
 
 
-def test_forest_depth():
-    d = jaccard.prefix_depth()
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+def test_empty(empty):
+    assert phrases.dedup(empty).count() == suffixes.dedup(empty).count() == jaccard.join(empty).count() == 0
 
 
 def test_dense_and_sparse_counts_agree():
