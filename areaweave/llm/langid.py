@@ -6,9 +6,9 @@ log probabilities of its words. The piece probabilities are fitted by expectatio
 step is the same recursion run forward and backward.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0. With nothing to learn from, every text
-is ``und`` with score 0. Ties between languages go to the first in alphabetical order. Words longer than
-``MAX_WORD`` letters are scored in stretches of that length (all of them). Every row is predicted on its own, so
-repeated rows and ids keep their results; extra columns play no part.
+is ``und`` with score 0. Ties between languages go to the first in alphabetical order. Words of any length are scored
+whole, and very long texts in full. Every row is predicted on its own, so repeated rows and ids keep their results; extra
+columns play no part. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -24,14 +24,11 @@ from pyspark.sql import types as T
 from areaweave.llm._common import cut, slices
 
 UNKNOWN = "und"
-#: Letters of a word that are scored in one stretch.
-MAX_WORD = 40
-#: Pieces longer than this are left out of the vocabulary.
-MAX_PIECE = 8
 #: Probability of a letter that no piece of a language covers.
 FLOOR = 1e-6
-#: Keeps products over a stretch within the range of doubles: the factor for each letter.
-SCALE = float(np.exp(5.0))
+#: Keeps products over a word within the range of doubles: the factor for each letter, and after how many letters the
+#: sums are brought back to one.
+SCALE, RESCALE = float(np.exp(5.0)), 16
 CACHE_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,17 +40,25 @@ def read_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return sorted(p for p in pieces if p and len(p) <= MAX_PIECE and all(c == "▁" or c.isalpha() for c in p) and "▁" not in p[1:])
+    return sorted(p for p in pieces if p and all(c == "▁" or c.isalpha() for c in p) and "▁" not in p[1:])
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text: runs of letters, in lower case."""
-    return _WORD.findall(text.lower())
+    """The words of a text: runs of letters, in lower case. Signs that count as numbers (``½``) are no letters."""
+    found = _WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join([c if c.isalpha() else " " for c in f]).split()]
 
 
-def stretches(word: str) -> list[str]:
-    marked = "▁" + word
-    return [marked[i : i + MAX_WORD] for i in range(0, len(marked), MAX_WORD)]
+def by_length(words: list[str]) -> dict[int, tuple[list[int], list[str]]]:
+    """The places and marked forms of the words of each length."""
+    groups: dict[int, tuple[list[int], list[str]]] = {}
+    for k, w in enumerate(words):
+        at, texts = groups.setdefault(len(w) + 1, ([], []))
+        at.append(k)
+        texts.append("▁" + w)
+    return groups
 
 
 class Unigrams:
@@ -68,59 +73,75 @@ class Unigrams:
         length = np.array([len(p) for p in pieces] + [1])
         self.scaled = self.prob * SCALE ** length[:, None]
         self.none = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
 
     def columns(self, words: list[str], i: int, j: int) -> np.ndarray:
         get = self.row.get
         default = self.none if j - i == 1 else -1
         return np.array([get(w[i:j], default) for w in words], np.int64)
 
-    def forward(self, words: list[str]) -> tuple[list[np.ndarray], dict]:
-        """Scaled forward sums of words of one length, and the piece rows of each span."""
+    def forward(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], dict]:
+        """Forward sums of words of one length, the logarithm each was scaled by, and the piece rows of each span."""
         n, langs = len(words[0]), self.prob.shape[1]
         alpha = [np.ones((len(words), langs))]
+        scale = [np.zeros((len(words), langs))]
         spans: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for j in range(1, n + 1):
             total = np.zeros((len(words), langs))
-            for i in range(max(0, j - MAX_PIECE), j):
+            for i in range(max(0, j - self.longest), j):
                 at = self.columns(words, i, j)
                 hit = np.flatnonzero(at >= 0)
                 if len(hit):
                     spans[i, j] = hit, at[hit]
                     total[hit] += alpha[i][hit] * self.scaled[at[hit]]
             alpha.append(total)
-        return alpha, spans
+            scale.append(scale[-1])
+            if j % RESCALE == 0:
+                # the sums that the next letters reach back to go down together
+                top = total
+                for i in range(max(0, j + 1 - self.longest), j + 1):
+                    alpha[i] = alpha[i] / top
+                    scale[i] = scale[i] + np.log(top)
+        return alpha, scale, spans
 
     def log_prob(self, words: list[str]) -> np.ndarray:
         """Log probability of each word under each language."""
         out = np.zeros((len(words), self.prob.shape[1]))
-        groups: dict[int, tuple[list[int], list[str]]] = {}
-        for k, w in enumerate(words):
-            for s in stretches(w):
-                at, texts = groups.setdefault(len(s), ([], []))
-                at.append(k)
-                texts.append(s)
-        for n, (at, texts) in groups.items():
-            alpha, _ = self.forward(texts)
-            np.add.at(out, at, np.log(alpha[-1]) - n * np.log(SCALE))
+        for n, (at, texts) in by_length(words).items():
+            # many words of one length at a time, but not more letters than a batch should hold
+            few = max(1, 2_000_000 // (n * self.prob.shape[1]))
+            for k in range(0, len(at), few):
+                alpha, scale, _ = self.forward(texts[k : k + few])
+                out[at[k : k + few]] = np.log(alpha[-1]) + scale[-1] - n * np.log(SCALE)
         return out
 
     def expected(self, words: list[str], weight: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, by language; weight: uses of each word by language."""
         out = np.zeros_like(self.prob)
-        groups: dict[int, tuple[list[int], list[str]]] = {}
-        for k, w in enumerate(words):
-            for s in stretches(w):
-                at, texts = groups.setdefault(len(s), ([], []))
-                at.append(k)
-                texts.append(s)
-        for n, (at, texts) in groups.items():
-            alpha, spans = self.forward(texts)
-            beta = [np.zeros_like(alpha[0]) for _ in range(n)] + [np.ones_like(alpha[0])]
-            for (i, j), (hit, rows) in sorted(spans.items(), key=lambda x: -x[0][1]):
-                beta[i][hit] += beta[j][hit] * self.scaled[rows]
-            share = weight[at] / alpha[-1]
-            for (i, j), (hit, rows) in spans.items():
-                np.add.at(out, rows, alpha[i][hit] * self.scaled[rows] * beta[j][hit] * share[hit])
+        for n, (at, texts) in by_length(words).items():
+            few = max(1, 2_000_000 // (n * self.prob.shape[1]))
+            for k in range(0, len(at), few):
+                part = at[k : k + few]
+                alpha, scale, spans = self.forward(texts[k : k + few])
+                beta = [np.zeros_like(alpha[0]) for _ in range(n)] + [np.ones_like(alpha[0])]
+                back = [np.zeros_like(alpha[0]) for _ in range(n + 1)]
+                ends: dict[int, list[int]] = {}
+                for i, j in spans:
+                    ends.setdefault(i, []).append(j)
+                for i in range(n - 1, -1, -1):
+                    back[i] = back[i + 1]
+                    for j in ends.get(i, ()):
+                        hit, rows = spans[i, j]
+                        beta[i][hit] += beta[j][hit] * self.scaled[rows]
+                    if (n - i) % RESCALE == 0:
+                        top = beta[i]
+                        for j in range(i, min(n, i + self.longest)):
+                            beta[j] = beta[j] / top
+                            back[j] = back[j] + np.log(top)
+                share = weight[part] / alpha[-1]
+                for (i, j), (hit, rows) in spans.items():
+                    shift = np.exp(scale[i][hit] + back[j][hit] - scale[-1][hit])
+                    np.add.at(out, rows, alpha[i][hit] * self.scaled[rows] * beta[j][hit] * share[hit] * shift)
         return out[:-1]
 
 
@@ -134,7 +155,7 @@ def fit(
 ) -> tuple[list[str], np.ndarray]:
     """Languages and a (piece, language) table of probabilities.
 
-    Learns from a bounded sample: about ``max_docs_per_lang`` documents of each language, picked by a hash of the row,
+    Learns from a bounded sample: about ``max_docs_per_lang`` documents of each language, picked by a hash of the text,
     so that the sample is the same for the same rows in any order. The words of the sample are counted and
     the expectation step runs on the executors; what comes to the driver is one row per piece and language.
     """
@@ -146,7 +167,7 @@ def fit(
         return [], np.zeros((len(pieces), 0))
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, max_docs_per_lang / counts[k])))])
     # the share of the range of a hash that a document has to fall into
-    picked = rows.where((F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in train.columns]), F.lit(1 << 20)) / float(1 << 20)) < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    picked = rows.where((F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)) < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
         for b in batches:
