@@ -9,8 +9,8 @@ eight), so a text of n tokens takes O(n) steps in one row and nothing is explode
 
 Defined cases: null text is an empty text. An empty text has an empty fingerprint; a text of fewer than k tokens has
 the hash of all its tokens; fewer than w grams form one window. Two empty fingerprints have likeness 1, an empty and
-another 0. Equal texts have equal fingerprints. Positions count modulo 2**23: only in texts of more tokens may a tie
-across such a border go to the left. Extra columns pass through.
+another 0. Equal texts have equal fingerprints. Hashes have 32 bits and positions 31, as many as an array has places, so
+texts of any length follow one rule. An empty table gives an empty table. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from areaweave.llm._common import text_or_empty
 
 #: Tokens in a gram, and grams in a window; both powers of two.
 GRAM, WINDOW = 4, 16
-_POSITION_BITS = 23
-_HASH_MASK = (1 << 40) - 1
+_POSITION_BITS = 31
+_HASH_MASK = (1 << 32) - 1
 _TOP = (1 << _POSITION_BITS) - 1
 
 
@@ -43,7 +43,7 @@ def fingerprint(df: DataFrame, text_col: str, out: str, gram: int = GRAM, window
     while step < gram:
         df = df.withColumn(tmp, _pairs(F.col(tmp), step, lambda a, b: F.xxhash64(a, b)))
         step *= 2
-    packed = lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(_HASH_MASK)), _POSITION_BITS).bitwiseOR(F.lit(_TOP) - F.pmod(i, F.lit(_TOP + 1)))
+    packed = lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(_HASH_MASK)), _POSITION_BITS).bitwiseOR(F.lit(_TOP).cast("long") - i)
     df = df.withColumn(tmp, F.transform(F.coalesce(F.col(f"{tmp}s"), F.col(tmp)), packed)).drop(f"{tmp}s")
     # fewer grams than a window: all of them are one window
     df = df.withColumn(f"{tmp}s", F.when((F.size(tmp) > 0) & (F.size(tmp) < window), F.array(F.array_min(tmp))))
@@ -71,33 +71,52 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, F.lit(1.0)).otherwise(both / F.greatest(all_, F.lit(1)))
 
 
-#: Consecutive ids that are dealt to one window partition, and blocks that are linked together.
-_BLOCK_BITS, _LINK_BITS = 6, 12
+#: Bits of an id that tell rows of a block apart, and further bits that each level of blocks takes.
+_LEVELS = (6, 18, 30, 42, 54)
+
+
+def _followers(blocks: DataFrame) -> DataFrame:
+    """``b, nb``: for each block (ids without their last bits) the next one that exists; after the last, the first.
+
+    Within a group of at most 4,096 blocks a window finds the next; the last of a group takes the first block of the next
+    group, which is found in the same way one level up. At the top at most 1,024 groups are left, so no window holds more.
+    """
+    names = [f"g{k}" for k in range(len(_LEVELS))]
+    nodes = blocks.select(F.col("b").alias("g0"), F.col("b").alias("first"))
+    tables = []
+    for k in range(1, len(_LEVELS)):
+        tables.append(nodes.withColumn(names[k], F.shiftright(names[k - 1], _LEVELS[k] - _LEVELS[k - 1])))
+        nodes = tables[-1].groupBy(names[k]).agg(F.min("first").alias("first"))
+    top = Window.orderBy(names[-1])
+    after = nodes.withColumn("after", F.coalesce(F.lead("first").over(top), F.min("first").over(top.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select(names[-1], "after")
+    for k in range(len(_LEVELS) - 2, -1, -1):
+        inside = tables[k].withColumn("next", F.lead("first").over(Window.partitionBy(names[k + 1]).orderBy(names[k])))
+        after = inside.join(after, names[k + 1]).select(names[k], F.coalesce("next", "after").alias("after"))
+    return after.select(F.col("g0").alias("b"), F.col("after").alias("nb"))
 
 
 def with_next(df: DataFrame, id_col: str, carried: list[str], order: list[str]) -> DataFrame:
     """Add ``next_<c>`` for each carried column: its value in the next row by ascending id; after the last, the first.
 
-    Ids are dealt in blocks of 64 consecutive values, so the rows move once and no task holds more than its blocks.
-    The last row of a block takes its follower from a table of first rows (one for each block). A row without an id
-    has no place in the order and no next row. Rows of equal id follow each other by ``order``.
+    Ids are dealt in blocks of 64 consecutive values, so the rows move once and no task holds more than its blocks,
+    however far apart the ids lie. The last row of a block takes its follower from a table of first rows (one for each
+    block). A row without an id has no place in the order and no next row. Rows of equal id follow each other by
+    ``order``. Names of the input that clash with ``next_<c>`` are replaced.
     """
-    block = F.shiftright(F.col(id_col).cast("long"), _BLOCK_BITS)
-    lone = F.concat(F.lit("x"), F.xxhash64(*order).cast("string"))
-    rows = df.withColumn("__block", block).withColumn("__key", F.coalesce(block.cast("string"), lone))
-    w = Window.partitionBy("__key").orderBy(id_col, *order)
-    rows = rows.withColumn("__next", F.lead(F.struct(*carried)).over(w)).withColumn("__first", F.row_number().over(w) == 1)
-    firsts = rows.where("__first and __block is not null").select(F.col("__block").alias("__of"), F.struct(*carried).alias("__value"))
-    # the block after each block, found within groups of 4,096 blocks, and from group to group
-    blocks = df.where(F.col(id_col).isNotNull()).select(block.alias("b")).distinct().withColumn("g", F.shiftright("b", _LINK_BITS))
-    groups = blocks.groupBy("g").agg(F.min("b").alias("first"))
-    everything = Window.orderBy("g")
-    linked = groups.withColumn("after", F.coalesce(F.lead("first").over(everything), F.min("first").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select(F.col("g").alias("gg"), "after")
-    chain = blocks.withColumn("nb", F.lead("b").over(Window.partitionBy("g").orderBy("b"))).join(linked, F.col("g") == F.col("gg")).select("b", F.coalesce("nb", "after").alias("nb"))
-    follow = chain.join(firsts, F.col("nb") == F.col("__of")).select(F.col("b").cast("string").alias("__bkey"), "__value")
-    rows = rows.join(follow, F.col("__key") == F.col("__bkey"), "left")
-    value = F.coalesce(F.col("__next"), F.when(F.col("__block").isNotNull(), F.col("__value")))
-    return rows.select(*df.columns, *[value[c].alias(f"next_{c}") for c in carried])
+    kept = [c for c in df.columns if c not in {f"next_{x}" for x in carried}]
+    own = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    block = F.shiftright(F.col(f"`{id_col}`").cast("long"), _LEVELS[0])
+    lone = F.concat(F.lit("x"), F.xxhash64(*[F.col(f"`{c}`") for c in order]).cast("string"))
+    value = F.struct(*[F.col(f"row.`{c}`") for c in carried])
+    rows = df.select(own, block.alias("block"), F.coalesce(block.cast("string"), lone).alias("key"))
+    w = Window.partitionBy("key").orderBy(F.col(f"row.`{id_col}`"), *[F.col(f"row.`{c}`") for c in order])
+    rows = rows.withColumn("next", F.lead(value).over(w)).withColumn("first", F.row_number().over(w) == 1)
+    firsts = rows.where("first and block is not null").select(F.col("block").alias("of"), value.alias("value"))
+    blocks = df.where(F.col(f"`{id_col}`").isNotNull()).select(block.alias("b")).distinct()
+    follow = _followers(blocks).join(firsts, F.col("nb") == F.col("of")).select(F.col("b").cast("string").alias("bkey"), "value")
+    rows = rows.join(follow, F.col("key") == F.col("bkey"), "left")
+    after = F.coalesce(F.col("next"), F.when(F.col("block").isNotNull(), F.col("value")))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *[after[c].alias(f"next_{c}") for c in carried])
 
 
 def edited(text: Column, following: Column) -> Column:
