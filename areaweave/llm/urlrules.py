@@ -1,13 +1,16 @@
 """URL filters: fixed rules first, then association rules mined by FP-growth, in DataFrame operations only.
 
 URL tokens (labels of the host, segments of the path, digits as ``#``) with the label of a rated page form the
-baskets. Frequent combinations that imply ``block`` with enough support and confidence become rules; a rule implied
-by a part of itself is dropped. Rules are matched through an inverted index: each rule is posted under its rarest
-token only, a URL looks up its tokens, and the few rules found are tested whole.
+baskets. Frequent combinations that imply a label, ``block`` or ``allow``, more often than it is found anyway become rules:
+they need support, a lift over the share of their label, and a confidence that chance would not give. A rule is dropped
+if a part of it says the same at least as surely. Rules are matched through an inverted index: each rule is posted under
+its rarest token only, a URL looks up its tokens, and the few rules found are tested whole. The rule of the greatest lift
+decides.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and is allowed unless a rule says
 otherwise. Without labels, or with one label only, there are no mined rules and URLs without a fixed rule are
-allowed. Fixed rules win over mined ones; the longest (host and path) of several wins, and block over allow if they
+allowed. Of mined rules of equal lift the more confident one decides, then block. Very long URLs are read in full, and an
+empty table gives an empty table. Fixed rules win over mined ones; the longest (host and path) of several wins, and block over allow if they
 are the same. Distinct URLs are judged once and joined back, so repeated rows keep their rows. Columns other than the
 id and the URL play no part.
 """
@@ -58,32 +61,40 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(hosts, segments), lambda t: ~t.rlike(r":$")))
 
 
-def mine(baskets: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, least_pages: int = 20) -> DataFrame:
-    """Rules ``(rule, needs, confidence, support)`` that imply block, from baskets ``(tokens, blocked)``.
+def mine(baskets: DataFrame, min_support: float = 0.005, min_lift: float = 1.2, least_pages: int = 20, sure: float = 5.0) -> DataFrame:
+    """Rules ``(rule, says, needs, confidence, support, lift)`` that imply a label, from baskets ``(tokens, blocked)``.
 
-    The label is an item of the basket. A rule needs ``min_support`` of the baskets and ``least_pages`` of them. A rule is kept if its confidence is at least ``min_confidence`` and it is
-    more confident than every rule whose tokens are a part of its own.
+    The label is an item of the basket. A rule needs ``min_support`` of the baskets and ``least_pages`` of them with its
+    label, ``min_lift`` times the share that the label has anyway, and a confidence ``sure`` standard deviations above
+    that share (thousands of combinations are tried). It is dropped if a rule of part of its tokens has as great a lift.
     """
-    label = F.lit("label:block")
-    items = baskets.select(F.when(F.col("blocked"), F.array_append("tokens", label)).otherwise(F.col("tokens")).alias("items"))
-    support = min(1.0, max(min_support, least_pages / max(1, items.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == label))
-    rules = rules.select(F.array_sort("antecedent").alias("needs"), "confidence", "support").withColumn("rule", F.array_join("needs", " "))
+    labels = {"block": F.lit("label:block"), "allow": F.lit("label:allow")}
+    items = baskets.select(F.array_append("tokens", F.when(F.col("blocked"), labels["block"]).otherwise(labels["allow"])).alias("items"))
+    total, blocked = baskets.agg(F.count("*"), F.count_if("blocked")).first()
+    base = {"block": blocked / max(1, total), "allow": 1 - blocked / max(1, total)}
+    support = min(1.0, max(min_support, least_pages / max(1, total)))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min(1.0, min_lift * min(base.values()))).fit(items)
+    says = F.substring_index(F.col("consequent")[0], ":", -1)
+    rules = model.associationRules.where((F.size("consequent") == 1) & F.col("consequent")[0].isin(*[f"label:{k}" for k in labels]))
+    share = F.when(says == "block", base["block"]).otherwise(base["allow"])
+    seen = F.col("support") * total / F.col("confidence")
+    chance = (F.col("confidence") - share) * F.sqrt(seen) >= F.lit(sure) * F.sqrt(share * (F.lit(1.0) - share))
+    rules = rules.where((F.col("confidence") >= share * min_lift) & chance)
+    rules = rules.select(F.array_sort("antecedent").alias("needs"), says.alias("says"), "confidence", "support", F.try_divide(F.col("confidence"), share).alias("lift")).withColumn("rule", F.array_join("needs", " "))
     # parts of a rule share a token with it: look for a stronger or equal one under each of its tokens
-    posted = rules.select(F.col("needs").alias("small"), F.col("confidence").alias("c"), F.col("needs")[0].alias("token"))
+    posted = rules.select(F.col("needs").alias("small"), F.col("says").alias("also"), F.col("lift").alias("c"), F.col("needs")[0].alias("token"))
     weaker = (
-        rules.select("rule", "needs", "confidence", F.explode("needs").alias("token"))
+        rules.select("rule", "says", "needs", "lift", F.explode("needs").alias("token"))
         .join(posted, "token")
-        .where((F.size("small") < F.size("needs")) & (F.size(F.array_except("small", "needs")) == 0) & (F.col("c") >= F.col("confidence")))
-        .select("rule")
+        .where((F.col("also") == F.col("says")) & (F.size("small") < F.size("needs")) & (F.size(F.array_except("small", "needs")) == 0) & (F.col("c") >= F.col("lift")))
+        .select("rule", "says")
         .distinct()
     )
-    return rules.join(weaker, "rule", "left_anti")
+    return rules.join(weaker, ["rule", "says"], "left_anti")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(url_key, confidence)`` of the URLs that some rule fits; ``urls`` has ``url_key`` and ``tokens``.
+    """``(url_key, says, confidence)`` of the URLs that some rule fits, by the best one; ``urls`` has ``url_key`` and ``tokens``.
 
     Each rule stands in the inverted index under its rarest token, so a frequent token leads only to rules that have
     nothing rarer.
@@ -91,14 +102,15 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     wanted = rules.select(F.explode("needs").alias("token")).distinct()
     tally = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).join(wanted, "token")
     index = (
-        rules.select("rule", "needs", "confidence", F.explode("needs").alias("token"))
+        rules.select("rule", "says", "needs", "confidence", "lift", F.explode("needs").alias("token"))
         .join(tally, "token", "left")
-        .groupBy("rule", "needs", "confidence")
+        .groupBy("rule", "says", "needs", "confidence", "lift")
         .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     )
     hits = urls.select("url_key", "tokens", F.explode("tokens").alias("token")).join(index, "token")
     hits = hits.where(F.size(F.array_except("needs", "tokens")) == 0)
-    return hits.groupBy("url_key").agg(F.max("confidence").alias("confidence"))
+    best = hits.groupBy("url_key").agg(F.max(F.struct("lift", "confidence", "says")).alias("r"))
+    return best.select("url_key", "r.says", "r.confidence")
 
 
 def judge(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, **mining) -> DataFrame:
@@ -116,6 +128,6 @@ def judge(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_co
     out = own.join(found, "url_key", "left")
     return out.select(
         "page_id", "host", "path", "rule",
-        F.coalesce("fixed", F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        F.coalesce("fixed", "says", F.lit("allow")).alias("verdict"),
         F.when(F.col("fixed").isNull(), F.col("confidence")).alias("confidence"),
     )
