@@ -9,7 +9,7 @@ Only rows whose hashes meet a benchmark hash go on. The benchmark side is broadc
 (their number is counted first), and otherwise joined by shuffle.
 
 Defined cases: null text is an empty text. A short item is found anywhere in a text, by masks of its own length, and all
-its tokens have to agree if it has three or fewer. Items without tokens match nothing. An empty benchmark leaves every
+its tokens have to agree if it has three or fewer. Items without tokens match nothing. Very long texts are compared in full. An empty benchmark leaves every
 document clean. Rows of equal id and text are decided alike; a document is named once for each item. Columns other than
 id and text play no part.
 """
@@ -90,7 +90,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # a hit of an item that has to agree in all its tokens is found anew wherever it stands: one place is enough
     whole = F.size("item") == F.ceil(F.size("item") * AGREE)
     probes = cut(seeds(bodies.withColumn("whole", whole), ["item_key", "whole"], "item", fits).withColumnRenamed("at", "item_at"), "benchmark-seeds")
-    small = probes.count() <= BROADCAST_HASHES
+    # all that would be sent is counted: places of masks (more than tokens), and ids, which may share their tokens
+    small = max(probes.count(), items.count()) <= BROADCAST_HASHES
     sent = F.broadcast if small else (lambda df: df)
 
     keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(f"`{text_col}`").alias("text"))

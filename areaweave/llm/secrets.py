@@ -10,7 +10,8 @@ and role, so a text full of parts yields a few rows for each part and never pair
 
 Defined cases: null text is an empty text, without spans. Spans are code points, end exclusive; matches of a kind are
 leftmost and do not overlap. A weak part that overlaps a strong span is left out. Every row has its own spans, so
-repeated rows and ids do not mix; extra columns pass through, and a column named ``spans`` is replaced.
+repeated rows and ids do not mix; extra columns pass through, and a column named ``spans`` is replaced. Texts and runs of
+any length are read in full. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,17 +37,17 @@ ENDPOINT = r"""\b(?:https?|s3|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redi
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 STRONG = 3
-_SPAN = "array<struct<start:int,rank:int,end:int>>"
+_SPAN = "array<struct<start:int,rank:int,end:int,byte_start:int,byte_end:int>>"
 
 
-def _prefix_sums(a: Column) -> Column:
-    """Running sums of an array by doubling: O(n log n), no array grown element by element."""
+def _running(a: Column, f) -> Column:
+    """Running sums (or maxima) of an array of numbers from 0 on, by doubling: O(n log n), no array grown bit by bit."""
     n = F.size(a)
     steps = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda s: F.expr("1").cast("long") * F.pow(F.lit(2.0), s) < n)
 
     def step(acc, s):
         by = F.pow(F.lit(2.0), s).cast("int")
-        return F.zip_with(acc, F.concat(F.array_repeat(F.lit(0), by), F.slice(acc, F.lit(1), F.size(acc) - by)), lambda x, y: x + y)
+        return F.zip_with(acc, F.concat(F.array_repeat(F.lit(0), by), F.slice(acc, F.lit(1), F.size(acc) - by)), f)
 
     return F.aggregate(steps, a, step)
 
@@ -56,19 +57,23 @@ def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0
     p = F.lit(pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    lengths = F.transform(found, lambda m: F.length(m))
-    gaps = F.transform(between, lambda m: F.length(m))
-    before = F.concat(F.array(F.lit(0)), F.slice(lengths, F.lit(1), F.greatest(F.size(lengths) - 1, F.lit(0))))
-    starts = _prefix_sums(F.zip_with(gaps, before, lambda a, b: a + b))
+
+    def placed(measure) -> tuple[Column, Column]:
+        lengths, gaps = F.transform(found, measure), F.transform(between, measure)
+        before = F.concat(F.array(F.lit(0)), F.slice(lengths, F.lit(1), F.greatest(F.size(lengths) - 1, F.lit(0))))
+        return _running(F.zip_with(gaps, before, lambda a, b: a + b), lambda x, y: x + y), lengths
+
+    # code points, and bytes by which a text can be cut without reading it from its start
+    (starts, lengths), (at, size) = placed(lambda m: F.length(m)), placed(lambda m: F.octet_length(m))
     kept = F.regexp_extract_all(text, p, F.lit(group)) if group else found
-    rows = F.arrays_zip(starts.alias("s"), lengths.alias("n"), F.transform(kept, lambda g: F.length(g)).alias("g"))
+    rows = F.arrays_zip(starts.alias("s"), lengths.alias("n"), F.transform(kept, lambda g: F.length(g)).alias("g"), at.alias("b"), size.alias("m"))
     good = F.filter(rows, lambda r: r["g"] >= least)
-    made = F.transform(good, lambda r: F.struct(r["s"].alias("start"), F.lit(rank).alias("rank"), (r["s"] + r["n"]).alias("end")))
+    made = F.transform(good, lambda r: F.struct(r["s"].alias("start"), F.lit(rank).alias("rank"), (r["s"] + r["n"]).alias("end"), r["b"].alias("byte_start"), (r["b"] + r["m"]).alias("byte_end")))
     return F.when(F.regexp_like(text, p), made.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, scope: int = SCOPE) -> DataFrame:
-    """Add ``spans``: array of (kind, start, end) by start, then kind; ``keep`` names the columns that go along."""
+    """Add ``spans``: array of (kind, start, end, byte_start, byte_end) by start, then kind; ``keep`` names the columns that go along."""
     names = [c for c in (keep if keep is not None else docs.columns) if c != "spans"]
     text = F.col("__text")
     parts = docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty(f"`{text_col}`").alias("__text"))
@@ -94,7 +99,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     rows = rows.join(told, "__row", "left")
     all_ = F.array_sort(F.concat("__strong", F.coalesce("__told", F.array().cast(_SPAN))))
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    spans = F.transform(all_, lambda s: F.struct(F.element_at(kinds, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    spans = F.transform(all_, lambda s: F.struct(F.element_at(kinds, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["byte_start"].alias("byte_start"), s["byte_end"].alias("byte_end")))
     return rows.select(*[F.col(f"`{c}`") for c in names], spans.alias("spans"))
 
 
@@ -104,15 +109,18 @@ def printed(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "spans", mask: str = "[SECRET]") -> DataFrame:
-    """Replace each run of code points covered by spans with ``mask``; a text without spans stays as it is."""
-    text, spans = F.col(f"`{text_col}`"), F.col(spans_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return df.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text))
+    """Replace each run of code points covered by spans with ``mask``; a text without spans stays as it is.
+
+    Spans come by start. A span opens a run if it starts where all before it have ended; the text between runs is cut
+    out by bytes, each piece once, and joined by the mask.
+    """
+    text, spans = F.col(f"`{text_col}`"), F.col(f"`{spans_col}`")
+    low, n = F.transform(spans, lambda s: s["byte_start"]), F.size(spans)
+    high = _running(F.transform(spans, lambda s: s["byte_end"]), lambda x, y: F.greatest(x, y))
+    before = F.concat(F.array(F.lit(0)), F.slice(high, F.lit(1), n - 1))
+    after = F.concat(F.slice(low, F.lit(2), n - 1), F.array(F.octet_length(text)))
+    rows = F.arrays_zip(low.alias("low"), high.alias("high"), before.alias("before"), after.alias("after"), F.sequence(F.lit(1), n).alias("k"))
+    opens = F.transform(F.filter(rows, lambda r: r["low"] >= r["before"]), lambda r: r["low"])
+    closes = F.transform(F.filter(rows, lambda r: (r["after"] >= r["high"]) | (r["k"] == n)), lambda r: r["high"])
+    pieces = F.zip_with(F.concat(F.array(F.lit(0)), closes), F.concat(opens, F.array(F.octet_length(text))), lambda a, b: F.substring(text.cast("binary"), a + 1, b - a).cast("string"))
+    return df.withColumn(text_col, F.when(n > 0, F.array_join(pieces, mask)).otherwise(text))
