@@ -9,7 +9,8 @@ and a document is a gather over its words.
 Defined cases: null text is an empty text (no tokens, empty decoded text). Special tokens that stand in a text
 become their ids, as the library does by default. Ties between equal merges go to the leftmost. Rows are never
 joined or grouped, so repeated rows and repeated ids keep their own results, and extra columns pass through
-untouched; result columns replace input columns of the same name.
+untouched; result columns replace input columns of the same name. Texts and words of any length are encoded whole. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from pyspark.sql import types as T
 from areaweave.llm._common import slices
 
 #: Words kept per Python worker before the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 4 << 20
 
 
 def _byte_alphabet() -> list[str]:
@@ -78,10 +81,11 @@ class WordBpe:
             for c in t[: -len(self.end)] if last else t:
                 node = node.setdefault(c, {})
             node["$" * last + "id"] = i
-        self.compatible: dict[int, bool] = {}
         self.fresh()
 
     def fresh(self) -> None:
+        """Forget all words and pairs: what a worker keeps is bounded by the words of one generation."""
+        self.compatible: dict[int, bool] = {}
         self.index: dict[str, int] = {}
         self.ids = [np.zeros(0, np.uint32)]
         self.decoded: list[str] = []
@@ -188,24 +192,33 @@ class WordBpe:
             order[row[before], at[before] - 1] = self.look_up(ids[row[before], at[before] - 1], made[before])
         return [r[r >= 0].tolist() for r in out]
 
-    def exact_many(self, symbols: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(symbols)
+    def merge_rows(self, rows: list[list[int]]) -> list[list[int]]:
+        """Exact merging of words given by the ids of their symbols: those of like length together."""
+        out: list[list[int]] = [[]] * len(rows)
         groups: dict[int, list[int]] = {}
-        for i, s in enumerate(symbols):
-            groups.setdefault(len(s) if len(s) < 8 else (len(s) + 3) // 4 * 4, []).append(i)
+        for i, r in enumerate(rows):
+            if r:
+                groups.setdefault(len(r) if len(r) < 8 else (len(r) + 3) // 4 * 4, []).append(i)
         for size, members in groups.items():
             for k in range(0, len(members), 20_000):
                 part = members[k : k + 20_000]
                 if size > 64:
-                    made = [self.exact(symbols[i]) for i in part]
+                    one = self.merge if size < 200 else self.merge_long
+                    made = [[self.vocab[p] for p in one([self.token[t] for t in rows[i]])] for i in part]
                 else:
-                    get, end = self.vocab.get, self.end
-                    rows = [[get(c) for c in symbols[i][:-1]] + [get(symbols[i][-1] + end)] for i in part]
-                    made = self.merge_many([[t for t in r if t is not None] for r in rows])
+                    made = self.merge_many([rows[i] for i in part])
                 for i, m in zip(part, made):
                     out[i] = m
         return out
 
+    def symbol_ids(self, s: str) -> list[int]:
+        """The ids of the symbols of a word, the last one marked as such; symbols without an id are left out."""
+        get = self.vocab.get
+        return [t for t in [*(get(c) for c in s[:-1]), get(s[-1] + self.end)] if t is not None]
+
+    def exact_many(self, symbols: list[str]) -> list[list[int]]:
+        return self.merge_rows([self.symbol_ids(s) for s in symbols])
+
     def exact(self, s: str) -> list[int]:
         parts = list(s)
         parts[-1] += self.end
@@ -220,11 +233,11 @@ class WordBpe:
             return body
         return list(token)
 
-    def check_pair(self, code: int) -> bool:
-        """Whether two adjacent tokens (or a token alone, coded with itself absent) survive the merges."""
-        a, b = divmod(code, 1 << 32)
-        names = [self.token[t] for t in ([a - 1, b] if a else [b])]
-        return self.merge([p for t in names for p in self.pieces(t)]) == names
+    def check_pairs(self, codes: list[int]) -> list[bool]:
+        """Which pairs of adjacent tokens (or tokens alone, coded with the other absent) survive the merges, all at once."""
+        pairs = [([a - 1, b] if a else [b]) for a, b in (divmod(c, 1 << 32) for c in codes)]
+        rows = [[self.vocab[p] for t in pair for p in self.pieces(self.token[t])] for pair in pairs]
+        return [m == pair for m, pair in zip(self.merge_rows(rows), pairs)]
 
     # -- many words -------------------------------------------------------------------------------------------
     def learn(self, new: list[str]) -> None:
@@ -241,12 +254,10 @@ class WordBpe:
         left[1:] = flat[:-1] + 1
         left[first] = 0
         codes, inverse = np.unique((left << 32) | flat, return_inverse=True)
-        verdict = np.empty(len(codes), bool)
-        for i, c in enumerate(codes.tolist()):
-            ok = self.compatible.get(c)
-            if ok is None:
-                ok = self.compatible[c] = self.check_pair(c)
-            verdict[i] = ok
+        listed = codes.tolist()
+        unmet = [c for c in listed if c not in self.compatible]
+        self.compatible.update(zip(unmet, self.check_pairs(unmet)))
+        verdict = np.fromiter(map(self.compatible.__getitem__, listed), bool, len(listed))
         failing = np.zeros(len(new), bool)
         np.logical_or.at(failing, word, ~verdict[inverse])
         failing |= np.fromiter((p is None for p in proposed), bool, len(new))
@@ -348,7 +359,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: l
     def run(batches):
         bpe = codec(spec.value)
         for whole in batches:
-            for part in slices(whole, "__text"):
+            for part in slices(whole, "__text", SLICE_BYTES):
                 ids, texts = bpe.encode_batch(part.column(n).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:n], pa.array(ids, pa.binary()), pa.array(texts, pa.string())],

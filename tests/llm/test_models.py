@@ -44,6 +44,9 @@ def test_vectorised_merging_equals_scalar():
     rng = np.random.default_rng(2)
     ws = ["".join(rng.choice(list("abcdefnotshi"), rng.integers(1, 60))) for _ in range(300)]
     assert b.exact_many(ws) == [b.exact(w) for w in ws]
+    codes = [(int(x) + 1) << 32 | int(y) for x, y in rng.integers(300, 40000, (500, 2))] + [int(y) for y in rng.integers(300, 40000, 200)]
+    one = lambda c: [b.token[t] for t in ([(c >> 32) - 1] if c >> 32 else []) + [c & 0xFFFFFFFF]]
+    assert b.check_pairs(codes) == [b.merge([p for t in one(c) for p in b.pieces(t)]) == one(c) for c in codes]
     assert b.merge_long(list("thethethe")) == b.merge(list("thethethe"))
 
 
@@ -56,10 +59,17 @@ def test_segmentations_are_all_summed():
         return 1.0 if not s else sum(p[s[:k]] * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in p)
 
     m = langid.Unigrams(pieces, table)
-    for w in ("ab", "aab", "abab"):
+    for w in ("ab", "aab", "abab", "ab" * 9):
         assert np.exp(m.log_prob([w])[0, 0]) == pytest.approx(total("▁" + w))
-    uses = m.expected(["ab"], np.array([[1.0]]))[:, 0]
-    assert (uses * [len(x) for x in pieces]).sum() == pytest.approx(3)
+    for w in ("ab", "ab" * 30):
+        uses = m.expected([w], np.array([[1.0]]))[:, 0]
+        assert (uses * [len(x) for x in pieces]).sum() == pytest.approx(len(w) + 1)
+    # far beyond what a double could hold unscaled, and without a cut
+    assert m.log_prob(["ab" * 3000])[0, 0] == pytest.approx(m.log_prob(["ab" * 1500])[0, 0] * 2, rel=1e-2)
+
+
+def test_signs_that_are_no_letters():
+    assert langid.words_of("½ ² Ⅷ 42 _") == [] and langid.words_of("a½b Été") == ["a", "b", "été"]
 
 
 def test_language_accuracy_and_cases(docs, rows, empty):
@@ -102,12 +112,22 @@ def test_quality(spark, docs, empty):
     right = [r["keep"] == (r["doc_id"] % 3 == 2) for r in got]
     assert sum(right) / len(right) > 0.97
     assert all(0 <= r["expected_grade"] <= 2 and 0 <= r["p_top"] <= 1 for r in got)
+    # probabilities are those of the rated texts, on rows that were not rated
+    assert abs(np.mean([r["p_top"] for r in got]) - 1 / 3) < 0.05 and abs(np.mean([r["expected_grade"] for r in got]) - 1) < 0.1
     assert quality.score(docs.withColumn("keep", F.lit("x")), model).count() == docs.count()
     assert quality.score(empty, model).count() == 0
     assert quality.fit(table, rated.limit(0)) is None
     assert quality.score(docs, None).where("not keep").count() == 0
 
 
+def test_many_rows_of_a_rated_id(spark):
+    rows = [(1, f"good text number {k % 7}") for k in range(500)] + [(2, "bad %%% text")] + [(k, f"good {k}") for k in range(3, 20)] + [(k, f"bad %%% {k}") for k in range(20, 40)]
+    rated = spark.createDataFrame([(k, 0 if k == 2 or k >= 20 else 2) for k in range(1, 40)], "doc_id long, grade int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert quality.fit(df, rated, max_train=10) is not None
+    assert quality.fit(df, rated).thresholds.shape == (2,)
+
+
 def test_ordinal_gradient():
     rng = np.random.default_rng(5)
     rows = [np.unique(rng.integers(0, 30, 8)) for _ in range(200)]

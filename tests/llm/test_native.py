@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from areaweave.llm import decontam, secrets, urlrules, winnow
@@ -36,6 +37,40 @@ def test_winnow_matches_brute_force(spark, docs, rows):
     assert all(len(v) == 1 for v in same.values())
 
 
+def test_winnow_chooses_the_least_of_each_window(spark, docs, rows):
+    """The chosen grams, hash and place, by brute force over all windows."""
+    import xxhash
+
+    def chained(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little"), seed=seed)
+        return seed
+
+    got = {r["extra"]: r["shown"] for r in winnow.fingerprint(docs, "text", "fp").select("extra", winnow.printed(F.col("fp")).alias("shown")).collect()}
+    for r in rows:
+        h = [chained(t.encode()) for t in re.findall(r"[^ \t-\r]{1,16}", r[1] or "")]
+        if len(h) < winnow.GRAM:
+            continue
+        two = [chained(a, b) for a, b in zip(h, h[1:])]
+        grams = [chained(a, b) & 0xFFFFFFFF for a, b in zip(two, two[2:])]
+        windows = [range(s, s + winnow.WINDOW) for s in range(max(1, len(grams) - winnow.WINDOW + 1))]
+        chosen = sorted({min((i for i in w if i < len(grams)), key=lambda i: (grams[i], -i)) for w in windows})
+        assert got[r[5]] == ",".join(f"{grams[i]:x}:{i}" for i in chosen)
+
+
+def test_next_of_ids_far_apart(spark):
+    """Every row finds its follower through all levels, and no window holds more than a level's share."""
+    rng = random.Random(8)
+    ids = sorted({rng.randint(-(2**63), 2**63 - 1) >> rng.choice((0, 0, 20, 40, 55)) for _ in range(300)} | {-(2**63), 2**63 - 1, 0, 63, 64, 4095, 4096})
+    df = spark.createDataFrame([(i, f"t{i}", 1, "x") for i in rng.sample(ids, len(ids))], "doc_id long, text string, block int, next_text string")
+    made = winnow.with_next(df, "doc_id", ["text"], ["text"])
+    assert made.columns == ["doc_id", "text", "block", "next_text"]
+    assert {r["doc_id"]: r["next_text"] for r in made.collect()} == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+    assert winnow.with_next(df.limit(0), "doc_id", ["text"], ["text"]).count() == 0
+    assert winnow.fingerprint(df.limit(0), "text", "fp").count() == 0
+
+
 def test_rightmost_tie(spark):
     df = winnow.fingerprint(spark.createDataFrame([("a " * 40,)], "text string"), "text", "fp").select(winnow.printed(F.col("fp")))
     at = [int(x.split(":")[1]) for x in df.first()[0].split(",")]
@@ -147,7 +182,8 @@ def test_secrets(spark):
     got = found.collect()
     assert len(got) == len(rows)
     for r in got:
-        assert [tuple(s) for s in r["spans"] if s["kind"] in ("assign", "access", "hex")] == base_spans(r["text"] or "")
+        assert [tuple(s)[:3] for s in r["spans"] if s["kind"] in ("assign", "access", "hex")] == base_spans(r["text"] or "")
+        assert all((r["text"] or "")[s["start"]:s["end"]].encode() == (r["text"] or "").encode()[s["byte_start"]:s["byte_end"]] for s in r["spans"])
 
 
 def test_linked_parts(spark):
@@ -163,6 +199,50 @@ def test_linked_parts(spark):
     assert weak not in out[1] and out[1].startswith("[SECRET] key [SECRET] at [SECRET]") and out[2] == texts[2]
 
 
+def linked_by_hand(text):
+    """All spans by pairwise comparison: a weak part counts if its complement starts within the scope."""
+    strong = base_spans(text)
+    weak = [(k, m.start(), m.end()) for k, p in (("ident", IDENT), ("key", KEY), ("endpoint", ENDPOINT)) for m in p.finditer(text)]
+    weak = [w for w in weak if not any(s[1] < w[2] and w[1] < s[2] for s in strong)]
+    near = lambda w, kinds: any(p[0] in kinds and abs(p[1] - w[1]) <= secrets.SCOPE for p in strong + weak)
+    ids, keys = ("access", "ident"), ("assign", "key")
+    told = [w for w in weak if (w[0] == "key" or near(w, keys)) and (w[0] == "ident" or near(w, ids))]
+    return sorted(strong + told, key=lambda s: (s[1], secrets.KINDS.index(s[0]), s[2]))
+
+
+IDENT = regex.compile(secrets.IDENT.replace("(?i:", "(?:"), regex.I)
+KEY, ENDPOINT = regex.compile(secrets.KEY), regex.compile(secrets.ENDPOINT)
+
+
+def test_linking_against_all_pairs(spark, rows):
+    rng = random.Random(9)
+    parts = ["user: deploy", "key Zk9Qw3Rt5Yu7Io1Pa2Sd4Fg6", "https://db.example.org/x", "password=hunter22", f"AKIA{'B2' * 8}", "login = éa", "aB3" * 9, "s3://bucket/p", "client_id: 77x"]
+    texts = []
+    for _ in range(150):
+        t = []
+        for _ in range(rng.randint(1, 12)):
+            t += [rng.choice(parts), "é" * rng.choice((0, 3, 80, 150, 199, 400))]
+        texts.append(" ".join(t))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = secrets.find(df)
+    n = 0
+    for r in secrets.redact(found.withColumn("was", F.col("text"))).collect():
+        want = linked_by_hand(r["was"])
+        assert [tuple(s)[:3] for s in r["spans"]] == want
+        n += sum(k in ("ident", "key", "endpoint") for k, _, _ in want)
+        out, at = [], 0
+        for _, a, b in want:
+            if a >= at:
+                out += [r["was"][at:a], "[SECRET]"]
+            at = max(at, b)
+        assert r["text"] == "".join(out) + r["was"][at:]
+    assert n > 150
+
+
+def test_empty_tables(empty):
+    assert secrets.redact(secrets.find(empty)).count() == 0
+
+
 def test_key_after_equals_and_long_keys(spark):
     """A key-like token counts right after ``name=`` and at any length, if its complement is in scope."""
     aws, weak = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Zk9Qw3Rt5Yu7Io1Pa2Sd4Fg6"
@@ -197,5 +277,44 @@ def test_mined_rules(spark):
     rows = [(f"http://{'pills' if k % 4 == 0 else 'news'}.example.org/{'buy' if k % 4 == 0 or k % 8 == 1 else 'read'}/{k}", k % 4 == 0) for k in range(200)]
     labelled = spark.createDataFrame(rows, "url string, blocked boolean")
     pages = spark.createDataFrame([(1, "http://pills.example.org/buy/9"), (2, "http://news.example.org/buy/9"), (3, "http://news.example.org/read/1"), (4, "http://pills.example.org/other")], "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in urlrules.judge(pages, labelled, min_confidence=0.8).collect()}
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge(pages, labelled).collect()}
     assert got == {1: "block", 2: "allow", 3: "allow", 4: "block"}
+    # labels that have nothing to do with the URL give no rule
+    loose = spark.createDataFrame([(u, k % 3 == 0) for k, (u, _) in enumerate(rows)], "url string, blocked boolean")
+    assert {r["confidence"] for r in urlrules.judge(pages, loose).collect()} == {None}
+
+
+def mined_by_hand(rows, support, lift, sure):
+    """Every combination of tokens, its lift and its chance, without FP-growth."""
+    total, base = len(rows), {s: sum(b == (s == "block") for _, b in rows) / len(rows) for s in ("block", "allow")}
+    found = {}
+    names = sorted({t for ts, _ in rows for t in ts})
+    for size in range(1, 5):
+        for needs in itertools.combinations(names, size):
+            seen = [b for ts, b in rows if set(needs) <= set(ts)]
+            for says in ("block", "allow"):
+                n = sum(b == (says == "block") for b in seen)
+                if n and n >= support * total:
+                    c = n / len(seen)
+                    if c >= base[says] * lift and (c - base[says]) * len(seen) ** 0.5 >= sure * (base[says] * (1 - base[says])) ** 0.5:
+                        found[needs, says] = c / base[says]
+    return {k: v for k, v in found.items() if not any(s == k[1] and set(x) < set(k[0]) and w >= v - 1e-12 for (x, s), w in found.items())}
+
+
+def test_mining_and_matching_against_all_combinations(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(400):
+        ts = rng.sample("abcdef", rng.randint(1, 4))
+        rows.append((ts, rng.random() < (0.9 if {"a", "b"} <= set(ts) else 0.05 if "c" in ts else 0.3)))
+    df = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    rules = urlrules.mine(df, min_support=0.02, min_lift=1.1, least_pages=5, sure=3.0)
+    want = mined_by_hand(rows, max(0.02, 5 / 400), 1.1, 3.0)
+    got = {(tuple(r["needs"]), r["says"]): r["lift"] for r in rules.collect()}
+    assert want and {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+    assert {s for _, s in got} == {"block", "allow"}
+    urls = spark.createDataFrame([(k, list(ts)) for k, (ts, _) in enumerate(rows)], "url_key long, tokens array<string>")
+    found = {r["url_key"]: r["says"] for r in urlrules.match(urls, rules).collect()}
+    for k, (ts, _) in enumerate(rows):
+        fits = [(v, says) for (needs, says), v in want.items() if set(needs) <= set(ts)]
+        assert found.get(k) == (max(fits)[1] if fits else None)
