@@ -6,13 +6,11 @@ column, empty texts, repeated rows and empty tables go through as the operators
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaweave.llm import bpe, decontam, jaccard, quality, secrets
-from areaweave.llm._common import shared_dir
+from areaweave.llm._common import remove, written
 from areaweave.llm.queries import tokenizer_path
 
 
@@ -59,13 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        path = f"{shared_dir(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
-    return docs
+    """All stages over documents, each written to the shared folder and read again.
+
+    What a stage wrote goes once the next one has written; what the last one reads stays until the session ends.
+    """
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs, new = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        if old:
+            remove(spark, old)
+        old = new
+    return STAGES[-1][1](spark, docs, sf_dir)
