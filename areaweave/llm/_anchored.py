@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaweave.llm import _blocks
-from areaweave.llm._common import cut
+from areaweave.llm._common import cut, salted_join
 from areaweave.llm._hash import digest, least_places
 
 #: Symbols that are looked at in one go; a longer text is taken in steps of this many starts.
@@ -110,8 +110,8 @@ def known_contexts(sent: DataFrame) -> DataFrame:
     """The contexts that matter: ``whole`` ones (they occur again) and those that ``stand`` for their kind in a sort."""
     every = cut(sent, "anchors")
     # no group is heavy: sums and extremes are taken before anything moves
-    grams = every.groupBy("g").agg(F.sum("n").alias("__n"), (F.min("c1") != F.max("c1")).alias("mixed")).where("__n > 1").drop("__n")
-    again = cut(every.join(grams, "g"), "anchors-again")
+    grams = every.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), (F.min("c1") != F.max("c1")).alias("mixed")).where("total > 1").drop("total")
+    again = cut(salted_join(every, grams, ["g"], "rows", F.col("c1")).drop("rows"), "anchors-again")
     contexts = again.groupBy("c1", "c2").agg(F.sum("n").alias("total"), F.min("block").alias("one"))
     told = again.join(contexts, ["c1", "c2"])
     told = told.select("block", "g", "rel", "span", "at", (F.col("total") > 1).alias("whole"), (F.col("mixed") & (F.col("one") == F.col("block"))).alias("stands"))
@@ -207,7 +207,7 @@ def find(blocks: DataFrame, known: DataFrame, length: int, view: Callable, symbo
     items = cut(told.mapInArrow(_items(length, view), ITEM), "anchor-contexts")
     found = []
     for width in (*widths, None):
-        crowded = items.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > kinds).select("key")
+        crowded = cut(items.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > kinds).select("key"), "anchor-crowded")
         fits = items if width is None else items.join(crowded, "key", "left_anti")
         dealt = fits.repartition("key").sortWithinPartitions("key", "block", "start")
         found.append(cut(dealt.mapInArrow(_solved(solve, size), RANGE), "anchor-ranges"))
@@ -216,8 +216,8 @@ def find(blocks: DataFrame, known: DataFrame, length: int, view: Callable, symbo
         cells = cut(items.join(crowded, "key", "left_semi").select(*_NAMES).mapInArrow(_cells(length, width, symbols), ITEM), "anchor-cells").withColumn("same", F.sha2(F.concat(F.col("bytes"), F.col("rel").cast("string").cast("binary")), 256))
         # stretches that are equal repeat as a whole; one of each kind goes on
         alike = cells.groupBy("key", "same").agg(F.count("*").alias("n"), F.max("whole").alias("any"), F.min(F.struct("block", "start")).alias("one"))
-        both = cells.drop("whole").join(alike, ["key", "same"]).withColumn("whole", (F.col("n") > 1) | F.col("any"))
-        both = cut(both, "anchor-alike")
+        both = salted_join(cells.drop("whole"), alike, ["key", "same"], "n", F.xxhash64("block", "start"))
+        both = cut(both.withColumn("whole", (F.col("n") > 1) | F.col("any")), "anchor-alike")
         found.append(both.where("whole").select("block", F.col("start").alias("first"), (F.col("start") + F.col("span")).alias("last")))
         ones = both.where((F.col("one.block") == F.col("block")) & (F.col("one.start") == F.col("start")))
         shared = ones.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1")

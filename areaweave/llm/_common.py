@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,24 @@ def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of one key that a task is given; a key with more is dealt to several.
+SHARE = 1000
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], many: str, salt: Column, share: int = SHARE) -> DataFrame:
+    """Join ``table`` (one row for each key, ``many`` of its rows in ``rows``) to ``rows``, however unevenly keys are spread.
+
+    The keys with more than ``share`` rows are few (all rows by ``share`` at most); their rows are told apart by ``salt``,
+    and their row of the table is sent as many times as it has parts.
+    """
+    table = cut(table, "join-table")
+    hot = cut(table.where(F.col(many) > share).select(*keys, F.ceil(F.col(many) / share).alias("__parts")), "join-hot")
+    parted = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(salt.cast("long"), F.coalesce("__parts", F.lit(1)).cast("long"))).drop("__parts")
+    copies = F.sequence(F.lit(0).cast("long"), F.ceil(F.greatest(F.col(many), F.lit(1)) / share).cast("long") - 1)
+    spread = table.withColumn("__salt", F.explode(F.when(F.col(many) > share, copies).otherwise(F.array(F.lit(0).cast("long")))))
+    return parted.join(spread, [*keys, "__salt"]).drop("__salt")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
