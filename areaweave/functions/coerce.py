@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Marks of missing and suppressed cells.
@@ -41,6 +41,19 @@ def text_or_number(c: Column, source: str) -> Column:
     return F.when(missing(c.cast("string"), source), None).otherwise(F.trim(c.cast("string")))
 
 
+def unparsed(c: Column, source: str) -> Column:
+    """Whether a cell is neither missing nor a number."""
+    return c.isNotNull() & ~missing(c.cast("string"), source) & number(c, source).isNull()
+
+
+def typed(df: DataFrame, columns: list[str], source: str, kind: str = "double") -> dict[str, Column]:
+    """Columns of a sheet as numbers; a column with a cell that is neither missing nor a number stays text."""
+    if not columns:
+        return {}
+    odd = df.agg(*[F.coalesce(F.bool_or(unparsed(F.col(f"`{c}`"), source)), F.lit(False)).alias(c) for c in columns]).first()
+    return {c: text_or_number(F.col(f"`{c}`"), source) if odd[c] else number(F.col(f"`{c}`"), source, kind) for c in columns}
+
+
 def no_nan(c: Column) -> Column:
     """NaN as null, for double columns."""
     return F.when(F.isnan(c), None).otherwise(c)

@@ -69,12 +69,17 @@ def areas(boundaries: DataFrame, project: bool = True) -> DataFrame:
     Rings run one way outside and the other way inside, so the absolute value of the signed sum is the area.
     """
     if project:
-        plane = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(albers(p["x"], p["y"])[0].alias("x"), albers(p["x"], p["y"])[1].alias("y"))))
-        boundaries = boundaries.withColumn("rings", plane)
+        boundaries = planar(boundaries)
     size = F.abs(signed_area(F.col("edges")))
     return with_edges(boundaries).select("code", (size / 1e6 if project else size).alias("area"))
 
 
+def planar(boundaries: DataFrame) -> DataFrame:
+    """Boundaries in degrees as boundaries in metres of the equal-area plane."""
+    to = lambda p: F.struct(albers(p["x"], p["y"])[0].alias("x"), albers(p["x"], p["y"])[1].alias("y"))
+    return boundaries.withColumn("rings", F.transform("rings", lambda r: F.transform(r, to)))
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """Pairs of areas whose bounding boxes meet, once each, by an equi-join on grid cells."""
     a, b = (
@@ -138,10 +143,3 @@ def overlaps(left: DataFrame, right: DataFrame, cell: float, least: float = 1.0)
         return pd.Series([overlap_area(edges(x), edges(y)) for x, y in zip(a, b)], dtype="float64")
 
     return overlap_pairs(left, right, cell).select("a_code", "b_code", shared("a_edges", "b_edges").alias("area")).where(F.col("area") >= least)
-
-
-def box_overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Area shared by two upright boxes, in closed form."""
-    wide = F.least(a["x_max"], b["x_max"]) - F.greatest(a["x_min"], b["x_min"])
-    tall = F.least(a["y_max"], b["y_max"]) - F.greatest(a["y_min"], b["y_min"])
-    return F.when((wide > 0) & (tall > 0), wide * tall).otherwise(F.lit(0.0))

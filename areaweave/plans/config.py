@@ -98,12 +98,27 @@ class GeocodingConfig(_Strict):
             raise ValueError("the network provider needs a user agent")
         return self
 
+    def usable(self) -> list[str]:
+        """The providers in their order; the network one only if it says who asks."""
+        return [p for p in self.providers if p != "nominatim" or self.nominatim.user_agent.strip()]
+
+
+class ReleaseRule(_Strict):
+    """A dataset's own rule: ``{resolution: closest}``."""
+
+    resolution: Literal["closest_at_or_before", "closest"] | None = None
+
 
 class TemporalConfig(_Strict):
     resolution: Literal["closest_at_or_before", "closest"] = "closest_at_or_before"
     out_of_range: Literal["fail", "nearest"] = "fail"
     reference_edition: Literal[1, 2, 3, 4] = 3
-    per_dataset: dict[str, Literal["closest_at_or_before", "closest"]] = {}
+    per_dataset: dict[str, ReleaseRule] = {}
+
+    def rule(self, dataset: str) -> str:
+        """How a dataset's release is chosen: its own rule, else the general one."""
+        own = self.per_dataset.get(dataset)
+        return (own.resolution if own else None) or self.resolution
 
 
 class DataSourcesConfig(_Strict):
@@ -120,7 +135,7 @@ class Config(_Strict):
     output: OutputConfig = OutputConfig()
     census: CensusConfig = CensusConfig()
     data_sources: DataSourcesConfig = DataSourcesConfig()
-    geocoding: GeocodingConfig = GeocodingConfig(providers=["gnaf"])
+    geocoding: GeocodingConfig = GeocodingConfig.model_construct()
     temporal: TemporalConfig = TemporalConfig()
     variables: dict[str, str]
 

@@ -46,6 +46,8 @@ class AugmentResult:
     added: list[str]
     release_columns: dict[str, str]
     unused: list[str]
+    #: ``df`` with ``_row_id``, by which rows are brought back to the order in which they were read.
+    numbered: DataFrame | None = None
 
     @cached_property
     def summary(self) -> RunSummary:
@@ -64,6 +66,26 @@ class Pipeline:
         for w in config.warnings():
             log.warning(w)
 
+    @classmethod
+    def from_config(cls, spark: SparkSession, config: Config, root: str, cache: str | None = None, fetch=None, check: bool = True) -> Pipeline:
+        """A pipeline over a folder of published files (see `plans.loaders`).
+
+        ``cache``: a table of outside geocodes; ``fetch``: how to ask the outside geocoder. With ``check``, the variables of
+        the census are looked up in its tables before anything runs.
+        """
+        from areaweave.plans.wiring import sources_of
+
+        made = cls(spark, config, sources_of(spark, config, root, cache, fetch))
+        if check:
+            made.check_variables()
+        return made
+
+    def check_variables(self) -> None:
+        """Raise if a namespace, a preset or a census column that is asked for does not exist."""
+        for dataset, refs in self.needed().items():
+            if dataset == "gcp" and dataset in self.sources.registry.loaders:
+                self._table(dataset, refs, None)
+
     @classmethod
     def create(cls, spark: SparkSession, sources: Sources, variables: dict[str, str], prefix: str = "sa2_", **columns) -> Pipeline:
         """A pipeline for notebooks: variables and locator columns, defaults elsewhere."""
@@ -87,8 +109,8 @@ class Pipeline:
 
     def _table(self, dataset: str, refs: list[str], release: str | None) -> DataFrame:
         """``sa2_code`` and a column ``ref`` for each reference, pruned to what is asked for."""
-        df = self.sources.registry.load(self.spark, dataset, release)
         columns = {r: self.sources.registry.resolve_variable(r)[1] for r in refs}
+        df = self.sources.registry.load(self.spark, dataset, release, list(columns.values()))
         missing = sorted(c for c in columns.values() if c not in df.columns)
         if missing:
             raise KeyError(f"{dataset} has no columns {missing}")
@@ -135,7 +157,10 @@ class Pipeline:
                 raise ValueError(f"{bad} or more values of {c.date_column} are no dates")
             if self.sources.corpus_releases:
                 release = "gnaf_release"
-                rows = asof_release(rows, "__day", [month_release(r) for r in self.sources.corpus_releases], self.config.temporal.resolution, "nearest", release)
+                t = self.config.temporal
+                rows = asof_release(rows, "__day", [month_release(r) for r in self.sources.corpus_releases], t.rule("gnaf"), t.out_of_range, release)
+                if t.out_of_range == "fail" and t.rule("gnaf") != "closest":
+                    check_range(rows, "__day", release, "the address corpus")
         located = resolve(rows, have["address"], have["lat"], have["lon"], self.sources.providers, release)
         placed = self._place(located)
         release_columns: dict[str, str] = {}
@@ -150,7 +175,19 @@ class Pipeline:
         middle = [*RESERVED]
         if temporal:
             middle += ["sa2_code_edition", *([release] if release else []), *sorted(release_columns.values()), *sorted(f"{d}_sa2_code_source" for d in needed)]
-        return AugmentResult(done.select(*[F.col(f"`{x}`") for x in [*original, *middle, *added]]), added, release_columns, unused)
+        numbered = done.select("_row_id", *[F.col(f"`{x}`") for x in [*original, *middle, *added]])
+        return AugmentResult(numbered.drop("_row_id"), added, release_columns, unused, numbered)
+
+    def run(self) -> RunSummary:
+        """From ``input.path`` to ``output.path``, rows in the order of the input, and what was done."""
+        from areaweave.sources.files import read_csv, write_csv
+
+        given, wanted = self.config.input.path, self.config.output.path
+        if not given or not wanted:
+            raise ValueError("run needs input.path and output.path; use augment for DataFrames")
+        result = self.augment(read_csv(self.spark, given))
+        write_csv(result.numbered, wanted, "_row_id")
+        return result.summary
 
     def _place(self, rows: DataFrame) -> DataFrame:
         """Area of each row: by mesh block where an address gave one, else by the polygon its point is within."""
@@ -197,15 +234,17 @@ class Pipeline:
             spec, column = specs[d], f"{d}_release"
             windows = spec.windows()
             if windows:
-                rows = asof_release(rows, "__day", windows, t.per_dataset.get(d, t.resolution), t.out_of_range, column)
-                if t.out_of_range == "fail" and t.per_dataset.get(d, t.resolution) != "closest":
+                rows = asof_release(rows, "__day", windows, t.rule(d), t.out_of_range, column)
+                if t.out_of_range == "fail" and t.rule(d) != "closest":
                     check_range(rows, "__day", column, d)
             else:
                 log.warning("dataset %s has no release dates: its default release is used for all rows", d)
                 rows = rows.withColumn(column, F.lit(spec.default_release or "default"))
             release_columns[d] = column
             values = None
-            for r in [w.id for w in windows] or [spec.default_release]:
+            # only the releases that some row takes are read; at most as many values as there are windows
+            taken = {x[0] for x in rows.select(column).distinct().collect()} if len(windows) > 1 else None
+            for r in [w.id for w in windows if taken is None or w.id in taken] or [spec.default_release]:
                 one = self._table(d, refs, r).withColumn("__release", F.lit(r or "default"))
                 values = one if values is None else values.unionByName(one)
             edition = F.lit(reference)

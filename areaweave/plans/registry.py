@@ -117,10 +117,12 @@ class Registry:
             return self.get("gcp"), ref
         raise RegistryError(f"no dataset has the namespace {namespace!r}")
 
-    def load(self, spark: SparkSession, id_: str, release_id: str | None = None) -> DataFrame:
+    def load(self, spark: SparkSession, id_: str, release_id: str | None = None, columns: list[str] | None = None) -> DataFrame:
+        """A dataset's table; a loader that ``wants_columns`` is told which ones, so that it reads no others."""
         if id_ not in self.loaders:
             raise RegistryError(f"dataset {id_!r} has no loader")
-        return self.loaders[id_](spark, release_id)
+        loader = self.loaders[id_]
+        return loader(spark, release_id, columns) if getattr(loader, "wants_columns", False) else loader(spark, release_id)
 
 
 def parse_dataset_spec(text: str) -> DatasetSpec:

@@ -26,16 +26,27 @@ def tables(archive: bytes) -> dict[str, str]:
         return found
 
 
+def table_of(path: str) -> str | None:
+    """The table id in a file's name."""
+    m = _TABLE.search(path.rsplit("/", 1)[-1])
+    return m[1] if m else None
+
+
 def read_table(spark: SparkSession, archive: bytes, table: str) -> DataFrame:
     """A table with ``sa2_code`` as text and numbers elsewhere (text where a column holds some)."""
     name = tables(archive).get(table)
     if name is None:
         raise KeyError(f"no table {table}")
     with zipfile.ZipFile(io.BytesIO(archive)) as z:
-        df = csv_frame(spark, z.read(name), "utf-8-sig").drop("line_no")
+        return table_frame(spark, z.read(name))
+
+
+def table_frame(spark: SparkSession, data: bytes) -> DataFrame:
+    """A table's text with ``sa2_code`` and numbers."""
+    df = csv_frame(spark, data, "utf-8-sig").drop("line_no")
     code = next((c for c in CODE_COLUMNS if c in df.columns), None)
     if code is None:
-        raise ValueError(f"table {table} has no area code column")
+        raise ValueError(f"no area code column among {df.columns[:5]}")
     values = [c for c in df.columns if c != code]
     return df.select(F.col(code).alias("sa2_code"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in values])
 

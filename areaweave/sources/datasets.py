@@ -6,19 +6,21 @@ expressions, so that every rule of coercion is the same in all of them.
 
 from __future__ import annotations
 
+import logging
 import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweave.functions.coerce import number, text_or_number
+from areaweave.functions.coerce import number, text_or_number, typed
 from areaweave.functions.temporal import month_quarter
 from areaweave.functions.text import area_code, is_code, plain_spaces, recipients_column, state_abbreviation, without_prefix
 from areaweave.operators.enrich import outer_join_shared, require_unique, union_states
 from areaweave.operators.pivot import first_values, group_sums
-from areaweave.sources.files import csv_frame, grid_frame, workbook, zip_member
+from areaweave.sources.files import csv_frame, grid_frame, zip_member
 
+log = logging.getLogger(__name__)
 Grid = list[list]
 
 
@@ -73,7 +75,9 @@ def seifa(spark: SparkSession, sheets: dict[str, Grid]) -> DataFrame:
         df = _coded(grid_frame(spark, grid, list(SEIFA_COLUMNS), head + 1, list(SEIFA_COLUMNS.values())))
         named = {c: c if c in ("urp", "state_abbreviation") else f"{index}_{c}" for c in SEIFA_COLUMNS if c != "sa2_code"}
         textual = ("sa2_name", "state_abbreviation")
-        tables.append(df.select("sa2_code", *[(text_or_number(F.col(c), "seifa") if c in textual else number(F.col(c), "seifa")).alias(n) for c, n in named.items()]))
+        texts = {c: F.col(c) for c in named if c in textual}
+        plain = typed(df, [c for c in named if c not in texts], "seifa")
+        tables.append(df.select("sa2_code", *[(text_or_number(texts[c], "seifa") if c in texts else plain[c]).alias(n) for c, n in named.items()]))
     if not tables:
         raise LayoutError("no index sheet")
     return outer_join_shared(tables, "sa2_code")
@@ -119,9 +123,12 @@ def erp(totals: DataFrame, age_sex: DataFrame | None = None, areas: DataFrame |
             raise LayoutError(f"no population of {year}")
         out = out.withColumn("population_total", F.col(column)).withColumn("reference_year", F.lit(year))
         out = out.withColumns({c: F.lit(None).cast(out.schema[c].dataType) for c in AGE_SEX if c in out.columns})
-    if areas is not None:
-        out = out.join(areas.select(F.col("code").alias("sa2_code"), "area"), "sa2_code", "left").withColumn("population_density_per_km2", F.try_divide("population_total", "area")).drop("area")
-    return out
+    return out if areas is None else with_density(out, areas)
+
+
+def with_density(df: DataFrame, areas: DataFrame) -> DataFrame:
+    """Persons by km2; null where an area is unknown or has no extent."""
+    return df.join(areas.select(F.col("code").alias("sa2_code"), "area"), "sa2_code", "left").withColumn("population_density_per_km2", F.try_divide("population_total", "area")).drop("area")
 
 
 # -- payments, income, businesses -------------------------------------------------------------------------------------
@@ -137,7 +144,9 @@ def dss(spark: SparkSession, sheets: dict[str, Grid], quarter: str, short_codes:
     if short_codes is not None:
         known = short_codes.select(F.col("short").alias("__short"), F.col("sa2_code").alias("__long"))
         df = df.join(known, F.col("sa2_code") == F.col("__short"), "left").withColumn("sa2_code", F.coalesce("__long", "sa2_code")).drop("__short", "__long")
-    return _coded(df).select("sa2_code", *[number(F.col(n), "dss", "long").alias(n) for n in names], F.lit(quarter).alias("release_quarter"))
+    df = _coded(df)
+    plain = typed(df, names, "dss", "long")
+    return df.select("sa2_code", *[plain[n].alias(n) for n in names], F.lit(quarter).alias("release_quarter"))
 
 
 # Groups of the income sheet and their columns.
@@ -346,7 +355,3 @@ def social_housing(spark: SparkSession, sheets: dict[str, Grid], period: str) ->
             raise LayoutError(f"column {3 + k} should begin with {h!r}")
     df = _coded(grid_frame(spark, grid, ["sa4_code", *HOUSING_COLUMNS], head + 1, [1, *range(3, 7)]), 3, "sa4_code")
     return df.select("sa4_code", *[number(F.col(c), "social_housing", "long").alias(c) for c in HOUSING_COLUMNS], F.lit(period).alias("reference_period"))
-
-
-def sheets_of(data: bytes) -> dict[str, Grid]:
-    return workbook(data)

@@ -28,6 +28,31 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
     return bytes(rows[0]["content"])
 
 
+def _at(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether something lies at a path, in any store."""
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def listed(spark: SparkSession, folder: str, suffix: str = "") -> list[str]:
+    """The files right in a folder, by name; none if there is no such folder."""
+    fs, at = _at(spark, folder)
+    if not fs.exists(at):
+        return []
+    return sorted(s.getPath().toString() for s in fs.listStatus(at) if s.isFile() and s.getPath().getName().lower().endswith(suffix) and s.getPath().getName()[0] not in "._")
+
+
+def folders(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the folders right in a folder."""
+    fs, at = _at(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+
 def encoding_of(spark: SparkSession, path: str) -> str:
     """The first encoding that fits every line of a text; lines are tested where they lie, not on the driver."""
     raw = spark.read.format("text").option("lineSep", "\n").load(path).select(F.col("value").cast("binary").alias("b"))
