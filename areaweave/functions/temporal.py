@@ -101,5 +101,11 @@ def complete_financial_year(published: date) -> str:
     return f"{end - 1}-{end % 100:02d}"
 
 
+def complete_financial_year_of(published: Column) -> Column:
+    """`complete_financial_year` of a date column."""
+    end = F.year(published) - F.when(F.month(published) >= 7, 0).otherwise(1)
+    return F.concat((end - 1).cast("string"), F.lit("-"), F.lpad((end % 100).cast("string"), 2, "0"))
+
+
 def midpoint(start: Column, end: Column) -> Column:
     return F.date_add(start, F.floor(F.datediff(end, start) / 2).cast("int"))

@@ -6,7 +6,9 @@ tier sees only what the tiers before it left, and every choice among equals goes
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -51,29 +53,77 @@ def exact(addresses: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame
 def component(addresses: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:
     """The only label of the postcode that holds number, name and type of the address; none if there are several."""
     p = F.col("parsed")
+    name = F.split(p["street_name"], " ")
+    # a token with blanks on both sides in the text has to be a token of the label: the longest one says most; without a
+    # street type the name ends the text, so a label may go on within its last token
+    inner = F.when(p["street_type"].isNotNull(), name).otherwise(F.slice(name, F.lit(1), F.size(name) - 1))
+    token = F.coalesce(F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"], F.lit(""))
+    rows = addresses.where(p["street_number"].isNotNull() & p["street_name"].isNotNull() & p["postcode"].isNotNull())
+    # worked out once for each address: left to itself, the join would parse it again for every label
     wanted = F.concat_ws(" ", p["street_number"], p["street_name"], p["street_type"])
-    rows = addresses.where(p["street_number"].isNotNull() & p["street_name"].isNotNull() & p["postcode"].isNotNull()).withColumn("__code", p["postcode"]).withColumn("__wanted", wanted)
-    on = (F.col("__code") == F.col("postcode")) & (F.col("release") == F.col("c_release") if "release" in keys else F.lit(True))
-    hits = rows.join(_with_release(corpus, keys), on).where(F.contains("label", F.col("__wanted")))
+    rows = rows.select(*keys, p["postcode"].alias("__code"), wanted.alias("__wanted"), token.alias("__token")).distinct()
+    by_token = _with_release(corpus, keys).withColumn("__of", F.explode(F.array_union(F.split("label", " "), F.array(F.lit("")))))
+    on = (F.col("__code") == F.col("postcode")) & (F.col("__token") == F.col("__of")) & (F.col("release") == F.col("c_release") if "release" in keys else F.lit(True))
+    hits = rows.join(by_token, on).where(F.contains("label", F.col("__wanted")))
     one = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.first(F.struct("lat", "lon", "mb_code", "pid")).alias("b")).where("n = 1")
     return _picked(one.select(*keys, "b.*"), keys, "gnaf_component")
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def _outlined(df: DataFrame, text: str, prefix: str) -> DataFrame:
+    """Add what the bounds need of a text: its distinct tokens, their joined length, and which letters it holds once and twice."""
+    tokens = F.array_distinct(F.filter(F.split(text, " "), lambda t: t != ""))
+    df = df.withColumn(f"{prefix}_tokens", tokens).withColumn(f"{prefix}_plain", F.array_join(f"{prefix}_tokens", " "))
+    plain = F.col(f"{prefix}_plain")
+    held = [F.length(plain) - F.length(F.replace(plain, F.lit(c), F.lit(""))) for c in _LETTERS]
+    masks = [reduce(lambda x, y: x.bitwiseOR(y), [F.when(n > least, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, n in enumerate(held)]) for least in (0, 1)]
+    return df.withColumns({f"{prefix}_size": F.length(plain), f"{prefix}_once": masks[0], f"{prefix}_twice": masks[1]}).drop(f"{prefix}_plain")
+
+
+def _hopeful(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of outlined texts whose token-set similarity may reach the threshold, by bounds that need no Python.
+
+    Three ways lead there: one side's tokens are all shared, the shared tokens are most of one side, or the tokens that only
+    one side has are alike. The last takes at least as many letters put in or left out as the letters held by one text
+    alone, and as the Levenshtein distance of those tokens. The cheap bounds come first; tokens are compared only after them.
+    """
+    text = lambda tokens: F.array_join(F.array_sort(tokens), " ")
+    a, b, x, y = F.col("__a_tokens"), F.col("__b_tokens"), F.col("__a_size"), F.col("__b_size")
+    apart = lambda f: F.bit_count(f("once")) + F.bit_count(f("twice"))
+    only = lambda p, q: apart(lambda k: F.col(f"__{p}_{k}").bitwiseAND(F.bitwise_not(F.col(f"__{q}_{k}"))))
+    room = F.floor((x + y) * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
+    close = only("a", "b") + only("b", "a") <= room
+    # the share of a side that the shared tokens need is fixed by the threshold
+    spare = (2 - 2 * threshold) / (2 - threshold)
+    mostly = (only("a", "b") <= x * F.lit(spare)) | (only("b", "a") <= y * F.lit(spare))
+    likely = pairs.where(close | mostly).withColumn("__both", F.array_intersect(a, b)).withColumn("__n", F.length(F.array_join("__both", " ")))
+    left = text(F.array_except(a, F.col("__both"))), text(F.array_except(b, F.col("__both")))
+    part = (F.col("__n") > 0) & ((F.col("__n") >= x * F.lit(1 - spare) - 1e-9) | (F.col("__n") >= y * F.lit(1 - spare) - 1e-9))
+    near = (F.levenshtein(*left) <= room) & (F.abs(x - y) <= room)
+    return likely.where(part | (close & near)).drop("__both", "__n", *[f"__{p}_{k}" for p in "ab" for k in ("tokens", "size", "once", "twice")])
+
+
 def fuzzy(addresses: DataFrame, corpus: DataFrame, keys: list[str], threshold: float = 0.85) -> DataFrame:
     """The most similar label of the postcode, or of labels that name the locality where there is no postcode.
 
-    Only the second case compares with labels of all postcodes; its labels are found by the first word of the
-    locality, which a label has to hold, so the join stays an equi-join.
+    Most pairs are ruled out by bounds on tokens and lengths; only the rest is scored. In the second case labels are
+    found by the first two words of the locality (the only one, if it has one), which a label has to hold, so the join
+    stays an equi-join and ``MOUNT`` alone leads nowhere.
     """
     p = F.col("parsed")
-    shared = _with_release(corpus, keys)
+    shared = _outlined(_with_release(corpus, keys).distinct(), "label", "__b")
+    rows = addresses.select(*keys, p["postcode"].alias("__code"), p["locality"].alias("__locality")).distinct()
     same = F.col("release") == F.col("c_release") if "release" in keys else F.lit(True)
-    coded = addresses.where(p["postcode"].isNotNull()).withColumn("__code", p["postcode"]).join(shared, (F.col("__code") == F.col("postcode")) & same).drop("__code")
-    words = F.array_distinct(F.split("label", " "))
-    by_word = shared.withColumn("__word", F.explode(words))
-    loose = addresses.where(p["postcode"].isNull() & p["locality"].isNotNull()).withColumn("__first", F.substring_index(p["locality"], " ", 1))
-    named = loose.join(by_word, (F.col("__first") == F.col("__word")) & same).where(F.contains("label", p["locality"])).drop("__first", "__word")
-    scored = coded.unionByName(named).withColumn("score", token_set_similarity("norm", "label"))
+    rows = _outlined(rows, "norm", "__a")
+    coded = rows.where("__code is not null").join(shared, (F.col("__code") == F.col("postcode")) & same)
+    words = F.split("label", " ")
+    couples = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
+    by_word = shared.withColumn("__word", F.explode(F.array_distinct(F.concat(words, couples))))
+    loose = rows.where("__code is null and __locality is not null").withColumn("__first", F.substring_index("__locality", " ", 2))
+    named = loose.join(by_word, (F.col("__first") == F.col("__word")) & same).where(F.contains("label", F.col("__locality"))).drop("__first", "__word")
+    scored = _hopeful(coded.unionByName(named).drop("__code", "__locality"), threshold).withColumn("score", token_set_similarity("norm", "label"))
     first = scored.where(F.col("score") >= threshold).groupBy(*keys).agg(F.min_by(F.struct("lat", "lon", "mb_code", "pid", "score"), F.struct(-F.col("score"), F.col("pid"))).alias("b"))
     return _picked(first.select(*keys, "b.*"), keys, "gnaf_fuzzy", score=True)
 
@@ -84,7 +134,11 @@ def _with_release(corpus: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class CorpusProvider:
-    """The three tiers over an address corpus; without a threshold, the first two."""
+    """The three tiers over an address corpus; without a threshold, the first two.
+
+    The addresses go through the tiers in one line of left joins, each flagged with what it has found so far; a tier
+    sees the rows that have no flag yet. A tier's own rows are read again for it, but no tier before it is.
+    """
 
     def __init__(self, corpus: DataFrame, threshold: float | None = 0.85, by_release: bool = False):
         if threshold is not None and not 0 <= threshold <= 1:
@@ -92,14 +146,67 @@ class CorpusProvider:
         self.corpus, self.threshold, self.keys = corpus, threshold, ["norm", "release"] if by_release else ["norm"]
 
     def resolve(self, addresses: DataFrame) -> DataFrame:
-        left = parse_address(addresses.select(*self.keys), "norm")
-        found = exact(left, self.corpus, self.keys)
-        left = left.join(found.select(*self.keys), self.keys, "left_anti").where(F.col("parsed").isNotNull())
-        second = component(left, self.corpus, self.keys)
+        keys = self.keys
+        # one row for each label: of several the least id
+        by_label = _with_release(self.corpus, keys).groupBy("label", *(["c_release"] if "release" in keys else [])).agg(F.min_by(F.struct("lat", "lon", "mb_code", "pid"), "pid").alias("b"))
+        on = (F.col("norm") == F.col("label")) & (F.col("release") == F.col("c_release") if "release" in keys else F.lit(True))
+        rows = addresses.select(*keys).join(by_label, on, "left").select(*keys, "b")
+        found = _picked(rows.where("b is not null").select(*keys, "b.*"), keys, "gnaf_exact")
+        left = parse_address(rows.where("b is null").select(*keys), "norm").where(F.col("parsed").isNotNull())
+        second = component(left, self.corpus, keys)
         if self.threshold is None:
             return found.unionByName(second)
-        left = left.join(second.select(*self.keys), self.keys, "left_anti")
-        return found.unionByName(second).unionByName(fuzzy(left, self.corpus, self.keys, self.threshold))
+        flagged = left.join(second.withColumnsRenamed({c: f"__{c}" for c in RESULT}), keys, "left")
+        second = flagged.where("__geo_source is not null").select(*keys, *[F.col(f"__{c}").alias(c) for c in RESULT])
+        third = fuzzy(flagged.where("__geo_source is null").select(*keys, "parsed"), self.corpus, keys, self.threshold)
+        return found.unionByName(second).unionByName(third)
+
+
+class Paced:
+    """Asks an outside geocoder, one request at a time for each task, at a steady pace.
+
+    ``ask(address)`` gives a status, headers and the parsed answer; it may raise ConnectionError or TimeoutError. After 429
+    and 503 the request is repeated up to ``tries`` times, after the longer of what ``Retry-After`` says and 1, 2, 4 s.
+    The pace is that of one task: run as many tasks as the service allows askers.
+    """
+
+    def __init__(self, ask: Callable[[str], tuple[int, dict, object]], per_second: float = 1.0, tries: int = 3, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
+        self.ask, self.gap, self.tries, self.wait, self.clock = ask, 1.0 / per_second, tries, wait, clock
+
+    def __call__(self, addresses: Iterator[str]) -> Iterator[tuple[float, float] | None]:
+        last: float | None = None
+        for a in addresses:
+            out = None
+            for k in range(self.tries + 1):
+                if last is not None and (rest := self.gap - (self.clock() - last)) > 0:
+                    self.wait(rest)
+                last = self.clock()
+                try:
+                    status, headers, answer = self.ask(a)
+                except (ConnectionError, TimeoutError):
+                    break
+                if status in (429, 503) and k < self.tries:
+                    self.wait(max(self.advised(headers), 2.0**k))
+                    continue
+                out = self.place(answer) if status < 400 else None
+                break
+            yield out
+
+    @staticmethod
+    def advised(headers: dict) -> float:
+        """Seconds that ``Retry-After`` asks for; a date, or nothing, is no advice."""
+        try:
+            return max(float({k.lower(): v for k, v in headers.items()}.get("retry-after", 0)), 0.0)
+        except ValueError:
+            return 0.0
+
+    @staticmethod
+    def place(answer) -> tuple[float, float] | None:
+        """Latitude and longitude of the first hit of an answer."""
+        try:
+            return float(answer[0]["lat"]), float(answer[0]["lon"])
+        except (IndexError, KeyError, TypeError, ValueError):
+            return None
 
 
 class CachedProvider:

@@ -16,6 +16,7 @@ from areaweave.functions.temporal import Release, month_quarter, release
 from areaweave.functions.text import is_code, recipients_column
 from areaweave.operators import asof, downscale, enrich, geocode, pivot, spatial, summary
 from areaweave.plans.registry import VariableCatalog
+from areaweave.sources.files import latest_resource
 
 CELL = 7.5
 
@@ -385,12 +386,26 @@ def address_cascade(spark, sf):
     return _cascade(spark, sf).select("o_orderkey", "geo_source", "geo_lat", "mb_code")
 
 
-@query()
+# of the labels of the postcode: the address itself, a label all of whose tokens it holds (its number, or the level's), or the one without the X
+_THIRD = """d3 AS (SELECT DISTINCT norm, o_orderkey%4 AS k, split_part(part, ' ', 1) AS num, split_part(part, ' ', 2) AS seg, code FROM addr WHERE norm<>''),
+c3 AS (SELECT pid, label, postcode, split_part(label, ' ', 1) AS num, split_part(label, ' ', 2) AS seg FROM corpus),
+m3 AS (SELECT norm, min(pid) AS pid, max(CASE WHEN k=2 THEN round(1-1.0/(length(norm)+length(label)), 6) ELSE 1.0 END) AS score FROM d3 JOIN c3 ON postcode=code AND c3.seg=d3.seg AND (c3.num=d3.num OR (k=1 AND c3.num='5')) GROUP BY norm)"""
+
+
+@query(f"WITH {_ADDRESSES}, {_THIRD} SELECT norm, pid, CAST(score AS DOUBLE) AS score FROM m3")
 def address_tier3_fuzzy(spark, sf):
     rows = _norms(spark, sf).where("norm <> ''").select("norm").distinct()
     return geocode.fuzzy(parse_address(rows, "norm"), _corpus(spark, sf), ["norm"]).select("norm", "pid", F.round("match_score", 6).alias("score"))
 
 
+@query(f"""{'WITH ' + _CASCADE[: _CASCADE.index('c AS (SELECT o_orderkey')]}{_THIRD},
+c AS (SELECT o_orderkey, CASE WHEN m1.pid IS NOT NULL THEN 'gnaf_exact' WHEN m2.pid IS NOT NULL THEN 'gnaf_component' WHEN m3.pid IS NOT NULL THEN 'gnaf_fuzzy' ELSE 'failed' END AS geo_source, coalesce(m1.pid, m2.pid, m3.pid) AS pid FROM addr LEFT JOIN m1 USING (norm) LEFT JOIN m2 USING (norm) LEFT JOIN m3 USING (norm))
+SELECT o_orderkey, geo_source, (CAST(substr(pid, 2) AS BIGINT)*61)%1000/10.0 AS geo_lat, 'M'||c_nationkey AS mb_code FROM c LEFT JOIN customer ON CAST(substr(pid, 2) AS BIGINT)=c_custkey""")
+def address_cascade_three_tiers(spark, sf):
+    found = geocode.resolve(_raw(spark, sf), "raw", None, None, [geocode.CorpusProvider(_corpus(spark, sf))])
+    return found.select("o_orderkey", "geo_source", "geo_lat", "mb_code")
+
+
 @query(f"WITH {_CASCADE} SELECT count(*) AS n, count(*) FILTER (WHERE geo_source='gnaf_exact') AS exact, count(*) FILTER (WHERE geo_source='gnaf_component') AS component, count(*) FILTER (WHERE geo_source='failed') AS failed, count(*) FILTER (WHERE mb_code IS NOT NULL) AS with_area, count(*) FILTER (WHERE mb_code IS NULL AND geo_lat IS NOT NULL) AS unmatched FROM f")
 def geo_summary(spark, sf):
     df = _cascade(spark, sf).withColumn("sa2_code", F.col("mb_code")).withColumn("sa2_resolution", F.when(F.col("mb_code").isNotNull(), "mb_code"))
@@ -464,8 +479,16 @@ def catalog_search(spark, sf):
     return VariableCatalog(p).search("e")
 
 
-@query("SELECT event_type, CAST(arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), ts) AS BIGINT) AS k, max(ts) AS ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r=1 GROUP BY 1")
+_RESOURCE = "CASE WHEN event_id%5=0 THEN 'notes' ELSE 'Payments '||strftime(ts + INTERVAL 60 DAY, '%B %Y') END"
+
+
+@query(f"""WITH e AS (SELECT event_id, ts, {_RESOURCE} AS name FROM events), q AS (SELECT *, strftime(ts + INTERVAL 60 DAY, '%Y')||'-Q'||quarter(ts + INTERVAL 60 DAY) AS release FROM e WHERE name<>'notes' AND month(ts + INTERVAL 60 DAY)%3=0)
+SELECT release, name, 'u'||event_id AS url, lpad(CAST(event_id AS VARCHAR), 9, '0') AS last_modified FROM q ORDER BY release DESC, event_id DESC LIMIT 1""")
 def json_resource_latest(spark, sf):
-    e = _t(spark, sf, "events").withColumn("k", F.from_json("props", "k long")["k"])
-    best = e.groupBy("event_type").agg(F.max_by(F.struct("k", "ts"), F.struct("ts", "event_id")).alias("b"))
-    return best.select("event_type", "b.k", "b.ts")
+    month = F.date_format(F.col("ts") + F.expr("INTERVAL 60 DAY"), "MMMM yyyy")
+    e = _t(spark, sf, "events").select(F.when(F.col("event_id") % 5 == 0, "notes").otherwise(F.concat(F.lit("Payments "), month)).alias("name"), F.concat(F.lit("u"), F.col("event_id")).alias("url"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("last_modified"))
+    answer = e.agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct("name", "url", "last_modified")).alias("resources")).alias("result"))).alias("j"))
+    return latest_resource(answer, "j").select("release", "name", "url", "last_modified")
+
+
+from areaweave.plans import function_queries, run_queries  # noqa: E402, F401  they register their queries here

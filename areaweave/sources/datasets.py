@@ -10,7 +10,7 @@ import logging
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaweave.functions.coerce import number, text_or_number, typed
@@ -109,8 +109,13 @@ def erp_age_sex(spark: SparkSession, sheets: dict[str, Grid]) -> DataFrame:
     names = {"sa2_code": 8, "male": 10, "female": 11, "persons": 12, "median_age": 14, "p0": 15, "p15": 16, "p65": 17}
     df = _coded(grid_frame(spark, grid, list(names), 0, list(names.values())))
     n = lambda c: number(F.col(c), "erp")
-    band = lambda c: F.bround(n("persons") * n(c) / 100, 0).cast("long")
-    return df.select("sa2_code", n("male").alias("population_male"), n("female").alias("population_female"), n("median_age").alias("median_age"), band("p0").alias("population_0_14"), band("p15").alias("population_15_64"), band("p65").alias("population_65_plus"))
+    share = lambda c: band(n("persons"), n(c))
+    return df.select("sa2_code", n("male").alias("population_male"), n("female").alias("population_female"), n("median_age").alias("median_age"), share("p0").alias("population_0_14"), share("p15").alias("population_15_64"), share("p65").alias("population_65_plus"))
+
+
+def band(persons: Column, percent: Column) -> Column:
+    """Persons in an age band, from its percentage; halves go to the even number."""
+    return F.bround(persons * percent / 100, 0).cast("long")
 
 
 def erp(totals: DataFrame, age_sex: DataFrame | None = None, areas: DataFrame | None = None, year: int | None = None) -> DataFrame:
