@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaweave.functions.address import cache_key, normalize_address, parse_address
-from areaweave.functions.fuzzy import token_set_similarity
+from areaweave.functions.fuzzy import Labels
 
 #: Reliability order of coordinate sources.
 SOURCES = ("input", "gnaf_exact", "gnaf_component", "gnaf_fuzzy", "nominatim_cache", "nominatim_fresh", "failed")
@@ -69,63 +68,47 @@ def component(addresses: DataFrame, corpus: DataFrame, keys: list[str]) -> DataF
     return _picked(one.select(*keys, "b.*"), keys, "gnaf_component")
 
 
-_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-
-
-def _outlined(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Add what the bounds need of a text: its distinct tokens, their joined length, and which letters it holds once and twice."""
-    tokens = F.array_distinct(F.filter(F.split(text, " "), lambda t: t != ""))
-    df = df.withColumn(f"{prefix}_tokens", tokens).withColumn(f"{prefix}_plain", F.array_join(f"{prefix}_tokens", " "))
-    plain = F.col(f"{prefix}_plain")
-    held = [F.length(plain) - F.length(F.replace(plain, F.lit(c), F.lit(""))) for c in _LETTERS]
-    masks = [reduce(lambda x, y: x.bitwiseOR(y), [F.when(n > least, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, n in enumerate(held)]) for least in (0, 1)]
-    return df.withColumns({f"{prefix}_size": F.length(plain), f"{prefix}_once": masks[0], f"{prefix}_twice": masks[1]}).drop(f"{prefix}_plain")
-
-
-def _hopeful(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of outlined texts whose token-set similarity may reach the threshold, by bounds that need no Python.
-
-    Three ways lead there: one side's tokens are all shared, the shared tokens are most of one side, or the tokens that only
-    one side has are alike. The last takes at least as many letters put in or left out as the letters held by one text
-    alone, and as the Levenshtein distance of those tokens. The cheap bounds come first; tokens are compared only after them.
-    """
-    text = lambda tokens: F.array_join(F.array_sort(tokens), " ")
-    a, b, x, y = F.col("__a_tokens"), F.col("__b_tokens"), F.col("__a_size"), F.col("__b_size")
-    apart = lambda f: F.bit_count(f("once")) + F.bit_count(f("twice"))
-    only = lambda p, q: apart(lambda k: F.col(f"__{p}_{k}").bitwiseAND(F.bitwise_not(F.col(f"__{q}_{k}"))))
-    room = F.floor((x + y) * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
-    close = only("a", "b") + only("b", "a") <= room
-    # the share of a side that the shared tokens need is fixed by the threshold
-    spare = (2 - 2 * threshold) / (2 - threshold)
-    mostly = (only("a", "b") <= x * F.lit(spare)) | (only("b", "a") <= y * F.lit(spare))
-    likely = pairs.where(close | mostly).withColumn("__both", F.array_intersect(a, b)).withColumn("__n", F.length(F.array_join("__both", " ")))
-    left = text(F.array_except(a, F.col("__both"))), text(F.array_except(b, F.col("__both")))
-    part = (F.col("__n") > 0) & ((F.col("__n") >= x * F.lit(1 - spare) - 1e-9) | (F.col("__n") >= y * F.lit(1 - spare) - 1e-9))
-    near = (F.levenshtein(*left) <= room) & (F.abs(x - y) <= room)
-    return likely.where(part | (close & near)).drop("__both", "__n", *[f"__{p}_{k}" for p in "ab" for k in ("tokens", "size", "once", "twice")])
+#: Addresses of one postcode (or locality) that are compared in one go; more are dealt to several tasks.
+ADDRESSES = 2000
 
 
 def fuzzy(addresses: DataFrame, corpus: DataFrame, keys: list[str], threshold: float = 0.85) -> DataFrame:
     """The most similar label of the postcode, or of labels that name the locality where there is no postcode.
 
-    Most pairs are ruled out by bounds on tokens and lengths; only the rest is scored. In the second case labels are
-    found by the first two words of the locality (the only one, if it has one), which a label has to hold, so the join
-    stays an equi-join and ``MOUNT`` alone leads nowhere.
+    In the second case labels are found by the first two words of the locality (the only one, if it has one), which a
+    label has to hold, so ``MOUNT`` alone leads nowhere. Addresses meet the labels of their key in one place, where bounds
+    rule out most labels at once (see `functions.fuzzy.Labels`); pairs never become rows. The labels of a key go to as many
+    tasks as its addresses need.
     """
     p = F.col("parsed")
-    shared = _outlined(_with_release(corpus, keys).distinct(), "label", "__b")
-    rows = addresses.select(*keys, p["postcode"].alias("__code"), p["locality"].alias("__locality")).distinct()
-    same = F.col("release") == F.col("c_release") if "release" in keys else F.lit(True)
-    rows = _outlined(rows, "norm", "__a")
-    coded = rows.where("__code is not null").join(shared, (F.col("__code") == F.col("postcode")) & same)
-    words = F.split("label", " ")
+    release = [F.col("release")] if "release" in keys else []
+    at = F.when(p["postcode"].isNotNull(), F.concat(F.lit("P"), p["postcode"])).otherwise(F.concat(F.lit("L"), F.substring_index(p["locality"], " ", 2)))
+    rows = addresses.select(*keys, at.alias("__k"), F.when(p["postcode"].isNull(), p["locality"]).alias("__locality")).where("__k is not null").distinct()
+    rows = rows.withColumn("__k", F.concat_ws("|", "__k", *release))
+    words = F.filter(F.split("label", " "), lambda t: t != "")
     couples = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
-    by_word = shared.withColumn("__word", F.explode(F.array_distinct(F.concat(words, couples))))
-    loose = rows.where("__code is null and __locality is not null").withColumn("__first", F.substring_index("__locality", " ", 2))
-    named = loose.join(by_word, (F.col("__first") == F.col("__word")) & same).where(F.contains("label", F.col("__locality"))).drop("__first", "__word")
-    scored = _hopeful(coded.unionByName(named).drop("__code", "__locality"), threshold).withColumn("score", token_set_similarity("norm", "label"))
-    first = scored.where(F.col("score") >= threshold).groupBy(*keys).agg(F.min_by(F.struct("lat", "lon", "mb_code", "pid", "score"), F.struct(-F.col("score"), F.col("pid"))).alias("b"))
-    return _picked(first.select(*keys, "b.*"), keys, "gnaf_fuzzy", score=True)
+    named = F.transform(F.concat(words, couples), lambda t: F.concat(F.lit("L"), t))
+    found_by = F.array_distinct(F.concat(F.array(F.concat(F.lit("P"), "postcode")), named))
+    labels = _with_release(corpus, keys).withColumn("__k", F.explode(found_by)).where("__k is not null")
+    labels = labels.withColumn("__k", F.concat_ws("|", "__k", *([F.col("c_release")] if release else [])))
+    many = rows.groupBy("__k").agg(F.ceil(F.count("*") / ADDRESSES).cast("int").alias("__parts"))
+    dealt = rows.join(many, "__k").select("__k", F.pmod(F.xxhash64("norm"), F.col("__parts").cast("long")).cast("int").alias("__part"), *keys, "__locality")
+    sent = labels.join(many, "__k").select("__k", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), "pid", "label", "lat", "lon", "mb_code")
+
+    def best(left, right):
+        import pyarrow as pa
+
+        known = Labels(right.column("label").to_pylist(), right.column("pid").to_pylist())
+        columns = {k: left.column(k).to_pylist() for k in [*keys, "__locality"]}
+        hits = [known.best(text, threshold, place) for text, place in zip(columns["norm"], columns["__locality"])]
+        rows = [i for i, h in enumerate(hits) if h]
+        taken = right.take(pa.array([hits[i][0] for i in rows], pa.int64()))
+        made = [pa.array([columns[k][i] for i in rows], pa.string()) for k in keys] + [taken.column(c).combine_chunks() for c in ("lat", "lon", "mb_code", "pid")]
+        return pa.table([*made, pa.array([hits[i][1] for i in rows], pa.float64())], names=[*keys, "lat", "lon", "mb_code", "pid", "score"])
+
+    schema = ", ".join(f"{k} string" for k in keys) + ", lat double, lon double, mb_code string, pid string, score double"
+    found = dealt.groupBy("__k", "__part").cogroup(sent.groupBy("__k", "__part")).applyInArrow(best, schema)
+    return _picked(found, keys, "gnaf_fuzzy", score=True)
 
 
 def _with_release(corpus: DataFrame, keys: list[str]) -> DataFrame:

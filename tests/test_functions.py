@@ -144,3 +144,46 @@ def test_albers_keeps_areas(spark):
     area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1]))) / 2e6
     cap = math.radians(1) * (math.sin(math.radians(-31)) - math.sin(math.radians(-32))) * 6371.0**2
     assert 8000 < area < 13000 and abs(area / cap - 1) < 0.01
+
+
+def test_the_best_label_by_bounds_equals_all_scores():
+    import random
+
+    from areaweave.functions.fuzzy import Labels, token_set_ratio
+
+    rng = random.Random(11)
+    words = ["GEORGE", "GEROGE", "PITT", "STREET", "ST", "ROAD", "NSW", "2000", "1", "12", "112", "LEVEL", "5", "É"]
+    make = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 7)))
+    labels = [make() for _ in range(80)]
+    ids = [f"P{rng.randint(0, 999):03d}{k:03d}" for k in range(80)]
+    known = Labels(labels, ids)
+    for _ in range(300):
+        text, threshold = make(), rng.choice((0.5, 0.7, 0.85, 0.95))
+        place = rng.choice((None, None, "STREET NSW"))
+        scores = [(-token_set_ratio(text, x), i, k) for k, (x, i) in enumerate(zip(labels, ids)) if token_set_ratio(text, x) >= threshold and (place is None or place in x)]
+        got = known.best(text, threshold, place)
+        assert (got is None) == (not scores)
+        if scores:
+            assert (got[0], got[1]) == (min(scores)[2], -min(scores)[0])
+
+
+def test_paced_requests():
+    from areaweave.operators.geocode import Paced
+
+    now, waits, asked = [0.0], [], []
+
+    def wait(s):
+        waits.append(round(s, 3))
+        now[0] += s
+
+    answers = {"a": [(200, {}, [{"lat": "1.5", "lon": "2"}])], "b": [(429, {"Retry-After": "7"}, None), (503, {"retry-after": "soon"}, None), (200, {}, [{"lat": 3, "lon": 4}])], "c": [(500, {}, None)], "d": [(200, {}, [])], "e": [(429, {}, None)] * 4}
+
+    def ask(a):
+        asked.append(a)
+        if a == "f":
+            raise TimeoutError
+        return answers[a].pop(0)
+
+    paced = Paced(ask, 1.0, wait=wait, clock=lambda: now[0])
+    assert list(paced(iter("abcdef"))) == [(1.5, 2.0), (3.0, 4.0), None, None, None, None]
+    assert asked == list("a" + "bbb" + "c" + "d" + "eeee" + "f") and 7 in waits and 2 in waits and max(waits) == 7
