@@ -33,7 +33,7 @@ from areaweave.llm._hash import digest, least_places
 #: Symbols that are looked at in one go; a longer text is taken in steps of this many starts.
 STEP = 1 << 20
 #: Different contexts under one key that one task compares; more are dealt by longer cores.
-KINDS = 1000
+KINDS = 500
 ITEM = "key binary, block long, start int, span int, rel int, whole boolean, bytes binary"
 RANGE = "block long, first int, last int"
 

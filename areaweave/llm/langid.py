@@ -74,6 +74,8 @@ class Unigrams:
         self.scaled = self.prob * SCALE ** length[:, None]
         self.none = len(pieces)
         self.longest = max(map(len, pieces), default=1)
+        # a piece that begins a word can stand at its start only
+        self.inner = max((len(p) for p in pieces if p[0] != "▁"), default=1)
 
     def columns(self, words: list[str], i: int, j: int) -> np.ndarray:
         get = self.row.get
@@ -89,6 +91,8 @@ class Unigrams:
         for j in range(1, n + 1):
             total = np.zeros((len(words), langs))
             for i in range(max(0, j - self.longest), j):
+                if i and j - i > self.inner:
+                    continue
                 at = self.columns(words, i, j)
                 hit = np.flatnonzero(at >= 0)
                 if len(hit):
