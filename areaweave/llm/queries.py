@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from areaweave.llm import bpe, decontam, jaccard, langid, phrases, quality, secrets, suffixes, urlrules, winnow
 from areaweave.llm._common import documents, text_or_empty
+from areaweave.llm.oracles import ORACLES
 
 
 def tokenizer_path(name: str) -> str:
@@ -116,4 +117,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
