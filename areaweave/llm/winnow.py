@@ -103,20 +103,20 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], order: list[str])
     block). A row without an id has no place in the order and no next row. Rows of equal id follow each other by
     ``order``. Names of the input that clash with ``next_<c>`` are replaced.
     """
+    # flat columns of our own names: nothing clashes, and no text is copied for the window
     kept = [c for c in df.columns if c not in {f"next_{x}" for x in carried}]
-    own = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    own = {c: f"in_{k}" for k, c in enumerate(kept)}
     block = F.shiftright(F.col(f"`{id_col}`").cast("long"), _LEVELS[0])
     lone = F.concat(F.lit("x"), F.xxhash64(*[F.col(f"`{c}`") for c in order]).cast("string"))
-    value = F.struct(*[F.col(f"row.`{c}`") for c in carried])
-    rows = df.select(own, block.alias("block"), F.coalesce(block.cast("string"), lone).alias("key"))
-    w = Window.partitionBy("key").orderBy(F.col(f"row.`{id_col}`"), *[F.col(f"row.`{c}`") for c in order])
-    rows = rows.withColumn("next", F.lead(value).over(w)).withColumn("first", F.row_number().over(w) == 1)
-    firsts = rows.where("first and block is not null").select(F.col("block").alias("of"), value.alias("value"))
+    rows = df.select(*[F.col(f"`{c}`").alias(own[c]) for c in kept], block.alias("block"), F.coalesce(block.cast("string"), lone).alias("key"))
+    w = Window.partitionBy("key").orderBy(own[id_col], *[own[c] for c in order])
+    first = rows.withColumn("first", F.row_number().over(w) == 1).where("first and block is not null").select(F.col("block").alias("of"), *[F.col(own[c]).alias(f"first_{own[c]}") for c in carried])
+    rows = rows.select("*", F.lead(F.lit(True)).over(w).alias("has"), *[F.lead(own[c]).over(w).alias(f"after_{own[c]}") for c in carried])
     blocks = df.where(F.col(f"`{id_col}`").isNotNull()).select(block.alias("b")).distinct()
-    follow = _followers(blocks).join(firsts, F.col("nb") == F.col("of")).select(F.col("b").cast("string").alias("bkey"), "value")
-    rows = rows.join(follow, F.col("key") == F.col("bkey"), "left")
-    after = F.coalesce(F.col("next"), F.when(F.col("block").isNotNull(), F.col("value")))
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *[after[c].alias(f"next_{c}") for c in carried])
+    follow = _followers(blocks).join(first, F.col("nb") == F.col("of")).drop("nb", "of").withColumn("b", F.col("b").cast("string"))
+    rows = rows.join(follow, F.col("key") == F.col("b"), "left")
+    after = lambda c: F.when(F.col("has"), F.col(f"after_{own[c]}")).when(F.col("block").isNotNull(), F.col(f"first_{own[c]}"))
+    return rows.select(*[F.col(own[c]).alias(c) for c in kept], *[after(c).alias(f"next_{c}") for c in carried])
 
 
 def edited(text: Column, following: Column) -> Column:
