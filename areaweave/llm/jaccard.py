@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaweave.llm._common import cut, slices
+from areaweave.llm._common import cut, salted_join, slices
 from areaweave.llm._hash import MULTIPLIER, digest, mix, text_bytes, window_hashes, word_bounds, word_hashes
 
 #: Words in a shingle, and the similarity from which two texts are linked.
@@ -38,6 +38,8 @@ TREES, DEPTH = 24, 8
 RECALL = 0.9999
 #: Texts of a gathering that are compared at a time.
 BLOCK = 512
+#: Tasks that the edges of one node are dealt to while gatherings are found.
+PARTS = 64
 #: Bytes of text that are hashed at a time.
 SLICE_BYTES = 1 << 20
 
@@ -211,6 +213,17 @@ def meetings(hi: np.ndarray, lo: np.ndarray, depth: np.ndarray, base: int) -> np
     return met | met.T
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges (u, v)`` with the least ``v`` of each ``u`` as ``m``; the edges of one ``u`` are dealt to several tasks.
+
+    The least is told from one row for each part of a node, and sent back to those parts that have edges.
+    """
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    parts = dealt.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("of"))
+    return dealt.join(least.select("u", F.explode("of").alias("s"), "m"), ["u", "s"]).select("u", "v", "m")
+
+
 def gatherings(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of each node of ``edges (u, v)``: connected parts, by alternating shared-minimum steps.
 
@@ -220,16 +233,14 @@ def gatherings(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "join-edges")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["w"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = large.join(down, large["u"] == down["w"])
-        new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select(F.col("w").alias("u"), F.col("m").alias("v")))
+        small = _with_least(large).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = small.unionByName(large.groupBy("u").agg(F.min("v").alias("v")))
         new = cut(new.where("u <> v").distinct(), "join-edges")
         # a star forest: every node points to one root, and no root points on
         if new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0:
-            if new.join(new.select(F.col("u").alias("r")), F.col("v") == F.col("r"), "left_semi").limit(1).count() == 0:
+            if new.select("v").distinct().join(new.select(F.col("u").alias("r")), F.col("v") == F.col("r"), "left_semi").limit(1).count() == 0:
                 return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
         now = new
 
@@ -298,7 +309,7 @@ def count_links(sets: list[np.ndarray], weight: np.ndarray, left: int, threshold
 
 
 def _compare(threshold: float, trees: int, base: int):
-    """Rows sorted by (root, bi, bj, part) to ``(root, node, links, head)``: whole groups, one at a time."""
+    """Rows sorted by (root, bi, bj, part) to ``(node, links, head, blocks)``: whole groups, one at a time."""
 
     def run(batches):
         def rows():
@@ -306,9 +317,9 @@ def _compare(threshold: float, trees: int, base: int):
                 yield from zip(*(c.to_pylist() for c in b.columns))
 
         out: list[tuple] = []
-        for (root, bi, bj), group in itertools.groupby(rows(), key=lambda r: r[:3]):
+        for (_, bi, bj), group in itertools.groupby(rows(), key=lambda r: r[:3]):
             nodes, parts, weights, sets, depths, signs, seen = [], [], [], [], [], [], set()
-            for _, _, _, part, node, copies, depth, sign, packed in group:
+            for _, _, _, part, node, copies, depth, sign, packed, blocks in group:
                 if node not in seen:
                     seen.add(node), nodes.append(node), parts.append(part), weights.append(copies), depths.append(depth)
                     sets.append(np.frombuffer(packed, np.uint64)), signs.append(np.frombuffer(sign, np.int64))
@@ -317,7 +328,7 @@ def _compare(threshold: float, trees: int, base: int):
                 both = np.stack(signs).reshape(len(nodes), trees, 2)
                 met = meetings(np.ascontiguousarray(both[:, :, 0].T), np.ascontiguousarray(both[:, :, 1].T), np.array(depths), base)
                 links, head = count_links(sets, np.array(weights, np.int64), left, threshold, met)
-                out += [(root, nodes[k], int(links[k]), nodes[int(head[k])]) for k in np.flatnonzero(links).tolist()]
+                out += [(nodes[k], int(links[k]), nodes[int(head[k])], blocks) for k in np.flatnonzero(links).tolist()]
             if len(out) > 10_000:
                 yield _packed(out)
                 out = []
@@ -328,8 +339,8 @@ def _compare(threshold: float, trees: int, base: int):
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * 4
-    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["root", "node", "links", "head"])
+    kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "links", "head", "blocks"])
 
 
 def _first(id_col: str = "doc_id") -> list:
@@ -351,8 +362,8 @@ def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, trees
     met = gatherings(forest_edges(texts.where("depth > 0"), base))
     member = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()).join(texts, "node")
     # a gathering is cut into blocks of about ``block`` texts, or as many shingles as such a block usually has
-    blocks = cut(member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / (block * 500))).cast("int").alias("blocks")), "join-blocks")
-    dealt = member.join(blocks, "root").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    blocks = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / (block * 500))).cast("int").alias("blocks"), F.count("*").alias("members"))
+    dealt = salted_join(member, blocks, ["root"], "members", F.xxhash64("node")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     # joined by shuffle at every size: the members grow with the corpus
     brought = source.hint("merge").join(
         dealt.select("root", "blocks", "part", "node", "copies", "depth", "labels", F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key")),
@@ -368,21 +379,20 @@ def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, trees
 
     sets = brought.select("root", "blocks", "part", "node", "copies", "depth", "labels", "text").mapInArrow(shingled, "root binary, blocks int, part int, node binary, copies long, depth int, sign binary, shingles binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("bi"), F.greatest(o, F.col("part")).alias("bj")))
-    spread = sets.select("root", F.explode(pairs).alias("b"), "part", "node", "copies", "depth", "sign", "shingles").select("root", "b.bi", "b.bj", "part", "node", "copies", "depth", "sign", "shingles")
+    spread = sets.select("root", "blocks", F.explode(pairs).alias("b"), "part", "node", "copies", "depth", "sign", "shingles").select("root", "b.bi", "b.bj", "part", "node", "copies", "depth", "sign", "shingles", "blocks")
     # within a pair of blocks, those of the first come first
     grouped = spread.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "part", "node")
-    compared = cut(grouped.mapInArrow(_compare(threshold, trees, base), "root binary, node binary, links long, head binary"), "join-links")
+    compared = cut(grouped.mapInArrow(_compare(threshold, trees, base), "node binary, links long, head binary, blocks int"), "join-links")
 
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
-    stars = compared.join(blocks, "root")
-    single = stars.where("blocks = 1").select("node", "head")
-    across = stars.where("blocks > 1").select(F.col("node").alias("u"), F.col("head").alias("v")).where("u <> v")
+    single = compared.where("blocks = 1").select("node", "head")
+    across = compared.where("blocks > 1").select(F.col("node").alias("u"), F.col("head").alias("v")).where("u <> v")
     joined = gatherings(across)
     found = single.unionByName(joined.select("node", F.col("root").alias("head")))
     named = texts.select("node", "copies", "first").join(found, "node", "left").join(links, "node", "left")
     named = named.withColumn("of", F.coalesce("head", "node")).drop("head")
-    firsts = named.groupBy("of").agg(F.min("first").alias("head"))
-    named = named.join(firsts, "of").select(F.col("node").alias("__node"), "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    firsts = named.groupBy("of").agg(F.min("first").alias("head"), F.count("*").alias("members"))
+    named = salted_join(named, firsts, ["of"], "members", F.xxhash64("node")).select(F.col("node").alias("__node"), "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # rows without shingles meet nothing
     keyed = rows.select("doc_id", "text_key", "node")
     return keyed.join(named, F.col("node") == F.col("__node"), "left").drop("__node")

@@ -184,3 +184,12 @@ def test_dense_and_sparse_counts_agree():
     for left in (80, 30):
         for i, counts in jaccard.shared_counts(sets, left):
             assert counts.tolist() == [len(np.intersect1d(sets[i], s)) for s in sets]
+
+
+def test_gatherings_of_hubs(spark):
+    name = lambda k: k.to_bytes(4, "big")
+    edges = [(5_000, k) for k in range(0, 1_000, 2)] + [(k, 3) for k in range(1, 300, 2)] + [(9_000 + k, 9_001 + k) for k in range(40)] + [(7, 7)]
+    whole = {k: min(k for pair in part for k in pair) for part in (edges[:500], edges[500:650], edges[650:690]) for pair in part for k in pair}
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "u binary, v binary")
+    got = {bytes(r["node"]): bytes(r["root"]) for r in jaccard.gatherings(df).collect()}
+    assert got == {name(k): name(root) for k, root in whole.items() if k != root}
