@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweave.llm import bpe, decontam, jaccard, langid, phrases, quality, secrets, suffixes, urlrules, winnow
+from areaweave.llm import bpe, decontam, jaccard, langid, merkle, phrases, quality, secrets, suffixes, urlrules, winnow
 from areaweave.llm._common import documents, text_or_empty
 from areaweave.llm.oracles import ORACLES
 
@@ -112,8 +112,20 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether its tampered text still leads to the root."""
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    struck = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    low = F.when(struck, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    leaf = lambda text: merkle.digest(*[F.col(c) for c in columns[:-1]], text)
+    rows = documents(spark, sf_dir).select("doc_id", "source", F.col("doc_id").alias("order"), leaf(F.col("text")).alias("leaf"), leaf(low).alias("claim"))
+    rows = merkle.prove(rows).withColumn("folded_root", merkle.folded(F.col("claim"), F.col("proof")))
+    proof = F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256)
+    return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict:
-    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_phrases": op3_phrases, "op4_suffixes": op4_suffixes, "op5_decontaminate": op5_decontaminate, "op6_winnow": op6_winnow, "op7_urls": op7_urls, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_phrases": op3_phrases, "op4_suffixes": op4_suffixes, "op5_decontaminate": op5_decontaminate, "op6_winnow": op6_winnow, "op7_urls": op7_urls, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "op11_merkle": op11_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
