@@ -34,4 +34,42 @@ edge AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY
 kept AS (SELECT e.doc_id AS doc_id, string_agg(substr(h, 2*before+1, 2*(a-before)), '' ORDER BY a) AS t, max(z) AS z, CAST(sum(z-a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM edge e JOIN n ON n.doc_id=e.doc_id GROUP BY e.doc_id)
 SELECT n.doc_id AS doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t||substr(h, 2*z+1), h))) AS kept_sha256 FROM n LEFT JOIN kept ON kept.doc_id=n.doc_id"""
 
-ORACLES = {"op3_phrases": OP3, "op4_suffixes": OP4, "op8_jaccard": OP8}
+#: The table of the cyclic redundancy check, by its rule; bytes are folded over it.
+CRC = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+#: Nodes level by level, then the siblings of every leaf's way up, then the claim folded along them.
+OP11 = f"""WITH RECURSIVE {CRC},
+part AS (SELECT doc_id, source, coalesce('s'||source, '') AS g, text, concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR))||':'||doc_id END, CASE WHEN source IS NULL THEN '-' ELSE strlen(source)||':'||source END, CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang)||':'||lang END, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR))||':'||n_chars END) AS head FROM documents),
+hash AS (SELECT part.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda h, x: xor(h >> 8, t[(xor(h, x) & 255)+1])), 4294967295) AS h FROM part, crc),
+low AS (SELECT *, CASE WHEN h%5=0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS bad FROM hash),
+leaf AS (SELECT doc_id, g, sha256(head||CASE WHEN text IS NULL THEN '-' ELSE strlen(text)||':'||text END) AS leaf, sha256(head||CASE WHEN bad IS NULL THEN '-' ELSE strlen(bad)||':'||bad END) AS claim FROM low),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf)-1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaf),
+node AS (SELECT g, 0 AS lvl, i, leaf AS h, n FROM placed UNION ALL SELECT g, lvl+1, i//16, sha256(string_agg(h, '' ORDER BY i)), (n+15)//16 FROM node WHERE n>1 GROUP BY g, lvl, i//16, n),
+sub AS (SELECT g, lvl AS tall, h AS subroot, row_number() OVER (ORDER BY g)-1 AS i, count(*) OVER () AS n FROM node WHERE n=1),
+top AS (SELECT 0 AS lvl, i, subroot AS h, n FROM sub UNION ALL SELECT lvl+1, i//16, sha256(string_agg(h, '' ORDER BY i)), (n+15)//16 FROM top WHERE n>1 GROUP BY lvl, i//16, n),
+size AS (SELECT max(lvl) AS tall, max(h) FILTER (n=1) AS root FROM top),
+whole AS (SELECT g, lvl, i, h FROM node WHERE n>1 UNION ALL SELECT g, tall+top.lvl, top.i, top.h FROM sub, top WHERE top.n>1),
+spot AS (SELECT doc_id, leaf, claim, g, unnest(range(0, sub.tall+size.tall)) AS lvl, placed.i AS i, sub.i AS j, sub.tall AS tall FROM placed JOIN sub USING (g), size),
+step AS (SELECT doc_id, leaf, claim, g, lvl, CASE WHEN lvl<tall THEN i//CAST(power(16, lvl) AS BIGINT) ELSE j//CAST(power(16, lvl-tall) AS BIGINT) END AS i FROM spot),
+level AS (SELECT doc_id, leaf, step.lvl AS lvl, coalesce(string_agg(h, '' ORDER BY whole.i) FILTER (whole.i<step.i), '') AS before, coalesce(string_agg(h, '' ORDER BY whole.i) FILTER (whole.i>step.i), '') AS after FROM step JOIN whole ON whole.g=step.g AND whole.lvl=step.lvl AND whole.i//16=step.i//16 GROUP BY doc_id, leaf, step.lvl, step.i),
+proof AS (SELECT doc_id, leaf, sha256(string_agg(before||after, '' ORDER BY lvl)) AS proof FROM level GROUP BY doc_id, leaf),
+climb AS (SELECT doc_id, leaf, 0 AS lvl, claim AS h FROM placed UNION ALL SELECT c.doc_id, c.leaf, c.lvl+1, sha256(before||c.h||after) FROM climb c JOIN level l ON l.doc_id=c.doc_id AND l.leaf=c.leaf AND l.lvl=c.lvl),
+ended AS (SELECT doc_id, leaf, arg_max(h, lvl) AS folded FROM climb GROUP BY doc_id, leaf)
+SELECT p.doc_id AS doc_id, p.leaf AS leaf, subroot, root, coalesce(proof.proof, sha256('')) AS proof_sha256, folded AS folded_root, folded=root AS verified FROM placed p JOIN sub USING (g), size, ended LEFT JOIN proof ON proof.doc_id=ended.doc_id AND proof.leaf=ended.leaf WHERE ended.doc_id=p.doc_id AND ended.leaf=p.leaf"""
+
+#: Words that are equal with one place blanked, or one with a letter less; chains of forms by following them.
+OP12 = f"""WITH RECURSIVE {CRC},
+run AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+each AS (SELECT doc_id, r, count(*) AS c, length(r) AS k FROM run GROUP BY doc_id, r),
+bytes AS (SELECT r, c, k, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR)||':'||r, ''), lambda x: CASE WHEN unicode(x)<128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192+unicode(x)//64 AS BIGINT), CAST(128+unicode(x)%64 AS BIGINT)] END)) AS b FROM each),
+hash AS (SELECT r, c, k, xor(list_reduce(list_prepend(4294967295, b), lambda h, x: xor(h >> 8, t[(xor(h, x) & 255)+1])), 4294967295) AS h FROM bytes, crc),
+word AS (SELECT w, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h%97=0 THEN substr(r, 1, CAST(h%k AS BIGINT))||substr(r, CAST(h%k AS BIGINT)+2) ELSE r END AS w FROM hash) WHERE length(w)>=5 GROUP BY w HAVING sum(c)>=3),
+hole AS (SELECT w, n, j, substr(w, 1, j)||'*'||substr(w, j+2) AS p, substr(w, 1, j)||substr(w, j+2) AS q FROM (SELECT w, n, unnest(range(0, length(w))) AS j FROM word)),
+pair AS (SELECT a.w AS w, b.w AS o, b.n AS m FROM hole a JOIN hole b ON a.p=b.p AND a.w<>b.w UNION SELECT a.w, b.w, b.n FROM word a JOIN hole b ON a.w=b.q UNION SELECT b.w, a.w, a.n FROM word a JOIN hole b ON a.w=b.q),
+near AS (SELECT w, count(*) AS n_near, arg_max(o, m) FILTER (m=top AND o=least) AS o, max(m) AS m FROM (SELECT *, max(m) OVER (PARTITION BY w) AS top, min(o) FILTER (m=top0) OVER (PARTITION BY w) AS least FROM (SELECT *, max(m) OVER (PARTITION BY w) AS top0 FROM pair)) GROUP BY w),
+form AS (SELECT word.w AS w, CASE WHEN near.m>=2*word.n THEN near.o END AS form, word.n AS n, coalesce(n_near, 0) AS n_near, CASE WHEN near.m>=2*word.n THEN near.m END AS form_n FROM word LEFT JOIN near ON near.w=word.w),
+way AS (SELECT w, w AS here, 0 AS step FROM form UNION ALL SELECT way.w, form.form, step+1 FROM way JOIN form ON form.w=way.here WHERE form.form IS NOT NULL),
+root AS (SELECT w, arg_max(here, step) AS root FROM way GROUP BY w)
+SELECT form.w AS word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM form JOIN root ON root.w=form.w"""
+
+ORACLES = {"op3_phrases": OP3, "op4_suffixes": OP4, "op8_jaccard": OP8, "op11_merkle": OP11, "op12_variants": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweave.llm import bpe, decontam, jaccard, langid, merkle, phrases, quality, secrets, suffixes, urlrules, winnow
+from areaweave.llm import bpe, decontam, jaccard, langid, merkle, phrases, quality, secrets, suffixes, urlrules, variants, winnow
 from areaweave.llm._common import documents, text_or_empty
 from areaweave.llm.oracles import ORACLES
 
@@ -124,8 +124,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most frequent near word, root of the chain, and counts of every frequent word; some runs lose a code point."""
+    runs = documents(spark, sf_dir).select("doc_id", F.explode(variants.runs(F.col("text"))).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = F.pmod(h, F.length("run").cast("long")).cast("int")
+    spoilt = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return variants.group(variants.count(runs.select(F.when(F.pmod(h, F.lit(97)) == 0, spoilt).otherwise(F.col("run")).alias("word"))))
+
+
 def queries() -> dict:
-    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_phrases": op3_phrases, "op4_suffixes": op4_suffixes, "op5_decontaminate": op5_decontaminate, "op6_winnow": op6_winnow, "op7_urls": op7_urls, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "op11_merkle": op11_merkle}
+    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_phrases": op3_phrases, "op4_suffixes": op4_suffixes, "op5_decontaminate": op5_decontaminate, "op6_winnow": op6_winnow, "op7_urls": op7_urls, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "op11_merkle": op11_merkle, "op12_variants": op12_variants}
 
 
 def oracle_sql() -> dict[str, str]:
