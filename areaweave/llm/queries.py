@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweave.llm import bpe, decontam, jaccard, langid, merkle, phrases, quality, secrets, suffixes, urlrules, variants, winnow
+from areaweave.llm import bpe, decontam, jaccard, langid, layouts, mainpart, merkle, phrases, quality, secrets, suffixes, urlrules, variants, winnow
 from areaweave.llm._common import documents, text_or_empty
 from areaweave.llm.oracles import ORACLES
 
@@ -133,8 +133,15 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(variants.count(runs.select(F.when(F.pmod(h, F.lit(97)) == 0, spoilt).otherwise(F.col("run")).alias("word"))))
 
 
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by a chain model that is trained on labelled layouts with words of these pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    model = mainpart.fit(layouts.labelled_pages(layouts.words_of(pages)))
+    return mainpart.extract(pages, model, keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict:
-    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_phrases": op3_phrases, "op4_suffixes": op4_suffixes, "op5_decontaminate": op5_decontaminate, "op6_winnow": op6_winnow, "op7_urls": op7_urls, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "op11_merkle": op11_merkle, "op12_variants": op12_variants}
+    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_phrases": op3_phrases, "op4_suffixes": op4_suffixes, "op5_decontaminate": op5_decontaminate, "op6_winnow": op6_winnow, "op7_urls": op7_urls, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "op11_merkle": op11_merkle, "op12_variants": op12_variants, "op13_html": op13_html}
 
 
 def oracle_sql() -> dict[str, str]:
