@@ -1,15 +1,18 @@
 """URL filters: fixed rules first, then association rules mined by FP-growth, in DataFrame operations only.
 
-URL tokens (labels of the host, segments of the path, digits as ``#``) with the label of a rated page form the
-baskets. Frequent combinations that imply a label, ``block`` or ``allow``, more often than it is found anyway become rules:
-they need support, a lift over the share of their label, and a confidence that chance would not give. A rule is dropped
+URL tokens (labels of the host with their places, segments of the path, digits as ``#``) with the label of a rated page form
+the baskets. Frequent combinations that imply a label, ``block`` or ``allow``, more often than it is found anyway become
+rules: they need support, a lift over the share of their label, and a confidence that chance would not give. A rule is dropped
 if a part of it says the same at least as surely. Rules are matched through an inverted index: each rule is posted under
-its rarest token only, a URL looks up its tokens, and the few rules found are tested whole. The rule of the greatest lift
-decides.
+its rarest token only, a URL looks up its tokens, and the few rules found are tested whole.
+
+Of the rules that fit a URL, one that holds all tokens of another and says the opposite sets that other aside: it was counted
+on just such URLs. Of those left the surest decides, by its confidence with one page more for either label, which is a
+chance of the same kind for both labels. (Lift is not: the more common a label, the less lift a certain rule for it can have.)
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and is allowed unless a rule says
 otherwise. Without labels, or with one label only, there are no mined rules and URLs without a fixed rule are
-allowed. Of mined rules of equal lift the more confident one decides, then block. Very long URLs are read in full, and an
+allowed. Of mined rules that are equally sure the one of more tokens decides, then block. Very long URLs are read in full, and an
 empty table gives an empty table. Fixed rules win over mined ones; the longest (host and path) of several wins, and block over allow if they
 are the same. Distinct URLs are judged once and joined back, so repeated rows keep their rows. Columns other than the
 id and the URL play no part.
@@ -56,17 +59,18 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 def tokens_of(host: Column, path: Column) -> Column:
     """The distinct tokens of a URL: host labels with their places from the right, path segments, digits as ``#``."""
     labels = F.reverse(F.split(host, r"\."))
-    hosts = F.transform(labels, lambda x, i: F.concat(F.lit("h"), F.least(i, F.lit(3)).cast("string"), F.lit(":"), x))
+    hosts = F.transform(labels, lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), x))
     segments = F.transform(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda x: F.concat(F.lit("p:"), x))
     return F.array_distinct(F.filter(F.concat(hosts, segments), lambda t: ~t.rlike(r":$")))
 
 
 def mine(baskets: DataFrame, min_support: float = 0.005, min_lift: float = 1.2, least_pages: int = 20, sure: float = 5.0) -> DataFrame:
-    """Rules ``(rule, says, needs, confidence, support, lift)`` that imply a label, from baskets ``(tokens, blocked)``.
+    """Rules ``(rule, says, needs, confidence, support, lift, sure)`` that imply a label, from baskets ``(tokens, blocked)``.
 
     The label is an item of the basket. A rule needs ``min_support`` of the baskets and ``least_pages`` of them with its
     label, ``min_lift`` times the share that the label has anyway, and a confidence ``sure`` standard deviations above
-    that share (thousands of combinations are tried). It is dropped if a rule of part of its tokens has as great a lift.
+    that share (thousands of combinations are tried). It is dropped if a rule of part of its tokens is as confident.
+    ``sure`` is the confidence with one page added for either label.
     """
     labels = {"block": F.lit("label:block"), "allow": F.lit("label:allow")}
     items = baskets.select(F.array_append("tokens", F.when(F.col("blocked"), labels["block"]).otherwise(labels["allow"])).alias("items"))
@@ -80,19 +84,19 @@ def mine(baskets: DataFrame, min_support: float = 0.005, min_lift: float = 1.2,
     seen = F.col("support") * total / F.col("confidence")
     chance = (F.col("confidence") - share) * F.sqrt(seen) >= F.lit(sure) * F.sqrt(share * (F.lit(1.0) - share))
     rules = rules.where((F.col("confidence") >= share * min_lift) & chance)
-    rules = rules.select(F.array_sort("antecedent").alias("needs"), says.alias("says"), "confidence", "support", F.try_divide(F.col("confidence"), share).alias("lift")).withColumn("rule", F.array_join("needs", " "))
-    # parts of a rule share a token with it: look for a stronger or equal one under each of its tokens
-    posted = rules.select(F.col("needs").alias("small"), F.col("says").alias("also"), F.col("lift").alias("c"), F.col("needs")[0].alias("token"))
-    weaker = (
-        rules.select("rule", "says", "needs", "lift", F.explode("needs").alias("token"))
-        .join(posted, "token")
-        .where((F.col("also") == F.col("says")) & (F.size("small") < F.size("needs")) & (F.size(F.array_except("small", "needs")) == 0) & (F.col("c") >= F.col("lift")))
-        .select("rule", "says")
-        .distinct()
-    )
+    smooth = (F.col("support") * total + 1) / (seen + 2)
+    rules = rules.select(F.array_sort("antecedent").alias("needs"), says.alias("says"), "confidence", "support", F.try_divide(F.col("confidence"), share).alias("lift"), smooth.alias("sure")).withColumn("rule", F.array_join("needs", " "))
+    weaker = _parts(rules).where((F.col("part_says") == F.col("says")) & (F.col("part_confidence") >= F.col("confidence"))).select("rule", "says").distinct()
     return rules.join(weaker, ["rule", "says"], "left_anti")
 
 
+def _parts(rules: DataFrame) -> DataFrame:
+    """Each rule with every rule of a part of its tokens; a part shares its first token with the whole."""
+    posted = rules.select(F.col("needs").alias("small"), F.col("rule").alias("part"), F.col("says").alias("part_says"), F.col("confidence").alias("part_confidence"), F.col("needs")[0].alias("token"))
+    met = rules.select("rule", "says", "needs", "confidence", F.explode("needs").alias("token")).join(posted, "token")
+    return met.where((F.size("small") < F.size("needs")) & (F.size(F.array_except("small", "needs")) == 0))
+
+
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``(url_key, says, confidence)`` of the URLs that some rule fits, by the best one; ``urls`` has ``url_key`` and ``tokens``.
 
@@ -101,15 +105,20 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """
     wanted = rules.select(F.explode("needs").alias("token")).distinct()
     tally = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).join(wanted, "token")
+    own = ["rule", "says", "needs", "confidence", "sure"]
     index = (
-        rules.select("rule", "says", "needs", "confidence", "lift", F.explode("needs").alias("token"))
+        rules.select(*own, F.explode("needs").alias("token"))
         .join(tally, "token", "left")
-        .groupBy("rule", "says", "needs", "confidence", "lift")
+        .groupBy(*own)
         .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     )
     hits = urls.select("url_key", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    hits = hits.where(F.size(F.array_except("needs", "tokens")) == 0)
-    best = hits.groupBy("url_key").agg(F.max(F.struct("lift", "confidence", "says")).alias("r"))
+    hits = hits.where(F.size(F.array_except("needs", "tokens")) == 0).select("url_key", *own)
+    # a rule steps back where one that holds it and says the opposite fits as well
+    refined = _parts(rules).where(F.col("part_says") != F.col("says")).select("rule", "says", "part", "part_says")
+    aside = hits.select("url_key", "rule", "says").join(refined, ["rule", "says"]).select("url_key", F.col("part").alias("rule"), F.col("part_says").alias("says"))
+    left = hits.join(aside.distinct(), ["url_key", "rule", "says"], "left_anti")
+    best = left.groupBy("url_key").agg(F.max(F.struct("sure", F.size("needs").alias("size"), "says", "confidence")).alias("r"))
     return best.select("url_key", "r.says", "r.confidence")
 
 

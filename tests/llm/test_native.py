@@ -279,13 +279,17 @@ def test_mined_rules(spark):
     pages = spark.createDataFrame([(1, "http://pills.example.org/buy/9"), (2, "http://news.example.org/buy/9"), (3, "http://news.example.org/read/1"), (4, "http://pills.example.org/other")], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in urlrules.judge(pages, labelled).collect()}
     assert got == {1: "block", 2: "allow", 3: "allow", 4: "block"}
+    # every labelled row is judged by its label: a certain rule is not overruled by the lift of the rarer label
+    own = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
+    judged = {r["page_id"]: r["verdict"] == "block" for r in urlrules.judge(own, labelled).collect()}
+    assert judged == {k: b for k, (_, b) in enumerate(rows)}
     # labels that have nothing to do with the URL give no rule
     loose = spark.createDataFrame([(u, k % 3 == 0) for k, (u, _) in enumerate(rows)], "url string, blocked boolean")
     assert {r["confidence"] for r in urlrules.judge(pages, loose).collect()} == {None}
 
 
 def mined_by_hand(rows, support, lift, sure):
-    """Every combination of tokens, its lift and its chance, without FP-growth."""
+    """Every combination of tokens: its lift, and its confidence with a page more for either label, without FP-growth."""
     total, base = len(rows), {s: sum(b == (s == "block") for _, b in rows) / len(rows) for s in ("block", "allow")}
     found = {}
     names = sorted({t for ts, _ in rows for t in ts})
@@ -297,24 +301,40 @@ def mined_by_hand(rows, support, lift, sure):
                 if n and n >= support * total:
                     c = n / len(seen)
                     if c >= base[says] * lift and (c - base[says]) * len(seen) ** 0.5 >= sure * (base[says] * (1 - base[says])) ** 0.5:
-                        found[needs, says] = c / base[says]
-    return {k: v for k, v in found.items() if not any(s == k[1] and set(x) < set(k[0]) and w >= v - 1e-12 for (x, s), w in found.items())}
+                        found[needs, says] = (c / base[says], (n + 1) / (len(seen) + 2))
+    return {k: v for k, v in found.items() if not any(s == k[1] and set(x) < set(k[0]) and w[0] >= v[0] - 1e-12 for (x, s), w in found.items())}
+
+
+def judged_by_hand(tokens, rules):
+    fits = {k: v for k, v in rules.items() if set(k[0]) <= set(tokens)}
+    left = [(v[1], len(k[0]), k[1]) for k, v in fits.items() if not any(set(k[0]) < set(x) and s != k[1] for x, s in fits)]
+    return max(left)[2] if left else None
 
 
 def test_mining_and_matching_against_all_combinations(spark):
     rng = random.Random(6)
     rows = []
-    for _ in range(400):
+    for _ in range(1200):
         ts = rng.sample("abcdef", rng.randint(1, 4))
         rows.append((ts, rng.random() < (0.9 if {"a", "b"} <= set(ts) else 0.05 if "c" in ts else 0.3)))
     df = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
     rules = urlrules.mine(df, min_support=0.02, min_lift=1.1, least_pages=5, sure=3.0)
-    want = mined_by_hand(rows, max(0.02, 5 / 400), 1.1, 3.0)
-    got = {(tuple(r["needs"]), r["says"]): r["lift"] for r in rules.collect()}
-    assert want and {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+    want = mined_by_hand(rows, max(0.02, 5 / 1200), 1.1, 3.0)
+    got = {(tuple(r["needs"]), r["says"]): (r["lift"], r["sure"]) for r in rules.collect()}
+    assert want and {k: tuple(round(x, 9) for x in v) for k, v in got.items()} == {k: tuple(round(x, 9) for x in v) for k, v in want.items()}
     assert {s for _, s in got} == {"block", "allow"}
     urls = spark.createDataFrame([(k, list(ts)) for k, (ts, _) in enumerate(rows)], "url_key long, tokens array<string>")
     found = {r["url_key"]: r["says"] for r in urlrules.match(urls, rules).collect()}
     for k, (ts, _) in enumerate(rows):
-        fits = [(v, says) for (needs, says), v in want.items() if set(needs) <= set(ts)]
-        assert found.get(k) == (max(fits)[1] if fits else None)
+        assert found.get(k) == judged_by_hand(ts, want)
+    assert set(found.values()) == {"block", "allow"}
+
+
+def test_the_more_specific_rule_and_deep_hosts(spark):
+    """A rule that holds another and says the opposite decides, though it is less sure; host labels keep their places."""
+    rows = [(["a"], True)] * 400 + [(["a"], False)] * 4 + [(["a", "b"], False)] * 54 + [(["a", "b"], True)] * 6 + [(["c"], False)] * 400
+    rules = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
+    urls = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, ["c"]), (4, ["b"]), (5, ["d"]), (6, [])], "url_key long, tokens array<string>")
+    assert {r["url_key"]: r["says"] for r in urlrules.match(urls, rules).collect()} == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
+    hosts = spark.createDataFrame([("e.d.c.b.a.org", "/x9/")], "host string, path string")
+    assert hosts.select(urlrules.tokens_of(F.col("host"), F.col("path")).alias("t")).first()["t"] == ["h0:org", "h1:a", "h2:b", "h3:c", "h4:d", "h5:e", "p:x#"]
