@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaweave.operators.spatial import areas, overlaps
+from areaweave.operators.overlay import overlaps
+from areaweave.operators.spatial import areas
 
 
 def correspondence(sa2: DataFrame, lga: DataFrame, cell: float, least: float = 1.0) -> DataFrame:

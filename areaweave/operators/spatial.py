@@ -1,11 +1,10 @@
-"""Points in polygons, areas, and overlaps of polygons.
+"""Points in polygons, and areas.
 
 A boundary table has ``code``, ``name`` and ``rings``: array of rings, each an array of (x, y), closed or not.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,68 +77,3 @@ def planar(boundaries: DataFrame) -> DataFrame:
     """Boundaries in degrees as boundaries in metres of the equal-area plane."""
     to = lambda p: F.struct(albers(p["x"], p["y"])[0].alias("x"), albers(p["x"], p["y"])[1].alias("y"))
     return boundaries.withColumn("rings", F.transform("rings", lambda r: F.transform(r, to)))
-
-
-def overlap_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Pairs of areas whose bounding boxes meet, once each, by an equi-join on grid cells."""
-    a, b = (
-        with_edges(d).select(*[F.col(c).alias(f"{p}_{c}") for c in ("code", "edges", "x_min", "x_max", "y_min", "y_max")])
-        for d, p in ((left, "a"), (right, "b"))
-    )
-    at = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")
-
-    def cells(d: DataFrame, p: str) -> DataFrame:
-        return d.withColumn("cx", F.explode(F.sequence(at(f"{p}_x_min"), at(f"{p}_x_max")))).withColumn("cy", F.explode(F.sequence(at(f"{p}_y_min"), at(f"{p}_y_max"))))
-
-    met = cells(a, "a").join(cells(b, "b"), ["cx", "cy"])
-    # the pair is told in the first cell that both boxes touch
-    first = (F.col("cx") == F.greatest(at("a_x_min"), at("b_x_min"))) & (F.col("cy") == F.greatest(at("a_y_min"), at("b_y_min")))
-    meets = (F.col("a_x_min") <= F.col("b_x_max")) & (F.col("b_x_min") <= F.col("a_x_max")) & (F.col("a_y_min") <= F.col("b_y_max")) & (F.col("b_y_min") <= F.col("a_y_max"))
-    return met.where(first & meets).drop("cx", "cy")
-
-
-def overlap_area(a, b) -> float:
-    """Area shared by two polygons given by edges (n x 4 arrays), by the even-odd rule.
-
-    The plane is cut at the height of every vertex and every crossing of an edge of one with an edge of the other;
-    within a slab all edges run straight without crossing, so its middle width times its height is exact.
-    """
-    import numpy as np
-
-    def heights(e, f):
-        ex, ey, edx, edy = e[:, 0, None], e[:, 1, None], (e[:, 2] - e[:, 0])[:, None], (e[:, 3] - e[:, 1])[:, None]
-        fx, fy, fdx, fdy = f[None, :, 0], f[None, :, 1], (f[:, 2] - f[:, 0])[None, :], (f[:, 3] - f[:, 1])[None, :]
-        det = edx * fdy - edy * fdx
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((fx - ex) * fdy - (fy - ey) * fdx) / det
-            u = ((fx - ex) * edy - (fy - ey) * edx) / det
-        hit = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        return (ey + np.where(hit, t, 0) * edy)[hit]
-
-    low, high = max(a[:, [1, 3]].min(), b[:, [1, 3]].min()), min(a[:, [1, 3]].max(), b[:, [1, 3]].max())
-    ys = np.unique(np.concatenate([a[:, 1], a[:, 3], b[:, 1], b[:, 3], heights(a, b), [low, high]]))
-    ys = ys[(ys >= low) & (ys <= high)]
-    total = 0.0
-    for y0, y1 in zip(ys[:-1], ys[1:]):
-        y = (y0 + y1) / 2
-        spans = []
-        for e in (a, b):
-            c = e[(e[:, 1] > y) != (e[:, 3] > y)]
-            spans.append(np.sort(c[:, 0] + (y - c[:, 1]) * (c[:, 2] - c[:, 0]) / (c[:, 3] - c[:, 1])).reshape(-1, 2))
-        p, q = spans
-        if len(p) and len(q):
-            wide = np.minimum(p[:, None, 1], q[None, :, 1]) - np.maximum(p[:, None, 0], q[None, :, 0])
-            total += float(wide[wide > 0].sum()) * (y1 - y0)
-    return total
-
-
-def overlaps(left: DataFrame, right: DataFrame, cell: float, least: float = 1.0) -> DataFrame:
-    """``a_code, b_code, area`` of overlapping areas in plane coordinates; slivers below ``least`` are left out."""
-    import numpy as np
-
-    @F.pandas_udf("double")
-    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-        edges = lambda v: np.array([[e["x1"], e["y1"], e["x2"], e["y2"]] for e in v], float)
-        return pd.Series([overlap_area(edges(x), edges(y)) for x, y in zip(a, b)], dtype="float64")
-
-    return overlap_pairs(left, right, cell).select("a_code", "b_code", shared("a_edges", "b_edges").alias("area")).where(F.col("area") >= least)

@@ -14,7 +14,7 @@ from areaweave.functions.coerce import number
 from areaweave.functions.features import Expression, Feature, compiled
 from areaweave.functions.temporal import Release, month_quarter, release
 from areaweave.functions.text import is_code, recipients_column
-from areaweave.operators import asof, downscale, enrich, geocode, pivot, spatial, summary
+from areaweave.operators import asof, downscale, enrich, geocode, overlay, pivot, spatial, summary
 from areaweave.plans.registry import VariableCatalog
 from areaweave.sources.files import latest_resource
 
@@ -130,6 +130,20 @@ def rect_intersection_area(spark, sf):
     return w.select("sa2_code", "lga_code", F.round("intersection_area_m2", 6).alias("area"), F.round("sa2_share_of_lga", 9).alias("sa2_share_of_lga"), F.round("lga_share_of_sa2", 9).alias("lga_share_of_sa2"))
 
 
+@query("""WITH t AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 9, '0') AS a_code, n_nationkey%4=3 AS cut, (n_nationkey%5)*20.0 AS x0, (n_nationkey//5)*20.0 AS y0 FROM nation),
+b AS (SELECT 'B'||p_partkey AS b_code, (p_partkey*37)%1000/10.0 AS u, (p_partkey*61)%1000/10.0 AS v, 2.0+p_size/4.0 AS w FROM part),
+m AS (SELECT a_code, b_code, cut, greatest(x0, u)-x0 AS l, least(x0+20, u+w)-x0 AS r, greatest(y0, v)-y0 AS d, least(y0+20, v+w)-y0 AS h FROM t, b WHERE least(x0+20, u+w)>greatest(x0, u) AND least(y0+20, v+w)>greatest(y0, v)),
+s AS (SELECT a_code, b_code, CASE WHEN cut THEN (power(greatest(r-d, 0), 2)-power(greatest(r-h, 0), 2)-power(greatest(l-d, 0), 2)+power(greatest(l-h, 0), 2))/2 ELSE (r-l)*(h-d) END AS area FROM m)
+SELECT a_code, b_code, round(area, 5) AS area FROM s WHERE area>=0.001""")
+def polygon_overlap_area(spark, sf):
+    """Tiles, a quarter of them triangles, against a box for each part."""
+    part = _t(spark, sf, "part").select("p_partkey", *_xy("p_partkey"), (F.lit(2.0) + F.col("p_size") / 4.0).alias("w"))
+    p = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    none, w = F.lit(0.0), F.col("w")
+    boxes = part.select(F.concat(F.lit("B"), F.col("p_partkey")).alias("code"), F.lit("").alias("name"), F.array(F.array(p(none, none), p(w, none), p(w, w), p(none, w))).alias("rings"))
+    return overlay.overlaps(_tiles(spark, sf), boxes, CELL, 0.001).select("a_code", "b_code", F.round("area", 5).alias("area"))
+
+
 _VALUES = "v AS (SELECT 'B'||s_nationkey AS lga_code, CAST(count(*) AS DOUBLE) AS n, avg(s_acctbal) AS rate FROM supplier WHERE s_nationkey%7<>0 GROUP BY s_nationkey)"
 
 
