@@ -1,11 +1,8 @@
-"""Token-set similarity, for which Spark has no builtin: over pairs of strings, and of one string to many at once."""
+"""Token-set similarity, for which Spark has no builtin: of two strings, and of one string to many at once."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def common_length(a: str, b: str) -> int:
@@ -103,8 +100,3 @@ class Labels:
             if score >= threshold and (found is None or score > top or (score == top and k < found)):
                 top, found = score, k
         return None if found is None else (self.order[found], top)
-
-
-@F.pandas_udf(T.DoubleType())
-def token_set_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")

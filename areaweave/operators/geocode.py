@@ -49,6 +49,10 @@ def exact(addresses: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame
     return _picked(best.select(*keys, "b.*"), keys, "gnaf_exact")
 
 
+#: Letters of a token that lead to labels where no whole token is known.
+START = 3
+
+
 def component(addresses: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:
     """The only label of the postcode that holds number, name and type of the address; none if there are several."""
     p = F.col("parsed")
@@ -56,29 +60,36 @@ def component(addresses: DataFrame, corpus: DataFrame, keys: list[str]) -> DataF
     # a token with blanks on both sides in the text has to be a token of the label: the longest one says most; without a
     # street type the name ends the text, so a label may go on within its last token
     inner = F.when(p["street_type"].isNotNull(), name).otherwise(F.slice(name, F.lit(1), F.size(name) - 1))
-    token = F.coalesce(F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"], F.lit(""))
+    token = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    # a name of one word that ends the text is the start of a token
+    start = F.when(F.length(p["street_name"]) >= START, F.concat(F.lit("^"), F.substring(p["street_name"], 1, START)))
+    token = F.coalesce(token, F.when(F.size(name) == 1, start), F.lit(""))
     rows = addresses.where(p["street_number"].isNotNull() & p["street_name"].isNotNull() & p["postcode"].isNotNull())
     # worked out once for each address: left to itself, the join would parse it again for every label
     wanted = F.concat_ws(" ", p["street_number"], p["street_name"], p["street_type"])
     rows = rows.select(*keys, p["postcode"].alias("__code"), wanted.alias("__wanted"), token.alias("__token")).distinct()
-    by_token = _with_release(corpus, keys).withColumn("__of", F.explode(F.array_union(F.split("label", " "), F.array(F.lit("")))))
+    # only labels of postcodes that are asked for are taken apart
+    near = _with_release(corpus, keys).join(rows.select(F.col("__code").alias("postcode")).distinct(), "postcode", "left_semi")
+    words = F.split("label", " ")
+    starts = F.transform(F.filter(words, lambda t: F.length(t) >= START), lambda t: F.concat(F.lit("^"), F.substring(t, 1, START)))
+    by_token = near.withColumn("__of", F.explode(F.array_distinct(F.concat(words, starts, F.array(F.lit(""))))))
     on = (F.col("__code") == F.col("postcode")) & (F.col("__token") == F.col("__of")) & (F.col("release") == F.col("c_release") if "release" in keys else F.lit(True))
     hits = rows.join(by_token, on).where(F.contains("label", F.col("__wanted")))
     one = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.first(F.struct("lat", "lon", "mb_code", "pid")).alias("b")).where("n = 1")
     return _picked(one.select(*keys, "b.*"), keys, "gnaf_component")
 
 
-#: Addresses of one postcode (or locality) that are compared in one go; more are dealt to several tasks.
-ADDRESSES = 2000
+#: Addresses, and labels, of one postcode (or locality) that are compared in one go; more of either are dealt to several tasks.
+ADDRESSES, LABELS = 2000, 20_000
 
 
 def fuzzy(addresses: DataFrame, corpus: DataFrame, keys: list[str], threshold: float = 0.85) -> DataFrame:
     """The most similar label of the postcode, or of labels that name the locality where there is no postcode.
 
     In the second case labels are found by the first two words of the locality (the only one, if it has one), which a
-    label has to hold, so ``MOUNT`` alone leads nowhere. Addresses meet the labels of their key in one place, where bounds
-    rule out most labels at once (see `functions.fuzzy.Labels`); pairs never become rows. The labels of a key go to as many
-    tasks as its addresses need.
+    label has to hold, so ``MOUNT`` alone leads nowhere. The labels of a key are dealt to shards of `LABELS` and its addresses
+    to parts of `ADDRESSES`; a task has one of each, an inverted index of the shard's tokens bounds what its labels are
+    worth (see `functions.fuzzy.Labels`), and the best of an address over all shards is merged. Pairs never become rows.
     """
     p = F.col("parsed")
     release = [F.col("release")] if "release" in keys else []
@@ -91,9 +102,14 @@ def fuzzy(addresses: DataFrame, corpus: DataFrame, keys: list[str], threshold: f
     found_by = F.array_distinct(F.concat(F.array(F.concat(F.lit("P"), "postcode")), named))
     labels = _with_release(corpus, keys).withColumn("__k", F.explode(found_by)).where("__k is not null")
     labels = labels.withColumn("__k", F.concat_ws("|", "__k", *([F.col("c_release")] if release else [])))
-    many = rows.groupBy("__k").agg(F.ceil(F.count("*") / ADDRESSES).cast("int").alias("__parts"))
-    dealt = rows.join(many, "__k").select("__k", F.pmod(F.xxhash64("norm"), F.col("__parts").cast("long")).cast("int").alias("__part"), *keys, "__locality")
-    sent = labels.join(many, "__k").select("__k", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), "pid", "label", "lat", "lon", "mb_code")
+    parts = rows.groupBy("__k").agg(F.ceil(F.count("*") / ADDRESSES).cast("int").alias("__parts"))
+    wanted = labels.join(parts, "__k").select("__k", "__parts", "pid", "label", "lat", "lon", "mb_code")
+    shards = wanted.groupBy("__k").agg(F.ceil(F.count("*") / LABELS).cast("int").alias("__shards"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = rows.join(parts, "__k").join(shards, "__k")
+    dealt = dealt.select("__k", F.pmod(F.xxhash64("norm"), F.col("__parts").cast("long")).cast("int").alias("__part"), every("__shards").alias("__shard"), *keys, "__locality")
+    sent = wanted.join(shards, "__k").withColumn("__shard", F.pmod(F.xxhash64("pid", "label"), F.col("__shards").cast("long")).cast("int"))
+    sent = sent.select("__k", every("__parts").alias("__part"), "__shard", "pid", "label", "lat", "lon", "mb_code")
 
     def best(left, right):
         import pyarrow as pa
@@ -107,8 +123,10 @@ def fuzzy(addresses: DataFrame, corpus: DataFrame, keys: list[str], threshold: f
         return pa.table([*made, pa.array([hits[i][1] for i in rows], pa.float64())], names=[*keys, "lat", "lon", "mb_code", "pid", "score"])
 
     schema = ", ".join(f"{k} string" for k in keys) + ", lat double, lon double, mb_code string, pid string, score double"
-    found = dealt.groupBy("__k", "__part").cogroup(sent.groupBy("__k", "__part")).applyInArrow(best, schema)
-    return _picked(found, keys, "gnaf_fuzzy", score=True)
+    place = ["__k", "__part", "__shard"]
+    found = dealt.groupBy(*place).cogroup(sent.groupBy(*place)).applyInArrow(best, schema)
+    top = F.min(F.struct((-F.col("score")).alias("s"), F.col("pid").isNull().alias("none"), "pid", "lat", "lon", "mb_code", "score"))
+    return _picked(found.groupBy(*keys).agg(top.alias("b")).select(*keys, "b.*"), keys, "gnaf_fuzzy", score=True)
 
 
 def _with_release(corpus: DataFrame, keys: list[str]) -> DataFrame:

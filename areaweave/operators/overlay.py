@@ -143,34 +143,61 @@ def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def pieces(boundaries: DataFrame, cell: float) -> DataFrame:
-    """``code, cx, cy, full, area, edges``: what each polygon covers of each cell; edges are flat, four numbers each."""
-    import pyarrow as pa
+    """``code, cx, cy, full, edges``: what each polygon covers of each cell; edges are flat, four numbers each.
 
-    def cut(key, table):
-        e = np.stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
-        row = key[1].as_py()
-        found = list(row_pieces(e, row, cell))
-        box = lambda c: np.array([[c * cell, row * cell, c * cell, (row + 1) * cell], [(c + 1) * cell, row * cell, (c + 1) * cell, (row + 1) * cell]])
-        size = [cell * cell if full else overlap_area(x, box(c)) for c, full, x in found]
-        return pa.table({
-            "code": pa.array([key[0].as_py()] * len(found), pa.string()), "cx": pa.array([c for c, _, _ in found], pa.int64()), "cy": pa.array([row] * len(found), pa.int64()),
-            "full": pa.array([full for _, full, _ in found], pa.bool_()), "area": pa.array(size, pa.float64()), "edges": pa.array([x.ravel() for _, _, x in found], pa.list_(pa.float64())),
-        })
+    The edges of a polygon in a row of the grid come one after another, and a task cuts many such runs from a batch.
+    """
+    import pyarrow as pa
 
-    made = row_edges(boundaries, cell).groupBy("code", "cy").applyInArrow(cut, "code string, cx long, cy long, full boolean, area double, edges array<double>")
-    return made.where("area > 0")
+    def cut(codes, rows, e):
+        """Cells of all runs of equal code and row."""
+        marks = [0, *(np.flatnonzero((rows[1:] != rows[:-1]) | np.array([x != y for x, y in zip(codes, codes[1:])], bool)) + 1).tolist(), len(codes)]
+        found = [(codes[a], int(rows[a]), *piece) for a, b in zip(marks[:-1], marks[1:]) for piece in row_pieces(e[a:b], int(rows[a]), cell)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([x[0] for x in found], pa.string()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()),
+                pa.array([x[3] for x in found], pa.bool_()), pa.array([x[4].ravel() for x in found], pa.list_(pa.float64())),
+            ],
+            names=["code", "cx", "cy", "full", "edges"],
+        )
+
+    def run(batches):
+        held = None  # a run may go on in the next batch
+        for batch in batches:
+            now = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not now.num_rows:
+                continue
+            codes, rows = now.column("code").to_pylist(), now.column("cy").to_numpy()
+            last = len(codes) - 1
+            while last > 0 and codes[last - 1] == codes[-1] and rows[last - 1] == rows[-1]:
+                last -= 1
+            if last:
+                e = np.stack([now.column(c).to_numpy()[:last] for c in ("x1", "y1", "x2", "y2")], axis=1)
+                yield cut(codes[:last], rows[:last], e)
+            held = now.slice(last)
+        if held is not None:
+            yield cut(held.column("code").to_pylist(), held.column("cy").to_numpy(), np.stack([held.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1))
+
+    rows = row_edges(boundaries, cell).repartition("code", "cy").sortWithinPartitions("code", "cy")
+    return rows.mapInArrow(run, "code string, cx long, cy long, full boolean, edges array<double>")
 
 
 def overlaps(left: DataFrame, right: DataFrame, cell: float, least: float = 1.0) -> DataFrame:
     """``a_code, b_code, area`` of overlapping areas in plane coordinates; slivers below ``least`` are left out."""
 
+    def area(a, b) -> float:
+        if a is None and b is None:
+            return cell * cell
+        if a is None or b is None:  # the other one fills the cell
+            e = (b if a is None else a).reshape(-1, 4)
+            (x0, x1), (y0, y1) = ((v.min(), v.max()) for v in (e[:, [0, 2]], e[:, [1, 3]]))
+            return overlap_area(e, np.array([[x0, y0, x0, y1], [x1, y0, x1, y1]]))
+        return overlap_area(a.reshape(-1, 4), b.reshape(-1, 4))
+
     @F.pandas_udf("double")
     def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if x is None or y is None else overlap_area(x.reshape(-1, 4), y.reshape(-1, 4)) for x, y in zip(a, b)], dtype="float64")
-
-    a, b = (pieces(d, cell).withColumnsRenamed({c: f"{p}_{c}" for c in ("code", "full", "area", "edges")}) for d, p in ((left, "a"), (right, "b")))
-    met = a.join(b, ["cx", "cy"])
-    cut = ~F.col("a_full") & ~F.col("b_full")
-    met = met.withColumn("cut_area", shared(F.when(cut, F.col("a_edges")), F.when(cut, F.col("b_edges"))))
-    area = F.when(F.col("a_full"), F.col("b_area")).when(F.col("b_full"), F.col("a_area")).otherwise(F.col("cut_area"))
-    return met.groupBy("a_code", "b_code").agg(F.sum(area).alias("area")).where(F.col("area") >= least)
+        return pd.Series([area(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    a, b = (pieces(d, cell).select("cx", "cy", F.col("code").alias(f"{p}_code"), F.when(~F.col("full"), F.col("edges")).alias(f"{p}_edges")) for d, p in ((left, "a"), (right, "b")))
+    met = a.join(b, ["cx", "cy"]).select("a_code", "b_code", shared("a_edges", "b_edges").alias("area"))
+    return met.groupBy("a_code", "b_code").agg(F.sum("area").alias("area")).where((F.col("area") >= least) & (F.col("area") > 0))

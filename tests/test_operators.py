@@ -105,6 +105,41 @@ def overlap_by_hand(a, b):
     return total
 
 
+@pytest.mark.parametrize("addresses,labels", [(2000, 20_000), (3, 4), (1, 1)])
+def test_fuzzy_shards_against_every_label(spark, monkeypatch, addresses, labels):
+    """However addresses and labels of a locality are dealt, each gets its best label; of equal ones the least id."""
+    from areaweave.functions.address import parse_address
+    from areaweave.functions.fuzzy import token_set_ratio
+
+    monkeypatch.setattr(geocode, "ADDRESSES", addresses)
+    monkeypatch.setattr(geocode, "LABELS", labels)
+    rng = random.Random(9)
+    names = ["GEORGE", "GEORGINA", "KING", "KINGSTON", "PITT", "ELIZA", "HIGH"]
+    corpus = [(f"P{k:03}" if k else None, f"{rng.randint(1, 9)} {rng.choice(names)} {rng.choice(['STREET', 'ROAD'])} SYDNEY NSW {2000 + k % 2}", float(k), 1.0, f"M{k}", str(2000 + k % 2)) for k in range(60)]
+    corpus += [("P900", corpus[7][1], 9.0, 9.0, "M", "2001")]
+    asked = [f"{rng.randint(1, 9)} {rng.choice(names)[:-1]} {rng.choice(['STREET', 'ROAD'])} SYDNEY NSW {2000 + k % 2}" for k in range(20)] + ["5 HIGH STREET SYDNEY NSW"]
+    c = spark.createDataFrame(corpus, "pid string, label string, lat double, lon double, mb_code string, postcode string")
+    rows = parse_address(spark.createDataFrame([(a,) for a in asked], "norm string"), "norm")
+    got = {r["norm"]: (r["pid"], round(r["match_score"], 9)) for r in geocode.fuzzy(rows, c, ["norm"], 0.8).collect()}
+    want = {}
+    for a in asked:
+        of = [(-token_set_ratio(a, x[1]), x[0] is None, x[0] or "", x[0]) for x in corpus if not a[-1].isdigit() or x[5] == a[-4:]]
+        if -min(of)[0] >= 0.8:
+            want[a] = (min(of)[3], round(-min(of)[0], 9))
+    assert got == want and len(want) > 10
+
+
+@pytest.mark.parametrize("text", ["12 GEORGE", "2 GEORG", "2 PI", "2 PIT", "2 P", "2 X", "2 GEORGE STREET", "12 GEORGE STREET", "92 GEORGE"])
+def test_component_by_whole_and_started_tokens(spark, text):
+    c = spark.createDataFrame([("P1", "112 GEORGE STREET SYDNEY NSW 2000", 1.0, 1.0, "M", "2000"), ("P2", "2 PITT STREET SYDNEY NSW 2000", 1.0, 1.0, "M", "2000"), ("P3", "2 GEORGE STREET PERTH WA 6000", 1.0, 1.0, "M", "6000"), ("P4", "92 GEORGE STREET SYDNEY NSW 2000", 1.0, 1.0, "M", "2000")], "pid string, label string, lat double, lon double, mb_code string, postcode string")
+    parts = text.split(" ")
+    kind = "street_number string, street_name string, street_type string, locality string, state string, postcode string"
+    row = spark.createDataFrame([(text, (parts[0], parts[1], parts[2] if len(parts) > 2 else None, None, None, "2000"))], f"norm string, parsed struct<{kind.replace(' string', ':string').replace(', ', ',')}>")
+    fits = [p for p, label in (("P1", "112 GEORGE STREET SYDNEY NSW 2000"), ("P2", "2 PITT STREET SYDNEY NSW 2000"), ("P4", "92 GEORGE STREET SYDNEY NSW 2000")) if text in label]
+    got = [r["pid"] for r in geocode.component(row, c, ["norm"]).collect()]
+    assert got == (fits if len(fits) == 1 else [])
+
+
 def test_overlay_against_slabs_by_hand():
     rng = random.Random(5)
     for n in (3, 8, 40, 150):
