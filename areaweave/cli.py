@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("config", type=Path)
         if name == "run":
             p.add_argument("--sources", help="module:function that builds the sources")
-            p.add_argument("--data-dir", help="folder of published files, in place of --sources")
+        p.add_argument("--data-dir", help="folder of published files" + (", in place of --sources" if name == "run" else ": variables are looked up in its catalogue too"))
     for name in ("fetch", "gnaf-info"):
         p = commands.add_parser(name)
         p.add_argument("--config", "-c", type=Path, required=True)
@@ -101,6 +101,12 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         config = load_config(args.config.read_text(encoding="utf-8"))
         if args.command == "validate":
+            if args.data_dir:
+                from pyspark.sql import SparkSession
+
+                from areaweave.plans.pipeline import Pipeline
+
+                Pipeline.from_config(SparkSession.builder.getOrCreate(), config, args.data_dir)
             print("valid")
             return 0
         if args.command == "fetch" and not (args.boundaries or args.census or args.gnaf):

@@ -33,13 +33,14 @@ def sa2s_of(weights: DataFrame, lga_code: str) -> DataFrame:
     return weights.where(F.col("lga_code") == lga_code).select("sa2_code", "sa2_share_of_lga")
 
 
-def counts(weights: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+def counts(weights: DataFrame, values: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Counts of LGAs dealt to SA2s by area: all columns in one pass. Areas that overlap none are left out.
 
-    A missing count adds nothing, and an area of only missing counts has 0.
+    A missing count adds nothing, and an area of only missing counts has 0. Values of several releases, told apart by the
+    columns ``by``, are dealt side by side.
     """
-    met = weights.select("sa2_code", "lga_code", F.col("sa2_share_of_lga").alias("__w")).join(values.select("lga_code", *columns), "lga_code")
-    return met.groupBy("sa2_code").agg(*[F.coalesce(F.sum(F.col(c) * F.col("__w")), F.lit(0.0)).alias(c) for c in columns])
+    met = weights.select("sa2_code", "lga_code", F.col("sa2_share_of_lga").alias("__w")).join(values.select("lga_code", *by, *columns), "lga_code")
+    return met.groupBy("sa2_code", *by).agg(*[F.coalesce(F.sum(F.col(c) * F.col("__w")), F.lit(0.0)).alias(c) for c in columns])
 
 
 def rates(weights: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,14 +7,16 @@ tier sees only what the tiers before it left, and every choice among equals goes
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaweave.functions.address import cache_key, normalize_address, parse_address
 from areaweave.functions.fuzzy import Labels
+from areaweave.sources.files import stored
 
 #: Reliability order of coordinate sources.
 SOURCES = ("input", "gnaf_exact", "gnaf_component", "gnaf_fuzzy", "nominatim_cache", "nominatim_fresh", "failed")
@@ -168,12 +170,16 @@ class Paced:
 
     ``ask(address)`` gives a status, headers and the parsed answer; it may raise ConnectionError or TimeoutError. After 429
     and 503 the request is repeated up to ``tries`` times, after the longer of what ``Retry-After`` says and 1, 2, 4 s.
-    The pace is that of one task: run as many tasks as the service allows askers.
+    ``per_second`` is the pace of all askers together: `shared` gives each of them its part of it.
     """
 
     def __init__(self, ask: Callable[[str], tuple[int, dict, object]], per_second: float = 1.0, tries: int = 3, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
         self.ask, self.gap, self.tries, self.wait, self.clock = ask, 1.0 / per_second, tries, wait, clock
 
+    def shared(self, askers: int) -> Paced:
+        """The pace of one of several askers, so that all together keep to the pace of this one."""
+        return Paced(self.ask, 1.0 / (self.gap * askers), self.tries, self.wait, self.clock)
+
     def __call__(self, addresses: Iterator[str]) -> Iterator[tuple[float, float] | None]:
         last: float | None = None
         for a in addresses:
@@ -213,49 +219,83 @@ class Paced:
 class CachedProvider:
     """Results of an outside geocoder: a cache table by hash, and a callable for what it lacks.
 
-    ``fetch`` takes an iterator of addresses and yields (lat, lon) or None for each; it runs on the executors, one
-    partition after another, and sets its own pace. Failures are not kept.
+    ``fetch`` takes an iterator of addresses and yields (lat, lon) or None for each; it runs on the executors, in ``askers``
+    tasks at most, which share its pace if it is `Paced`. With ``path``, hits are added to the cache there before anything
+    uses them, so each address is asked for once, however often the plan is run, and a second run asks for none of them.
+    Failures are not kept.
     """
 
-    def __init__(self, cache: DataFrame | None = None, fetch: Callable[[Iterator[str]], Iterator[tuple[float, float] | None]] | None = None):
-        self.cache, self.fetch = cache, fetch
+    def __init__(self, cache: DataFrame | None = None, fetch: Callable[[Iterator[str]], Iterator[tuple[float, float] | None]] | None = None, path: str | None = None, askers: int = 1):
+        if askers < 1:
+            raise ValueError("there has to be an asker")
+        self.cache, self.fetch, self.path, self.askers = cache, fetch, path, askers
 
     def resolve(self, addresses: DataFrame) -> DataFrame:
         keys = [c for c in ("norm", "release") if c in addresses.columns]
+        spark = addresses.sparkSession
+        cache = read_cache(spark, self.path) if self.cache is None and self.path else self.cache
+        if cache is None and self.fetch is None:
+            raise ValueError("neither a cache nor a way to fetch")
         rows = addresses.select(*keys).withColumn("hash", cache_key(F.col("norm")))
-        none = F.lit(None).cast("string")
+        if self.path and self.fetch is not None:
+            asked = rows if cache is None else rows.join(cache.select("hash"), "hash", "left_anti")
+            batch = write_cache(self.fetched(asked.dropDuplicates(["hash"]), ["norm"]), self.path)
+            known = read_cache(spark, self.path).withColumn("geo_source", F.when(F.col("batch") == batch, "nominatim_fresh").otherwise("nominatim_cache"))
+            if self.cache is not None:
+                known = known.join(self.cache.select("hash"), "hash", "left_anti").select("hash", "lat", "lon", "geo_source").unionByName(self.cache.select("hash", "lat", "lon", F.lit("nominatim_cache").alias("geo_source")))
+            return _outside(rows.join(known, "hash"), keys)
         out = None
-        if self.cache is not None:
-            hit = rows.join(self.cache.select(F.col("hash").alias("h"), "lat", "lon"), F.col("hash") == F.col("h"))
-            out = hit.select(*keys, "lat", "lon", F.lit("nominatim_cache").alias("geo_source"), F.lit(None).cast("double").alias("match_score"), none.alias("mb_code"), none.alias("pid"))
-            rows = rows.join(self.cache.select("hash"), "hash", "left_anti")
+        if cache is not None:
+            out = _outside(rows.join(cache.select("hash", "lat", "lon", F.lit("nominatim_cache").alias("geo_source")), "hash"), keys)
+            rows = rows.join(cache.select("hash"), "hash", "left_anti")
         if self.fetch is not None:
-            fresh = self.fetched(rows, keys)
+            fresh = _outside(self.fetched(rows, keys), keys)
             out = fresh if out is None else out.unionByName(fresh)
-        if out is None:
-            raise ValueError("neither a cache nor a way to fetch")
         return out
 
     def fetched(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """``keys, lat, lon, geo_source`` of the addresses that the outside geocoder knows."""
         import pandas as pd
 
-        fetch = self.fetch
+        fetch = self.fetch.shared(self.askers) if isinstance(self.fetch, Paced) else self.fetch
 
         def run(frames):
             for f in frames:
                 got = list(fetch(iter(f["norm"])))
-                f = f[keys].assign(lat=[g[0] if g else None for g in got], lon=[g[1] if g else None for g in got], geo_source="nominatim_fresh", match_score=float("nan"), mb_code=None, pid=None)
+                f = f[keys].assign(lat=[g[0] if g else None for g in got], lon=[g[1] if g else None for g in got], geo_source="nominatim_fresh")
                 yield f[f["lat"].notna()].astype({"lat": float, "lon": float}) if len(f) else pd.DataFrame(columns=f.columns)
 
-        kinds = ", ".join(f"{k} string" for k in keys)
-        made = rows.mapInPandas(run, f"{kinds}, lat double, lon double, geo_source string, match_score double, mb_code string, pid string")
-        return made.withColumn("match_score", F.lit(None).cast("double"))
+        # as many tasks as there are askers, whatever the plan before: none of them is faster than its part of the pace
+        dealt = rows.select(*keys).repartition(self.askers, F.xxhash64("norm"))
+        return dealt.mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", lat double, lon double, geo_source string")
+
+
+def _outside(found: DataFrame, keys: list[str]) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return found.select(*keys, "lat", "lon", "geo_source", F.lit(None).cast("double").alias("match_score"), none.alias("mb_code"), none.alias("pid"))
+
 
+CACHE = "hash string, lat double, lon double, batch string, part string"
 
-def write_cache(found: DataFrame, path: str) -> None:
-    """Add fresh results to a cache table, partitioned by the first two letters of the hash."""
-    fresh = found.where("geo_source = 'nominatim_fresh'").select(cache_key(F.col("norm")).alias("hash"), "lat", "lon")
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """``hash, lat, lon, batch`` of a cache table, one row for each hash however often it was written; empty if there is none."""
+    if not stored(spark, path):
+        return spark.createDataFrame([], CACHE).drop("part")
+    first = F.min(F.struct(F.coalesce("batch", F.lit("")).alias("batch"), "lat", "lon")).alias("b")
+    return spark.read.schema(CACHE).option("basePath", path).parquet(path).groupBy("hash").agg(first).select("hash", "b.lat", "b.lon", "b.batch")
+
+
+def write_cache(found: DataFrame, path: str) -> str:
+    """Add fresh results (``norm, lat, lon, geo_source``) to a cache table, and the name of the batch they make.
+
+    The table is parted by the first two letters of the hash. A batch becomes visible when its job has committed; a job
+    that is repeated may write a hash again, which `read_cache` counts once.
+    """
+    batch = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    fresh = found.where("geo_source = 'nominatim_fresh'").select(cache_key(F.col("norm")).alias("hash"), "lat", "lon", F.lit(batch).alias("batch"))
     fresh.withColumn("part", F.substring("hash", 1, 2)).write.mode("append").partitionBy("part").parquet(path)
+    return batch
 
 
 def resolve(rows: DataFrame, address: str | None, lat: str | None, lon: str | None, providers: list[Provider], release: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ another boundary set does not need the files to be parsed again.
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -25,8 +26,8 @@ from areaweave.operators.spatial import areas, planar
 from areaweave.plans.registry import DATASETS, Registry
 from areaweave.sources import census, datasets
 from areaweave.sources.editions import PARENT_SA4, edition, lga_edition
-from areaweave.sources.files import boundaries, csv_frame, folders, listed, mesh_blocks, read_bytes, stored, workbook
-from areaweave.sources.sidecars import kept, read_weights, release_path, write_weights
+from areaweave.sources.files import boundary_file, folders, listed, mesh_block_file, read_bytes, read_csv, stored, workbook
+from areaweave.sources.sidecars import kept, kept_files, read_weights, release_path, write_weights
 
 
 @dataclass
@@ -49,7 +50,7 @@ class Store:
         """``code, name, rings, attributes`` of an edition, kept as parquet."""
         e = edition(year, datum or ("GDA94" if year < 2021 else self.datum))
         source = f"{self.root}/boundaries/{year}/{e.file}"
-        return kept(self.spark, f"{self.root}/sidecars/boundaries/{e.file}", lambda: boundaries(self.spark, read_bytes(self.spark, source), e.code, e.name), self.refresh)
+        return kept(self.spark, f"{self.root}/sidecars/boundaries/{e.file}", lambda: boundary_file(self.spark, source, e.code, e.name), self.refresh, [source])
 
     @cached_property
     def sa2(self) -> DataFrame:
@@ -58,12 +59,13 @@ class Store:
     @cached_property
     def lga(self) -> DataFrame:
         e = lga_edition(self.lga_year)
-        return kept(self.spark, f"{self.root}/sidecars/boundaries/{e.file}", lambda: boundaries(self.spark, read_bytes(self.spark, f"{self.root}/lga/{e.file}"), e.code, e.name), self.refresh)
+        source = f"{self.root}/lga/{e.file}"
+        return kept(self.spark, f"{self.root}/sidecars/boundaries/{e.file}", lambda: boundary_file(self.spark, source, e.code, e.name), self.refresh, [source])
 
     @cached_property
     def mesh(self) -> DataFrame | None:
         found = listed(self.spark, f"{self.root}/mesh_blocks/{self.year}", ".zip")
-        return kept(self.spark, f"{self.root}/sidecars/mesh_blocks/{self.year}", lambda: mesh_blocks(self.spark, read_bytes(self.spark, found[0])), self.refresh) if found else None
+        return kept(self.spark, f"{self.root}/sidecars/mesh_blocks/{self.year}", lambda: mesh_block_file(self.spark, found[0]), self.refresh, found[:1]) if found else None
 
     @cached_property
     def sa2_areas(self) -> DataFrame:
@@ -79,17 +81,27 @@ class Store:
     @cached_property
     def weights(self) -> DataFrame:
         """Area weights between councils and the areas of the edition, in the equal-area plane, kept."""
-        path = f"{self.root}/sidecars/correspondence/sa2_{self.year}_lga_{lga_edition(self.lga_year).year}"
-        if self.refresh or not stored(self.spark, f"{path}/_SUCCESS"):
-            e, g = edition(self.year, "GDA94" if self.year < 2021 else self.datum), lga_edition(self.lga_year)
-            write_weights(downscale.correspondence(planar(self.sa2), planar(self.lga), self.cell), path, e.code, g.code)
+        e, g = edition(self.year, "GDA94" if self.year < 2021 else self.datum), lga_edition(self.lga_year)
+        path = f"{self.root}/sidecars/correspondence/sa2_{self.year}_lga_{g.year}"
+        sources = [f"{self.root}/boundaries/{self.year}/{e.file}", f"{self.root}/lga/{g.file}"]
+        kept_files(self.spark, path, lambda at: write_weights(downscale.correspondence(planar(self.sa2), planar(self.lga), self.cell), at, e.code, g.code), sources, self.refresh)
         return read_weights(self.spark, path)[0]
 
     @cached_property
     def short_codes(self) -> DataFrame | None:
-        """Five-digit codes of old payment files with their nine-digit ones, if the folder has the table."""
-        found = [p for p in listed(self.spark, self.root, ".csv") if p.endswith("/short_codes.csv")]
-        return csv_frame(self.spark, read_bytes(self.spark, found[0])).select("short", "sa2_code") if found else None
+        """``short, sa2_code``: five-digit codes of old payment files with their nine-digit ones.
+
+        They come from the boundaries of 2016, which old files are coded by (the ones of the census year if the folder has
+        no others): from their own column, or the digit of the state and the last four of the code. A table of the folder
+        (``short_codes.csv``) goes before.
+        """
+        if found := [p for p in listed(self.spark, self.root, ".csv") if p.endswith("/short_codes.csv")]:
+            return read_csv(self.spark, found[0], infer=False).select("short", "sa2_code")
+        old = self.boundary_table(2016) if stored(self.spark, f"{self.root}/boundaries/2016") else self.sa2
+        named = F.map_filter("attributes", lambda k, v: F.upper(k).rlike("^SA2_5DIG"))
+        short = F.coalesce(F.get(F.map_values(named), F.lit(0)), F.concat(F.substring("code", 1, 1), F.substring("code", 6, 4)))
+        pairs = old.where(F.length("code") == 9).select(short.alias("short"), F.col("code").alias("sa2_code"))
+        return pairs.groupBy("short").agg(F.min("sa2_code").alias("sa2_code"), F.count("*").alias("n")).where("n = 1").drop("n")
 
     def files(self, dataset: str, release: str) -> list[str]:
         found = listed(self.spark, f"{self.root}/datasets/{dataset}/{release}")
@@ -97,11 +109,9 @@ class Store:
             raise FileNotFoundError(f"no files of {dataset}, release {release}, under {self.root}")
         return found
 
-    def datapack(self, year: int) -> dict[str, Callable[[], DataFrame]]:
-        """Tables of a data pack by id: from extracted files, from a file of one's own, or from the staged archive."""
+    def archive(self, year: int) -> str:
+        """The data pack of a year: a file of one's own, or the staged one that fits kind of headers and region."""
         folder = f"{self.root}/census/{year}"
-        if extracted := {t: p for p in listed(self.spark, folder, ".csv") if (t := census.table_of(p))}:
-            return {t: lambda p=p: census.table_frame(self.spark, read_bytes(self.spark, p)) for t, p in extracted.items()}
         # packs of 2016 have short headers only
         kind = "short-header" if year == 2016 else self.descriptor
         staged = listed(self.spark, folder, ".zip")
@@ -109,8 +119,28 @@ class Store:
         path = self.local_zip if self.local_zip and year == self.year else fits[0] if fits else None
         if path is None:
             raise FileNotFoundError(f"no data pack of {year} under {folder}; staged are {staged}")
-        data = read_bytes(self.spark, path)
-        return {t: lambda t=t: census.read_table(self.spark, data, t) for t in census.tables(data)}
+        if not stored(self.spark, path):
+            raise FileNotFoundError(path)
+        return path
+
+    def datapack(self, year: int) -> dict[str, Callable[[], DataFrame]]:
+        """Tables of a data pack by id: scans of extracted files, or of what is kept of the archive's members."""
+        if extracted := {t: p for p in listed(self.spark, f"{self.root}/census/{year}", ".csv") if (t := census.table_of(p))}:
+            return {t: lambda p=p: census.table_file(self.spark, p) for t, p in extracted.items()}
+        path = self.archive(year)
+        folder = kept_files(self.spark, f"{self.root}/sidecars/census/{year}/{path.rsplit('/', 1)[-1]}", lambda at: census.extract(self.spark, path, at), [path], self.refresh)
+        return {t: lambda t=t, names=names: census.extracted_table(self.spark, folder, t, names) for t, names in census.headers(self.spark, folder).items()}
+
+    def catalogue(self, year: int) -> DataFrame | None:
+        """``table_id, pos, code, description, table_name`` of a data pack, kept; None if no workbook describes it."""
+        books = [p for p in listed(self.spark, f"{self.root}/census/{year}", ".xlsx") if census.METADATA.search(p.rsplit("/", 1)[-1])]
+        try:
+            path = books[0] if books else self.archive(year)
+        except FileNotFoundError:
+            return None
+        at = f"{self.root}/sidecars/catalogue/{year}/{self.descriptor}/{path.rsplit('/', 1)[-1]}"
+        made = kept(self.spark, at, lambda: census.catalogue(self.spark, path, "short-header" if year == 2016 else self.descriptor), self.refresh, [path])
+        return None if made.isEmpty() else made
 
 
 def _books(s: Store, dataset: str, release: str) -> list[dict]:
@@ -169,16 +199,22 @@ PARSERS: dict[str, Callable[[Store, str, str], DataFrame]] = {
 }
 
 
-def attach(store: Store, dataset: str, level: str, df: DataFrame, release: str) -> DataFrame:
-    """A parsed table by area: parents' values on their areas, councils' counts dealt by weight, densities added."""
+def attach(store: Store, dataset: str, level: str, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A parsed table by area: parents' values on their areas, councils' counts dealt by weight, densities added.
+
+    A table of several releases has the columns ``by`` (its release) besides the code, and all go through at once; areas whose
+    parent has no values have rows only in a table of one release.
+    """
     if level == "SA4":
-        return downscale.replicate(store.parents, df, "sa4_code").drop("sa4_code")
+        if not by:
+            return downscale.replicate(store.parents, df, "sa4_code").drop("sa4_code")
+        return store.parents.join(df, "sa4_code").drop("sa4_code")
     if level == "LGA":
         counts = list(datasets.BA_COLUMNS)
         unknown = missing_keys(df, "lga_code", store.weights, "lga_code").count()
         if unknown:
             datasets.log.warning("%s: %s councils overlap no area and are left out", dataset, unknown)
-        return downscale.counts(store.weights, df, counts).withColumn("reference_financial_year", F.lit(release))
+        return downscale.counts(store.weights, df, counts, by)
     if dataset == "erp_by_sa2":
         return datasets.with_density(df, store.sa2_areas)
     return df
@@ -196,13 +232,53 @@ class DatasetLoader:
         return max([r for r in self.releases if r in here] or self.releases)
 
     def parsed(self, release: str) -> DataFrame:
-        """The table as published, kept beside its files."""
+        """The table as published, kept beside its files and made anew when these change."""
         s = self.store
-        return kept(s.spark, release_path(s.root, self.dataset, release), lambda: PARSERS[self.dataset](s, self.dataset, release), s.refresh)
+        here = f"{s.root}/datasets/{self.dataset}/{release}"
+        files = listed(s.spark, here) + [p for p in listed(s.spark, s.root, "/short_codes.csv") if self.dataset == "dss_payments"]
+        return kept(s.spark, release_path(s.root, self.dataset, release), lambda: PARSERS[self.dataset](s, self.dataset, release), s.refresh, files)
 
     def __call__(self, spark: SparkSession, release: str | None = None) -> DataFrame:
         release = release or self.latest()
-        return attach(self.store, self.dataset, self.level, self.parsed(release), release)
+        made = attach(self.store, self.dataset, self.level, self.parsed(release))
+        return made.withColumn("reference_financial_year", F.lit(release)) if self.level == "LGA" else made
+
+    def load_releases(self, spark: SparkSession, releases: list[str]) -> tuple[DataFrame | None, list[str]]:
+        """One table of the releases, parted by ``release``, and those of them that have no files.
+
+        What is kept of a dataset is one table with a folder for each release, so a filter on ``release`` that is known only
+        when the query runs leaves folders unread.
+        """
+        here = set(folders(spark, f"{self.store.root}/datasets/{self.dataset}")) | {p.removeprefix("release=") for p in folders(spark, f"{self.store.root}/sidecars/dataset={self.dataset}")}
+        there = [r for r in releases if r in here]
+        for r in there:
+            self.parsed(r)
+        lacking = [r for r in releases if r not in here]
+        if not there:
+            return None, lacking
+        whole = release_path(self.store.root, self.dataset, "").removesuffix("/release=")
+        # a column may be text in one release and a number in another: each is read by its own schema, which costs no job
+        reads = [spark.read.option("basePath", whole).schema("release string, " + _ddl(spark.read.parquet(release_path(self.store.root, self.dataset, r)))).parquet(release_path(self.store.root, self.dataset, r)) for r in there]
+        alike = all(x.schema == reads[0].schema for x in reads)
+        df = spark.read.option("basePath", whole).schema(reads[0].schema).parquet(*[release_path(self.store.root, self.dataset, r) for r in there]) if alike else _united(reads)
+        return attach(self.store, self.dataset, self.level, df, ("release",)), lacking
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _united(frames: list[DataFrame]) -> DataFrame:
+    """All rows; a column that has several types is text."""
+    kinds: dict[str, set[str]] = {}
+    for f in frames:
+        for name, kind in f.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    out = None
+    for f in frames:
+        f = f.select(*[F.col(f"`{c}`").cast("string").alias(c) if len(kinds[c]) > 1 else F.col(f"`{c}`") for c in f.columns])
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    return out
 
 
 class CensusLoader:
@@ -213,13 +289,17 @@ class CensusLoader:
     def __init__(self, store: Store):
         self.store = store
 
+    def catalogue(self, release: str | None = None) -> DataFrame | None:
+        """What the data pack says its columns are."""
+        return self.store.catalogue(int(release or self.store.year))
+
     def __call__(self, spark: SparkSession, release: str | None = None, columns: list[str] | None = None) -> DataFrame:
         from areaweave.operators.enrich import outer_concat
 
         found = self.store.datapack(int(release or self.store.year))
         wanted = sorted(found) if columns is None else list(dict.fromkeys(c.split(".", 1)[0] for c in columns))
         if lacking := [t for t in wanted if t not in found]:
-            raise KeyError(f"the data pack has no tables {lacking}")
+            raise KeyError(f"the data pack has no tables {lacking}; near: {sorted({n for t in lacking for n in difflib.get_close_matches(t, found, 3, 0.6)})}")
         made = []
         for t in wanted:
             df = found[t]()

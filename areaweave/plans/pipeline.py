@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import logging
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -11,14 +12,14 @@ from pyspark.sql import functions as F
 
 from areaweave.functions.features import compiled, out_of_bounds
 from areaweave.functions.temporal import month_release, to_day
-from areaweave.operators.asof import asof_release, check_range
+from areaweave.operators.asof import asof_release, check_range, cross_edition_join
 from areaweave.operators.enrich import outer_concat, row_id
 from areaweave.operators.geocode import Provider, resolve
 from areaweave.operators.spatial import points_in_areas
 from areaweave.operators.summary import RunSummary, masks, releases_used, summarise
 from areaweave.plans.config import Config
 from areaweave.plans.presets import FeatureRegistry
-from areaweave.plans.registry import PRESET, Registry
+from areaweave.plans.registry import PRESET, Registry, VariableCatalog
 
 log = logging.getLogger(__name__)
 #: Names that the result adds; an input column of such a name is an error.
@@ -67,15 +68,16 @@ class Pipeline:
             log.warning(w)
 
     @classmethod
-    def from_config(cls, spark: SparkSession, config: Config, root: str, cache: str | None = None, fetch=None, check: bool = True) -> Pipeline:
+    def from_config(cls, spark: SparkSession, config: Config, root: str, cache: str | None = None, fetch=None, check: bool = True, ask=None, askers: int = 1) -> Pipeline:
         """A pipeline over a folder of published files (see `plans.loaders`).
 
-        ``cache``: a table of outside geocodes; ``fetch``: how to ask the outside geocoder. With ``check``, the variables of
-        the census are looked up in its tables before anything runs.
+        ``cache``: where outside geocodes are kept; ``ask``: one request to the outside geocoder, kept to the configured pace
+        over ``askers`` tasks (``fetch``: the same with a pace of one's own). With ``check``, the variables of the census
+        are looked up in its catalogue and tables before anything runs.
         """
         from areaweave.plans.wiring import sources_of
 
-        made = cls(spark, config, sources_of(spark, config, root, cache, fetch))
+        made = cls(spark, config, sources_of(spark, config, root, cache, fetch, ask, askers))
         if check:
             made.check_variables()
         return made
@@ -83,8 +85,13 @@ class Pipeline:
     def check_variables(self) -> None:
         """Raise if a namespace, a preset or a census column that is asked for does not exist."""
         for dataset, refs in self.needed().items():
-            if dataset == "gcp" and dataset in self.sources.registry.loaders:
-                self._table(dataset, refs, None)
+            loader = self.sources.registry.loaders.get(dataset)
+            if dataset != "gcp" or loader is None:
+                continue
+            columns = loader.catalogue() if hasattr(loader, "catalogue") else None
+            if columns is not None:
+                VariableCatalog(columns).validate_variables(refs)
+            self._table(dataset, refs, None)
 
     @classmethod
     def create(cls, spark: SparkSession, sources: Sources, variables: dict[str, str], prefix: str = "sa2_", **columns) -> Pipeline:
@@ -113,7 +120,8 @@ class Pipeline:
         df = self.sources.registry.load(self.spark, dataset, release, list(columns.values()))
         missing = sorted(c for c in columns.values() if c not in df.columns)
         if missing:
-            raise KeyError(f"{dataset} has no columns {missing}")
+            near = sorted({n for c in missing for n in difflib.get_close_matches(c, df.columns, 3, 0.6)})
+            raise KeyError(f"{dataset} has no columns {missing}; near: {near}")
         return df.where(F.col("sa2_code").isNotNull()).select("sa2_code", *[F.col(f"`{c}`").alias(r) for r, c in columns.items()])
 
     def _finished(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -155,6 +163,7 @@ class Pipeline:
             rows = rows.withColumn("__day", to_day(F.col(c.date_column), kind))
             if kind == "string" and (bad := rows.where(F.col(c.date_column).isNotNull() & F.col("__day").isNull()).limit(1).count()):
                 raise ValueError(f"{bad} or more values of {c.date_column} are no dates")
+            days = rows.select("__day").distinct()
             if self.sources.corpus_releases:
                 release = "gnaf_release"
                 t = self.config.temporal
@@ -165,7 +174,7 @@ class Pipeline:
         placed = self._place(located)
         release_columns: dict[str, str] = {}
         if temporal:
-            joined, release_columns = self._temporal(placed, needed)
+            joined, release_columns = self._temporal(placed, needed, days)
         else:
             joined = placed
             if needed:
@@ -208,11 +217,11 @@ class Pipeline:
     def _edition(self) -> int:
         return self.config.temporal.reference_edition if self.config.input.date_column else self.config.census.asgs_edition
 
-    def _temporal(self, rows: DataFrame, needed: dict[str, list[str]]) -> tuple[DataFrame, dict[str, str]]:
+    def _temporal(self, rows: DataFrame, needed: dict[str, list[str]], days: DataFrame) -> tuple[DataFrame, dict[str, str]]:
         """Each dataset joined by the release of the row's date, on the code of that release's boundary edition.
 
         One plan for all rows: the release is a Column, the code is chosen by edition, and the releases of a dataset
-        are one table keyed by release and code.
+        are one table keyed by release and code. ``days``: the dates of the rows as they came (``__day``).
         """
         t, reference = self.config.temporal, self._edition()
         rows = rows.withColumn("sa2_code_edition", F.when(F.col("sa2_code").isNotNull(), F.lit(reference)))
@@ -233,29 +242,31 @@ class Pipeline:
         for d, refs in needed.items():
             spec, column = specs[d], f"{d}_release"
             windows = spec.windows()
+            pick = lambda df: asof_release(df, "__day", windows, t.rule(d), t.out_of_range, column)  # noqa: B023, E731
+            taken = None
             if windows:
-                rows = asof_release(rows, "__day", windows, t.rule(d), t.out_of_range, column)
+                rows = pick(rows)
                 if t.out_of_range == "fail" and t.rule(d) != "closest":
-                    check_range(rows, "__day", column, d)
+                    check_range(days, "__day", column, d, pick)
+                if len(windows) > 1:
+                    # told from the dates alone, before anything is located; the list of known ones marks it as a filter
+                    taken = pick(days).select(F.col(column).alias("release")).where(F.col("release").isin([w.id for w in windows])).distinct()
             else:
                 log.warning("dataset %s has no release dates: its default release is used for all rows", d)
                 rows = rows.withColumn(column, F.lit(spec.default_release or "default"))
             release_columns[d] = column
-            values = None
-            # only the releases that some row takes are read; at most as many values as there are windows
-            taken = {x[0] for x in rows.select(column).distinct().collect()} if len(windows) > 1 else None
-            for r in [w.id for w in windows if taken is None or w.id in taken] or [spec.default_release]:
-                one = self._table(d, refs, r).withColumn("__release", F.lit(r or "default"))
-                values = one if values is None else values.unionByName(one)
-            edition = F.lit(reference)
-            if spec.editions:
-                edition = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in spec.editions.items() for x in kv]), F.col(column)), F.lit(reference))
-            code = F.lit(None).cast("string")
-            for e, name in codes.items():
-                code = F.when(edition == e, F.col(name)).otherwise(code)
-            rows = rows.withColumn(f"{d}_sa2_code_source", code)
-            values = values.withColumnRenamed("sa2_code", "__of")
-            rows = rows.join(values, (F.col(column) == F.col("__release")) & (F.col(f"{d}_sa2_code_source") == F.col("__of")), "left").drop("__release", "__of")
+            wanted = {r: self.sources.registry.resolve_variable(r)[1] for r in refs}
+            values, lacking = self.sources.registry.load_releases(self.spark, d, [w.id for w in windows] or [spec.default_release], list(wanted.values()))
+            if values is None:
+                raise FileNotFoundError(f"no files of {d}, releases {lacking}")
+            if missing := sorted(c for c in wanted.values() if c not in values.columns):
+                raise KeyError(f"{d} has no columns {missing}; near: {sorted({n for c in missing for n in difflib.get_close_matches(c, values.columns, 3, 0.6)})}")
+            if lacking:
+                # only a row that takes such a release is an error, and it is found when the row is
+                say = F.raise_error(F.concat(F.lit(f"no files of {d}, release "), F.col(column))).cast("string")
+                rows = rows.withColumn(column, F.when(F.col(column).isin(lacking), say).otherwise(F.col(column)))
+            editions_of = {str(r): e for r, e in spec.editions.items()}
+            rows = cross_edition_join(rows, values, column, editions_of, codes, wanted, reference, f"{d}_sa2_code_source", taken)
         return rows, release_columns
 
     def bound_warnings(self, result: AugmentResult) -> dict[str, int]:

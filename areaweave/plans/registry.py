@@ -125,6 +125,26 @@ class Registry:
         return loader(spark, release_id, columns) if getattr(loader, "wants_columns", False) else loader(spark, release_id)
 
 
+    def load_releases(self, spark: SparkSession, id_: str, releases: list[str | None], columns: list[str] | None = None) -> tuple[DataFrame | None, list[str]]:
+        """A dataset's table with a column ``release``, and the releases that are not to be had.
+
+        A loader that has ``load_releases`` gives one table of all; of others each release is loaded, and nothing is read before
+        the query runs.
+        """
+        loader = self.loaders.get(id_)
+        if hasattr(loader, "load_releases"):
+            return loader.load_releases(spark, releases)
+        out, lacking = None, []
+        for r in releases:
+            try:
+                one = self.load(spark, id_, r, columns).withColumn("release", F.lit(r or "default"))
+            except FileNotFoundError:
+                lacking.append(r)
+                continue
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        return out, lacking
+
+
 def parse_dataset_spec(text: str) -> DatasetSpec:
     """A dataset from a Markdown file: front matter, and the columns of its table of variables."""
     parts = text.split("---", 2)

@@ -7,7 +7,8 @@ import re
 import struct
 import time
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from pathlib import Path
 from xml.etree import ElementTree
 
@@ -39,6 +40,35 @@ def stored(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def traits(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """Length and time of change of a file in any store; None if it is not there."""
+    fs, at = _at(spark, path)
+    if not fs.exists(at):
+        return None
+    status = fs.getFileStatus(at)
+    return status.getLen(), status.getModificationTime()
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """A small text in any store."""
+    fs, at = _at(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small text in place of whatever lies there."""
+    fs, at = _at(spark, path)
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def listed(spark: SparkSession, folder: str, suffix: str = "") -> list[str]:
     """The files right in a folder, by name; none if there is no such folder."""
     fs, at = _at(spark, folder)
@@ -248,10 +278,55 @@ def boundaries(spark: SparkSession, archive: bytes, code_column: str, name_colum
     return spark.createDataFrame(rows, "code string, name string, rings array<array<struct<x:double,y:double>>>, attributes map<string,string>")
 
 
-def mesh_blocks(spark: SparkSession, archive: bytes) -> DataFrame:
-    """``mb_code, sa2_code, sa2_name`` from the attributes alone; of several years the highest suffix wins."""
-    records = read_dbf(zip_member(archive, (), ".dbf"))
-    names = list(records[0]) if records else []
+#: Rows that a reader hands on at once.
+BATCH = 2000
+
+
+def read_on_executors(spark: SparkSession, path: str, schema: str, rows: Callable) -> DataFrame:
+    """The rows (tuples) that ``rows(bytes of the file)`` yields, read and parsed where Spark puts the file."""
+    from itertools import batched
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                for part in batched(rows(content.as_py()), BATCH):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kinds.field(k).type) for k, v in enumerate(zip(*part))], schema=kinds)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
+def boundary_file(spark: SparkSession, path: str, code_column: str, name_column: str) -> DataFrame:
+    """`boundaries` of a file in any store; the archive never passes the driver."""
+
+    def rows(archive: bytes):
+        shapes, records = read_shp(zip_member(archive, (), ".shp")), read_dbf(zip_member(archive, (), ".dbf"))
+        for r, s in zip(records, shapes):
+            yield r.get(code_column), r.get(name_column), s and [[{"x": x, "y": y} for x, y in ring] for ring in s], list(r.items())
+
+    return read_on_executors(spark, path, "code string, name string, rings array<array<struct<x:double,y:double>>>, attributes map<string,string>", rows)
+
+
+def mesh_block_file(spark: SparkSession, path: str) -> DataFrame:
+    """`mesh_blocks` of a file in any store."""
+
+    def rows(archive: bytes):
+        records = read_dbf(zip_member(archive, (), ".dbf"))
+        columns = mesh_columns(list(records[0]) if records else [])
+        for r in records:
+            if r[columns[0]]:
+                yield tuple(r[c] for c in columns)
+
+    return read_on_executors(spark, path, "mb_code string, sa2_code string, sa2_name string", rows)
+
+
+def mesh_columns(names: list[str]) -> tuple[str, str, str]:
+    """The columns of block, area and area name; of several years the highest suffix."""
 
     def column(pattern: str) -> str:
         found = sorted(n for n in names if re.fullmatch(pattern, n, re.I))
@@ -259,7 +334,13 @@ def mesh_blocks(spark: SparkSession, archive: bytes) -> DataFrame:
             raise ValueError(f"no column like {pattern} among {names}")
         return found[-1]
 
-    mb, code, name = column(r"MB_CODE\d*"), column(r"SA2_(CODE|MAIN|MAINCODE_)\d*"), column(r"SA2_NAME\d*")
+    return column(r"MB_CODE\d*"), column(r"SA2_(CODE|MAIN|MAINCODE_)\d*"), column(r"SA2_NAME\d*")
+
+
+def mesh_blocks(spark: SparkSession, archive: bytes) -> DataFrame:
+    """``mb_code, sa2_code, sa2_name`` from the attributes alone; of several years the highest suffix wins."""
+    records = read_dbf(zip_member(archive, (), ".dbf"))
+    mb, code, name = mesh_columns(list(records[0]) if records else [])
     return spark.createDataFrame([(r[mb], r[code], r[name]) for r in records if r[mb]], "mb_code string, sa2_code string, sa2_name string")
 
 
@@ -305,6 +386,52 @@ def page_links(pages: DataFrame, html: str, pattern: str) -> DataFrame:
     return each.withColumn("release", F.regexp_extract("link", pattern, 1))
 
 
+@dataclass(frozen=True)
+class ReleaseRule:
+    """How a landing page names the releases of a dataset: ``pattern`` finds the link, its first group the release.
+
+    ``keep`` is what of the group counts: all of it, or what stands before its first hyphen. Of several links of one
+    release that of the rule with the lower ``precedence`` counts, then the first on the page.
+    """
+
+    dataset: str
+    pattern: str
+    keep: str = "all"
+    precedence: int = 0
+
+
+# Links on the landing pages of the publishers.
+RELEASE_RULES = (
+    ReleaseRule("erp_by_sa2", r"(?i)regional-population/(\d{4}-\d{2,4})/[^\"']*DS0003[^\"']*\.xlsx", "first year"),
+    ReleaseRule("abs_personal_income", r"(?i)personal-income-australia/(\d{4}-\d{2,4})/[^\"']*Table%201[^\"']*\.xlsx"),
+    ReleaseRule("abs_business_counts", r"(?i)counts-australian-businesses[^\"']*/[a-z]{3}\d{4}-[a-z]{3}(\d{4})/[^\"']*\.xlsx"),
+    ReleaseRule("abs_building_approvals", r"(?i)building-approvals[^\"']*/([a-z]{3}-\d{4})/[^\"']*\.xlsx"),
+)
+
+
+def page_releases(pages: DataFrame, html: str, rules: Sequence[ReleaseRule] = RELEASE_RULES, key: str | None = None) -> DataFrame:
+    """``dataset, release, link`` (with ``key``, of each page) of all links that a rule fits, one for each release."""
+    links = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), F.lit(1))
+    keys = [key] if key else []
+    each = pages.select(*keys, F.posexplode(links).alias("at", "link"))
+
+    def release(r: ReleaseRule):
+        found = F.regexp_extract("link", r.pattern, 1)
+        return F.substring_index(found, "-", 1) if r.keep == "first year" else found
+
+    hits = F.array(*[F.when(F.col("link").rlike(r.pattern), F.struct(F.lit(r.dataset).alias("dataset"), release(r).alias("release"), F.lit(r.precedence).alias("precedence"))) for r in rules])
+    met = each.withColumn("r", F.explode(F.array_compact(hits))).select(*keys, "at", "link", "r.*")
+    return met.groupBy(*keys, "dataset", "release").agg(F.min_by("link", F.struct("precedence", "at")).alias("link"))
+
+
+def newest_release(found: DataFrame, key: str | None = None, wanted: str = "latest") -> DataFrame:
+    """Of each dataset (and page) the newest release, or the one that is wanted; releases ascend as text."""
+    keys = [key, "dataset"] if key else ["dataset"]
+    if wanted != "latest":
+        return found.where(F.col("release") == wanted).select(*keys, "release", "link")
+    return found.groupBy(*keys).agg(F.max(F.struct("release", "link")).alias("r")).select(*keys, "r.*")
+
+
 def latest_resource(resources: DataFrame, json: str) -> DataFrame:
     """The newest resource of a catalogue answer (a JSON text with ``result.resources``): by quarter, then change."""
     from areaweave.functions.temporal import month_quarter

@@ -145,6 +145,74 @@ def test_dated_rows_over_the_folder(spark, root):
     assert [(r["gcp_sa2_code_source"], r["sa2_people"], r["sa2_irsd"], r["erp_by_sa2_release"], r["sa2_pop"]) for r in got] == [("111111111", 7.0, 2018.0, "2022", 90.0), (CODE, 10.0, 2023.0, "2023", 100.0)]
 
 
+def test_releases_are_pruned_when_the_query_runs(spark, root):
+    """The releases of a dataset are one parted table; which of them are read is told by the dates, in the plan."""
+    r = registry_of(Store(spark, root))
+    df, lacking = r.load_releases(spark, "seifa", ["2011", "2016", "2021"])
+    assert lacking == ["2011"] and {(x["release"], x["sa2_code"], x["irsd_score"]) for x in df.select("release", "sa2_code", "irsd_score").collect()} == {("2016", "111111111", 2018.0), ("2021", CODE, 2023.0)}
+    c = config(input={"latitude_column": "lat", "longitude_column": "lon", "date_column": "d"}, variables={"irsd": "SEIFA.irsd_score"})
+    p = areaweave.Pipeline.from_config(spark, c, root)
+    spec = p.sources.registry.get("seifa")
+    p.sources.registry.register_spec(type(spec)(spec.id, spec.namespace, spec.basis, ("2011", "2016", "2021"), spec.editions, spec.columns, spec.level))
+    rows = spark.createDataFrame([(0, -33.9, 150.2, "2018-01-01"), (1, -33.9, 150.2, "2023-01-01")], "i int, lat double, lon double, d string").withColumn("d", F.to_date("d"))
+    done = p.augment(rows).df
+    assert [(x["sa2_irsd"], x["seifa_release"]) for x in done.orderBy("i").collect()] == [(2018.0, "2016"), (2023.0, "2021")]
+    assert "dynamicpruning" in done._jdf.queryExecution().executedPlan().toString()
+    # a row that takes a release without files is an error when it is read, and only then
+    late = p.augment(rows.withColumn("d", F.lit("2012-06-01").cast("date"))).df
+    with pytest.raises(Exception, match="no files of seifa, release 2011"):
+        late.collect()
+
+
+def test_old_codes_come_from_the_boundaries(spark, root):
+    """Five-digit codes are those of the boundaries' own column, else state and last four digits; doubtful ones are left out."""
+    store = Store(spark, root)
+    store.__dict__["sa2"] = None
+    frame = spark.createDataFrame([("117011326", {"SA2_5DIG16": "11326"}), ("217021326", {}), ("217031326", {"x": "y"}), ("317041329", None)], "code string, attributes map<string,string>")
+    import areaweave.plans.loaders as loaders
+
+    old, loaders.listed = loaders.listed, lambda *a: []
+    try:
+        store.boundary_table = lambda year: frame
+        got = {r["short"]: r["sa2_code"] for r in store.short_codes.collect()}
+    finally:
+        loaders.listed = old
+    assert got == {"11326": "117011326", "31329": "317041329"}
+
+
+def test_variables_are_checked_by_the_catalogue(spark, root, tmp_path, capsys):
+    cells = [["Short", "Long", "DataPackfile"], ["Tot_P_P", "Total persons", "G01"], ["Tot_P_M", "Total males", "G01"], ["Median_age_persons", "Median age", "G02"]]
+    place = tmp_path / "store"
+    import shutil
+
+    shutil.copytree(root, place, ignore=shutil.ignore_patterns("sidecars"))
+    book(place / "census/2021/Metadata_2021_GCP_DataPack.xlsx", {"Cells": cells})
+    assert areaweave.VariableCatalog(Store(spark, str(place)).catalogue(2021)).list_table("G01").count() == 2
+    with pytest.raises(areaweave.CatalogError, match="Tot_P_P"):
+        areaweave.Pipeline.from_config(spark, config(variables={"x": "G01.Tot_P_Q"}), str(place))
+    yaml = tmp_path / "c.yaml"
+    for table, said, code in (("G01.Tot_P_X", "Tot_P_", 1), ("G04.x", "G01", 1), ("G02.Median_age_persons", "valid", 0)):
+        yaml.write_text(f"input: {{address_column: a}}\nvariables: {{x: {table}}}\n")
+        assert main(["validate", str(yaml), "--data-dir", str(place)]) == code
+        out = capsys.readouterr()
+        assert said in out.out + out.err
+    # without a workbook the nearest columns of the table itself are named
+    with pytest.raises(KeyError, match="Tot_P_P"):
+        areaweave.Pipeline.from_config(spark, config(variables={"x": "G01.Tot_P_Q"}), root)
+
+
+def test_a_replaced_boundary_file_is_read_again(spark, root, tmp_path):
+    import shutil
+
+    place = tmp_path / "store"
+    shutil.copytree(f"{root}/boundaries", place / "boundaries")
+    names = lambda: {r["name"] for r in Store(spark, str(place)).sa2.collect()}
+    assert names() == {"One", "Two"}
+    file = place / "boundaries/2021/SA2_2021_AUST_SHP_GDA2020.zip"
+    file.write_bytes(zipped(**{"a.shp": shp([[ring(150.0, -34.0)]]), "a.dbf": dbf(["SA2_CODE21", "SA2_NAME21", "SA4_CODE21"], [[CODE, "Three", "101"]])}))
+    assert names() == {"Three"}
+
+
 def test_command_line(spark, root, tmp_path, capsys):
     (tmp_path / "c.yaml").write_text(f"input: {{address_column: addr, path: {tmp_path}/in.csv}}\noutput: {{path: {tmp_path}/out}}\nvariables: {{people: G01.Tot_P_P}}\ntemporal: {{per_dataset: {{seifa: {{resolution: closest}}}}}}\n")
     (tmp_path / "in.csv").write_text("i,addr\n1,1 George St Sydney NSW 2000\n")

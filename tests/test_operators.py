@@ -233,6 +233,50 @@ def test_locator_precedence_and_cache(spark, corpus):
     assert [r["geo_lat"] for r in got] == [-33.0, -33.88, 1.0, 3.0, None]
 
 
+def test_outside_geocoder_is_asked_once(spark, tmp_path):
+    """Fresh hits are kept before they are used: however often the result is run, and in a second run, nothing is asked again."""
+    log, path = tmp_path / "asked", str(tmp_path / "cache")
+
+    def ask(address):
+        with open(log, "a") as f:
+            f.write(address + "\n")
+        return (200, {}, [{"lat": "3.5", "lon": "4.5"}]) if "PLACE" in address else (200, {}, [])
+
+    rows = spark.createDataFrame([(1, "first place"), (2, "second place"), (3, "First  Place."), (4, "nowhere")], "i int, a string")
+    provider = lambda: geocode.CachedProvider(fetch=geocode.Paced(ask, 1000.0), path=path, askers=3)
+    asked = lambda: sorted(log.read_text().split("\n")[:-1])
+    got = geocode.resolve(rows, "a", None, None, [provider()])
+    for _ in range(2):
+        assert [(r["geo_source"], r["geo_lat"]) for r in got.orderBy("i").collect()] == [("nominatim_fresh", 3.5)] * 3 + [("failed", None)]
+    assert asked() == ["FIRST PLACE", "NOWHERE", "SECOND PLACE"]
+    again = geocode.resolve(rows.where("i < 4"), "a", None, None, [provider()])
+    assert {r["geo_source"] for r in again.collect()} == {"nominatim_cache"} and len(asked()) == 3
+    # a hash that was written twice counts once
+    geocode.write_cache(spark.createDataFrame([("FIRST PLACE", 9.0, 9.0, "nominatim_fresh")], "norm string, lat double, lon double, geo_source string"), path)
+    assert geocode.read_cache(spark, path).count() == 2 and geocode.resolve(rows.where("i = 1"), "a", None, None, [geocode.CachedProvider(path=path)]).first()["geo_lat"] == 3.5
+    assert geocode.read_cache(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_the_pace_holds_over_all_askers(spark, tmp_path):
+    """Four askers at once stay within the pace that was asked for, and there are never more than four."""
+    import time
+
+    log = tmp_path / "times"
+
+    def ask(address):
+        with open(log, "a") as f:
+            f.write(f"{time.time()}\n")
+        return 200, {}, [{"lat": "1", "lon": "2"}]
+
+    rows = spark.createDataFrame([(f"PLACE {k}",) for k in range(24)], "norm string").repartition(12)
+    found = geocode.CachedProvider(fetch=geocode.Paced(ask, 20.0), askers=4).resolve(rows)
+    assert found.rdd.getNumPartitions() == 4 and found.count() == 24
+    times = sorted(map(float, log.read_text().split()))
+    for k in range(len(times)):  # in any second, 20 and what each asker may begin with
+        assert sum(times[k] <= t < times[k] + 1 for t in times) <= 20 + 4
+    assert geocode.Paced(ask, 2.0).shared(4).gap == 2.0
+
+
 def test_asof_table_equals_expression(spark):
     import areaweave.operators.asof as m
 

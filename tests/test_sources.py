@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from areaweave.functions.temporal import release
-from areaweave.sources import census, corpus, datasets, files
+from areaweave.sources import census, corpus, datasets, files, sidecars
 from areaweave.streaming import release_stream, windowed_counts
 
 
@@ -97,13 +97,118 @@ def test_corpus(spark, tmp_path):
     assert corpus.releases(spark, str(tmp_path)) == ["202405", "202411"]
     assert corpus.read(spark, str(tmp_path)).first().asDict() == {"pid": "P", "label": "1 A STREET X NSW 2000", "lat": 1.0, "lon": 2.0, "mb_code": "new", "postcode": "2000"}
     assert corpus.read(spark, str(tmp_path), "202405").first()["label"] == "1 A STREET"
-    assert corpus.local_layout(loader) == "loader" and corpus.local_layout(flat) == "flat"
     with pytest.raises(NotImplementedError):
         corpus.read(spark, str(tmp_path), mode="official")
     with pytest.raises(ValueError):
         corpus.read(spark, str(tmp_path), "2024")
 
 
+def test_corpus_from_store_and_cache(spark, tmp_path):
+    """Cache first, unless refreshed; files of the flat layout by a pattern on their keys, however deep."""
+    store, cache = tmp_path / "store", tmp_path / "cache"
+
+    def put(at, label):
+        spark.createDataFrame([("P", label, 1.0, 2.0, "m", "2000")], "ADDRESS_DETAIL_PID string, ADDRESS_LABEL string, LATITUDE double, LONGITUDE double, MB_CODE string, POSTCODE string").coalesce(1).write.mode("append").parquet(str(at))
+
+    put(cache / "202405", "CACHED")
+    put(store / "202405", "STORED")
+    put(store / "202411", "NEW")
+    put(store / "202411/custom/part", "DEEP")
+    put(store / "202411/other", "OTHER")
+    s, c = str(store), str(cache)
+    assert corpus.releases(spark, s) == ["202405", "202411"] == corpus.releases(spark, s, c) and corpus.releases(spark, c, s, refresh=True) == ["202405"]
+    assert corpus.resolve_release(spark, s, "latest", c) == "202405" and corpus.resolve_release(spark, s, "latest", c, refresh=True) == "202411" == corpus.resolve_release(spark, s, "latest")
+    label = lambda *a, **k: sorted(r["label"] for r in corpus.read(spark, s, *a, **k).collect())
+    assert label(cache=c) == ["CACHED"] and label(cache=c, refresh=True) == ["NEW"] and label("202405", cache=c, refresh=True) == ["STORED"] and label("202411", cache=c) == ["NEW"]
+    assert label("202411", name_filter=r"^custom/.*\.parquet$") == ["DEEP"] and label("202411", name_filter="(custom|other)/") == ["DEEP", "OTHER"]
+    keys = {r["key"].rsplit("/", 1)[0]: r["size"] for r in corpus.listing(spark, f"{s}/202411", "/").collect()}
+    assert set(keys) == {"custom/part", "other"} and min(keys.values()) > 0
+    with pytest.raises(FileNotFoundError, match="nothing"):
+        corpus.read(spark, s, "202411", name_filter="nothing")
+
+
+def test_sidecars_notice_other_files(spark, tmp_path):
+    """What is kept is made again when a source changes, not when it stays, and outlives a source that is gone."""
+    import os
+
+    source, made = tmp_path / "in.txt", []
+    source.write_text("one")
+
+    def make():
+        made.append(source.read_text())
+        return spark.createDataFrame([(made[-1],)], "t string")
+
+    read = lambda **k: sidecars.kept(spark, str(tmp_path / "kept"), make, sources=[str(source)], **k).first()["t"]
+    assert read() == "one" == read() and made == ["one"]
+    os.utime(source, ns=(1, 2))
+    assert read() == "one" and made == ["one", "one"]
+    source.write_text("two!")
+    assert read() == "two!" == read() and len(made) == 3
+    source.unlink()
+    assert read() == "two!" and len(made) == 3
+    source.write_text("three")
+    assert read(refresh=True) == "three" and len(made) == 4
+    # a table without a manifest, as older ones are, is made again
+    (tmp_path / "kept" / sidecars.MANIFEST).unlink()
+    assert read() == "three" and len(made) == 5
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_census_tables_are_scans(spark, tmp_path):
+    """Tables of extracted files and of archives are read by executors, only the columns that are asked for."""
+    text = "SA2_CODE_2021,Tot_P_P,Tot_P_M,Note\r\n117011326,10,4,np\r\n,,,\r\n117011327,,5,\"a, b\"\r\n"
+    plain, packed = tmp_path / "2021Census_G01_AUS_SA2.csv", tmp_path / "pack.zip"
+    plain.write_bytes(b"\xef\xbb\xbf" + text.encode())
+    packed.write_bytes(zipped(**{"x/2021Census_G01_AUS_SA2.csv": text, "x/2021Census_G04A_AUS_SA2.csv": "SA2_CODE_2021,Age_0\n117011326,3\n", "x/2021Census_G05_AUS_SA2.csv": "SA2_CODE_2021,Nobody\n"}))
+    census.extract(spark, str(packed), str(tmp_path / "out"))
+    names = census.headers(spark, str(tmp_path / "out"))
+    assert names == {"G01": ["SA2_CODE_2021", "Tot_P_P", "Tot_P_M", "Note"], "G04A": ["SA2_CODE_2021", "Age_0"], "G05": ["SA2_CODE_2021", "Nobody"]}
+    for df in (census.table_file(spark, str(plain)), census.extracted_table(spark, str(tmp_path / "out"), "G01", names["G01"])):
+        assert sorted(map(tuple, df.collect())) == [("117011326", 10.0, 4.0, None), ("117011327", None, 5.0, None)]
+        plan = plan_of(df.select("sa2_code", "Tot_P_M"))
+        assert "FileScan csv [SA2_CODE_2021" in plan and "ReadSchema: struct<SA2_CODE_2021:string,Tot_P_M:string>" in plan
+    assert census.extracted_table(spark, str(tmp_path / "out"), "G05", names["G05"]).count() == 0
+    assert "LocalTableScan" not in plan_of(census.table_file(spark, str(plain)))
+
+
+def test_catalogue_bridges_two_sheets(spark, tmp_path):
+    names = [["List of tables"], ["Table number", "Table name", "Population"], ["G01", "Selected Characteristics", "Persons"], ["G04", "Age by Sex", "Persons"]]
+    cells = [["x"], ["Sequential", "Short", "Long", "DataPackfile", "Profiletable", "Columnheadingdescriptioninprofile"], ["G1", "Tot_P_P", "Total_Persons", "G01", "G01", "Total | Persons"], ["G2", "Age_0_M", "Age_0_Males", "G04A", "G04", "0 | Males"], ["G3", None, "x", "G04B", "G04", ""]]
+    book = files.write_workbook({"Cell Descriptors Information": cells, "Table Number, Name, Population": names})
+    (tmp_path / "Metadata_2021_GCP_DataPack_R1.xlsx").write_bytes(book)
+    (tmp_path / "pack.zip").write_bytes(zipped(**{"m/Metadata_2021_GCP_DataPack_R1.xlsx": book, "m/other.xlsx": b"no"}))
+    (tmp_path / "bare.zip").write_bytes(zipped(**{"readme.txt": "x"}))
+    want = [("G01", 0, "Tot_P_P", "Total | Persons", "Selected Characteristics"), ("G04A", 1, "Age_0_M", "0 | Males", "Age by Sex")]
+    for name in ("Metadata_2021_GCP_DataPack_R1.xlsx", "pack.zip"):
+        assert sorted(map(tuple, census.catalogue(spark, str(tmp_path / name)).collect())) == want
+    assert [r["code"] for r in census.catalogue(spark, str(tmp_path / "pack.zip"), "sequential").orderBy("pos").collect()] == ["G1", "G2", "G3"]
+    assert census.catalogue(spark, str(tmp_path / "bare.zip")).count() == 0
+
+
+def test_newest_release_of_pages(spark):
+    """Each publisher's page: the links that its rule fits, one for each release, the newest of all."""
+    pages = {
+        "erp_by_sa2": '<a href="/regional-population/2023-24/32180DS0003_2001-24.xlsx">a</a><a href="/regional-population/2024-25/32180DS0001_x.xlsx">no</a><a href="https://x/regional-population/2022-23/32180DS0003_2001-23.xlsx">b</a>',
+        "abs_personal_income": "<A HREF='/personal-income-australia/2020-21/Table%201%20-%20Total.xlsx'><a href=\"/personal-income-australia/2021-22/Table%201%20-%20Total.xlsx\"><a href='/personal-income-australia/2021-22/Table%202.xlsx'>",
+        "abs_business_counts": '<a href="/counts-australian-businesses-including-entries-and-exits/jul2020-jun2024/81650DC09.xlsx"><a href="/counts-australian-businesses-including-entries-and-exits/jul2019-jun2023/81650DC09.xlsx">',
+        "none": "<p>nothing</p>",
+    }
+    df = spark.createDataFrame([*pages.items(), ("null", None)], "page string, html string")
+    found = files.page_releases(df, "html", key="page")
+    got = {r["page"]: (r["dataset"], r["release"], r["link"]) for r in files.newest_release(found, "page").collect()}
+    assert got == {
+        "erp_by_sa2": ("erp_by_sa2", "2023", "/regional-population/2023-24/32180DS0003_2001-24.xlsx"), "abs_personal_income": ("abs_personal_income", "2021-22", "/personal-income-australia/2021-22/Table%201%20-%20Total.xlsx"),
+        "abs_business_counts": ("abs_business_counts", "2024", "/counts-australian-businesses-including-entries-and-exits/jul2020-jun2024/81650DC09.xlsx"),
+    }
+    assert [r["link"] for r in files.newest_release(found, "page", "2020-21").collect()] == ["/personal-income-australia/2020-21/Table%201%20-%20Total.xlsx"]
+    twice = [files.ReleaseRule("d", r"/(\d{4})/b\.csv", precedence=1), files.ReleaseRule("d", r"/(\d{4})/a\.csv")]
+    page = spark.createDataFrame([('<a href="/2024/b.csv"><a href="/2024/a.csv"><a href="/2024/a.csv?2">',)], "html string")
+    assert [r["link"] for r in files.page_releases(page, "html", twice).collect()] == ["/2024/a.csv"]
+
+
 CODE = "117011326"
 
 
