@@ -159,19 +159,23 @@ def fit(
 ) -> tuple[list[str], np.ndarray]:
     """Languages and a (piece, language) table of probabilities.
 
-    Learns from a bounded sample: about ``max_docs_per_lang`` documents of each language, picked by a hash of the text,
-    so that the sample is the same for the same rows in any order. The words of the sample are counted and
-    the expectation step runs on the executors; what comes to the driver is one row per piece and language.
+    Learns from a bounded sample: about ``max_docs_per_lang`` different texts of each language, picked by a hash of the text,
+    so that the sample is the same for the same rows in any order, copies count once, and every language has a text in it.
+    The words of the sample are counted and the expectation step runs on the executors; what comes to the driver is one row
+    per piece and language.
     """
     spark = train.sparkSession
-    rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    langs = sorted(counts)
+    rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    found = {r["lang"]: r for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash", 0.01).alias("n"), F.min("hash").alias("least")).collect()}
+    langs = sorted(found)
     if not langs:
         return [], np.zeros((len(pieces), 0))
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, max_docs_per_lang / counts[k])))])
-    # the share of the range of a hash that a document has to fall into
-    picked = rows.where((F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)) < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    by_lang = lambda value: F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(value(found[k])))])[F.col("lang")]
+    # the share of the range of a hash that a text has to fall into, and the text of least hash whatever the share
+    share = by_lang(lambda r: min(1.0, max_docs_per_lang / max(1, r["n"])))
+    inside = F.pmod("hash", F.lit(1 << 20)) / float(1 << 20) < share
+    picked = rows.where(inside | (F.col("hash") == by_lang(lambda r: r["least"]))).groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches):
         for b in batches:

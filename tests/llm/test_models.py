@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +138,18 @@ def test_ordinal_gradient():
     line = np.array([m.weights[r].sum() for r in rows])
     p = m.tails(line)
     assert (p[:, 0] >= p[:, 1]).all() and ((p > 0.5).sum(1) == grade).mean() > 0.95
+
+
+def test_language_sample_counts_copies_once_and_loses_none(spark):
+    """A language whose documents are copies of one text is learnt from that text, and copies don't outgrow the bound."""
+    rng = random.Random(2)
+    words = {"xx": "abab baba aab", "yy": "ccdd ddcc cdcd"}
+    rows = [("xx", words["xx"])] * 300 + [("yy", " ".join(rng.choice(words["yy"].split()) for _ in range(6))) for _ in range(300)] + [("zz", "e f e f")]
+    train = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    pieces = ["▁", "a", "b", "c", "d", "e", "f", "ab", "cd", "ef", "▁c"]
+    langs, table = langid.fit(train, pieces, max_docs_per_lang=5)
+    assert langs == ["xx", "yy", "zz"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(train.select("doc_id", "text"), pieces, langs, table, keep=["doc_id"]).collect()}
+    assert all(got[i] == x for i, (x, _) in enumerate(rows))
+    once, _ = langid.fit(train.dropDuplicates(["text"]), pieces, max_docs_per_lang=5)
+    assert once == langs and np.allclose(langid.fit(train.dropDuplicates(["text"]), pieces, max_docs_per_lang=5)[1], table)
