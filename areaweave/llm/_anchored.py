@@ -112,8 +112,9 @@ def known_contexts(sent: DataFrame) -> DataFrame:
     # no group is heavy: sums and extremes are taken before anything moves
     grams = every.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), (F.min("c1") != F.max("c1")).alias("mixed")).where("total > 1").drop("total")
     again = cut(salted_join(every, grams, ["g"], "rows", F.col("c1")).drop("rows"), "anchors-again")
-    contexts = again.groupBy("c1", "c2").agg(F.sum("n").alias("total"), F.min("block").alias("one"))
-    told = again.join(contexts, ["c1", "c2"])
+    contexts = again.groupBy("c1", "c2").agg(F.sum("n").alias("total"), F.min("block").alias("one"), F.count("*").alias("rows"))
+    # a context that every block holds is dealt by block
+    told = salted_join(again, contexts, ["c1", "c2"], "rows", F.col("block"))
     told = told.select("block", "g", "rel", "span", "at", (F.col("total") > 1).alias("whole"), (F.col("mixed") & (F.col("one") == F.col("block"))).alias("stands"))
     return cut(told.where("whole or stands"), "anchors-known")
 

@@ -50,17 +50,23 @@ def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
 
 #: Rows of one key that a task is given; a key with more is dealt to several.
 SHARE = 1000
+#: Keys that are told apart as hot, at most: what is broadcast has no more rows.
+HOT_KEYS = 50_000
 
 
-def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], many: str, salt: Column, share: int = SHARE) -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], many: str, salt: Column, share: int = SHARE, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Join ``table`` (one row for each key, ``many`` of its rows in ``rows``) to ``rows``, however unevenly keys are spread.
 
-    The keys with more than ``share`` rows are few (all rows by ``share`` at most); their rows are told apart by ``salt``,
-    and their row of the table is sent as many times as it has parts.
+    A key is hot if it has more than ``share`` rows and more than the ``hot_keys``-th part of all: of such keys there are
+    fewer than ``hot_keys``, so they are broadcast at every size and no row moves by an unsalted key. Rows of a hot key are
+    told apart by ``salt``, and its row of the table is sent as many times as it has parts. A key that is not hot holds no more
+    than a ``hot_keys``-th of the rows, which is nothing that a task would wait for.
     """
     table = cut(table, "join-table")
+    total = table.agg(F.sum(many)).first()[0] or 0
+    share = max(share, -(-total // hot_keys))
     hot = cut(table.where(F.col(many) > share).select(*keys, F.ceil(F.col(many) / share).alias("__parts")), "join-hot")
-    parted = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(salt.cast("long"), F.coalesce("__parts", F.lit(1)).cast("long"))).drop("__parts")
+    parted = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(salt.cast("long"), F.coalesce("__parts", F.lit(1)).cast("long"))).drop("__parts")
     copies = F.sequence(F.lit(0).cast("long"), F.ceil(F.greatest(F.col(many), F.lit(1)) / share).cast("long") - 1)
     spread = table.withColumn("__salt", F.explode(F.when(F.col(many) > share, copies).otherwise(F.array(F.lit(0).cast("long")))))
     return parted.join(spread, [*keys, "__salt"]).drop("__salt")

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from areaweave.llm import _hash, jaccard, phrases, suffixes
 
@@ -193,3 +194,40 @@ def test_gatherings_of_hubs(spark):
     df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "u binary, v binary")
     got = {bytes(r["node"]): bytes(r["root"]) for r in jaccard.gatherings(df).collect()}
     assert got == {name(k): name(root) for k, root in whole.items() if k != root}
+
+
+def test_a_context_in_every_block_is_dealt_to_many_tasks(spark):
+    """One context in 5,000 blocks: hot keys are broadcast, and no join moves its rows by the bare key."""
+    from areaweave.llm import _anchored, _common
+
+    schema = "g long, c1 long, c2 long, block long, rel int, span int, n int, at array<int>"
+    rows = [(7, 1, 2, b, 0, 3, 1, [0]) for b in range(5000)] + [(7, 3, 4, b, 0, 3, 1, [0]) for b in range(40)] + [(9, 5, 6, 1, 0, 3, 1, [0]), (9, 5, 6, 2, 0, 3, 2, [0, 9]), (8, 1, 1, 3, 0, 3, 1, [0])]
+    known = _anchored.known_contexts(spark.createDataFrame(rows, schema).repartition(4))
+    got = {(r["g"], r["block"]): (r["whole"], r["stands"]) for r in known.where("g = 9 or span = 3").collect() if r["g"] == 9}
+    assert got == {(9, 1): (True, False), (9, 2): (True, False)}
+    assert known.where("whole").count() == 5042 and known.where("stands").count() == 2
+
+    table = spark.createDataFrame([(k, 5000 if k == 0 else 1) for k in range(50)], "k int, many long")
+    left = spark.createDataFrame([(0, i) for i in range(5000)] + [(k, k) for k in range(1, 50)] + [(99, 0)], "k int, i int")
+    joined = _common.salted_join(left, table, ["k"], "many", F.col("i"))
+    assert joined.count() == 5049 and joined.where("k = 0").count() == 5000
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
+    try:
+        plan = _common.salted_join(left, table, ["k"], "many", F.col("i"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    exchanges = [x for x in plan.splitlines() if "hashpartitioning" in x]
+    assert exchanges and all("__salt" in x for x in exchanges)
+    # a smaller share of all rows than one in hot_keys is not hot
+    assert _common.salted_join(left, table, ["k"], "many", F.col("i"), share=1, hot_keys=10).count() == 5049
+
+
+def test_keep_one_of_equal_rows_is_told(spark):
+    from areaweave.llm import jaccard
+
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "fr", "b", 5, {"x": 1}), (1, text, None, "b", 5, {"x": 2}), (1, text, "en", "a", 5, {"x": 3}), (2, text, "aa", "a", 5, {"x": 4}), (3, "", "en", "a", 0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra map<string,int>").repartition(3)
+    got = sorted((r["doc_id"], r["lang"], r["source"], r["extra"]) for r in jaccard.keep_one(df).collect())
+    assert got == [(1, None, "b", {"x": 2}), (3, "en", "a", None)]
