@@ -416,7 +416,8 @@ def join(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row of each class, with all its columns: that of least id (null ids last), then text; blank rows all stay.
 
-    A row is told by its id and its text, so texts that share an id are told apart, and of rows that share both one stays.
+    A row is told by its id and its text, so texts that share an id are told apart. Of rows that share both, the one whose
+    other columns (those that can be ordered) come first stays, nulls before all.
     """
     found = classes(docs, id_col, text_col, threshold, trees, depth, recall, block)
     heads = found.where("node is not null").select("head.*").distinct()
@@ -425,5 +426,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     blank = ~text.rlike(r"[^\x20\x09-\x0D]")
     own = docs.where(~blank).withColumn("__lacks", F.col(f"`{id_col}`").isNull()).withColumn("__id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0))).withColumn("__key", F.xxhash64(text))
     keys = ["__lacks", "__id", "__key"]
-    kept = own.hint("merge").join(heads, keys, "left_semi").dropDuplicates(keys)
-    return docs.where(blank).unionByName(kept.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    rest = [c for c in docs.columns if c != text_col]
+    plain = [c for c, kind in docs.dtypes if c != text_col and not kind.startswith(("map", "variant"))]
+    least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*[F.col(f"`{c}`") for c in plain])).alias("__row")
+    kept = own.hint("merge").join(heads, keys, "left_semi").groupBy(*keys).agg(F.first(f"`{text_col}`").alias("__text"), least)
+    kept = kept.select(*[F.col("__text").alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns])
+    return docs.where(blank).unionByName(kept)
