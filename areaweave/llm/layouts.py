@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages whose words fill the layouts, at most, and characters of each.
+#: Pages whose words fill the layouts, about, and characters of each.
 SAMPLE, SAMPLE_CHARS = 200, 4000
 
 # What parts of pages are usually called, and what stands in them.
@@ -142,13 +142,17 @@ class Maker:
 
 
 def words_of(pages: DataFrame, html_col: str = "html") -> list[str]:
-    """Words for the layouts: of at most `SAMPLE` pages, the ones of least hash, and of `SAMPLE_CHARS` characters of each.
+    """Words for the layouts: of about `SAMPLE` different pages, picked by hash, and of `SAMPLE_CHARS` characters of each.
 
-    The sample bounds what the driver takes; nothing else is learnt from it than how words and sentences look.
+    The sample bounds what the driver takes (at most twice `SAMPLE` starts of pages, whatever the table's size); nothing
+    else is learnt from it than how words and sentences look.
     """
-    text = F.substring(F.regexp_replace(F.regexp_replace(F.col(f"`{html_col}`"), r"(?s)<(script|style|head)\b.*?</\1>", " "), r"(?s)<[^>]*>", " "), 1, SAMPLE_CHARS)
-    rows = pages.where(F.col(f"`{html_col}`").isNotNull()).select(F.xxhash64(F.col(f"`{html_col}`")).alias("h"), F.col(f"`{html_col}`")).orderBy("h").limit(SAMPLE).select(text.alias("t")).collect()
-    return [w for r in rows for w in r["t"].replace("&", " ").split()]
+    html = F.col(f"`{html_col}`")
+    text = F.substring(F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style|head)\b.*?</\1>", " "), r"(?s)<[^>]*>", " "), 1, SAMPLE_CHARS)
+    share = min(1.0, SAMPLE / max(1, pages.count()))
+    picked = pages.where(html.isNotNull()).withColumn("h", F.xxhash64(html)).where(F.pmod("h", F.lit(1 << 20)) / float(1 << 20) < share)
+    rows = picked.groupBy("h").agg(F.first(text).alias("t")).limit(2 * SAMPLE).collect()
+    return [w for r in sorted(rows, key=lambda r: r["h"]) for w in r["t"].replace("&", " ").split()]
 
 
 def labelled_pages(words: list[str], n: int = 600, seed: int = 13) -> list[str]:
