@@ -25,9 +25,9 @@ from areaweave.operators.enrich import missing_keys
 from areaweave.operators.spatial import areas, planar
 from areaweave.plans.registry import DATASETS, Registry
 from areaweave.sources import census, datasets
-from areaweave.sources.editions import PARENT_SA4, edition, lga_edition
+from areaweave.sources.editions import PARENT_SA4, Edition, edition, lga_edition
 from areaweave.sources.files import boundary_file, folders, listed, mesh_block_file, read_bytes, read_csv, stored, workbook
-from areaweave.sources.sidecars import kept, kept_files, read_weights, release_path, write_weights
+from areaweave.sources.sidecars import fresh, kept, kept_files, read_weights, release_path, write_weights
 
 
 @dataclass
@@ -45,11 +45,25 @@ class Store:
     descriptor: str = "short-header"
     region: str = "AUS"
     refresh: bool = False
+    #: Stores to read boundaries, data packs and council boundaries from, in place of the folder; what is kept stays in the folder.
+    boundaries_base: str | None = None
+    census_base: str | None = None
+    lga_base: str | None = None
+
+    def boundary_source(self, e: Edition) -> str:
+        """Where the file of an edition lies."""
+        return f"{self.boundaries_base.rstrip('/')}/{e.file}" if self.boundaries_base else f"{self.root}/boundaries/{e.year}/{e.file}"
+
+    def lga_source(self, e: Edition) -> str:
+        return f"{(self.lga_base or self.root + '/lga').rstrip('/')}/{e.file}"
+
+    def census_folder(self, year: int) -> str:
+        return f"{(self.census_base or self.root + '/census').rstrip('/')}/{year}"
 
     def boundary_table(self, year: int, datum: str | None = None) -> DataFrame:
         """``code, name, rings, attributes`` of an edition, kept as parquet."""
         e = edition(year, datum or ("GDA94" if year < 2021 else self.datum))
-        source = f"{self.root}/boundaries/{year}/{e.file}"
+        source = self.boundary_source(e)
         return kept(self.spark, f"{self.root}/sidecars/boundaries/{e.file}", lambda: boundary_file(self.spark, source, e.code, e.name), self.refresh, [source])
 
     @cached_property
@@ -59,7 +73,7 @@ class Store:
     @cached_property
     def lga(self) -> DataFrame:
         e = lga_edition(self.lga_year)
-        source = f"{self.root}/lga/{e.file}"
+        source = self.lga_source(e)
         return kept(self.spark, f"{self.root}/sidecars/boundaries/{e.file}", lambda: boundary_file(self.spark, source, e.code, e.name), self.refresh, [source])
 
     @cached_property
@@ -83,7 +97,7 @@ class Store:
         """Area weights between councils and the areas of the edition, in the equal-area plane, kept."""
         e, g = edition(self.year, "GDA94" if self.year < 2021 else self.datum), lga_edition(self.lga_year)
         path = f"{self.root}/sidecars/correspondence/sa2_{self.year}_lga_{g.year}"
-        sources = [f"{self.root}/boundaries/{self.year}/{e.file}", f"{self.root}/lga/{g.file}"]
+        sources = [self.boundary_source(e), self.lga_source(g)]
         kept_files(self.spark, path, lambda at: write_weights(downscale.correspondence(planar(self.sa2), planar(self.lga), self.cell), at, e.code, g.code), sources, self.refresh)
         return read_weights(self.spark, path)[0]
 
@@ -98,10 +112,7 @@ class Store:
         if found := [p for p in listed(self.spark, self.root, ".csv") if p.endswith("/short_codes.csv")]:
             return read_csv(self.spark, found[0], infer=False).select("short", "sa2_code")
         old = self.boundary_table(2016) if stored(self.spark, f"{self.root}/boundaries/2016") else self.sa2
-        named = F.map_filter("attributes", lambda k, v: F.upper(k).rlike("^SA2_5DIG"))
-        short = F.coalesce(F.get(F.map_values(named), F.lit(0)), F.concat(F.substring("code", 1, 1), F.substring("code", 6, 4)))
-        pairs = old.where(F.length("code") == 9).select(short.alias("short"), F.col("code").alias("sa2_code"))
-        return pairs.groupBy("short").agg(F.min("sa2_code").alias("sa2_code"), F.count("*").alias("n")).where("n = 1").drop("n")
+        return datasets.code_map(old)
 
     def files(self, dataset: str, release: str) -> list[str]:
         found = listed(self.spark, f"{self.root}/datasets/{dataset}/{release}")
@@ -111,7 +122,7 @@ class Store:
 
     def archive(self, year: int) -> str:
         """The data pack of a year: a file of one's own, or the staged one that fits kind of headers and region."""
-        folder = f"{self.root}/census/{year}"
+        folder = self.census_folder(year)
         # packs of 2016 have short headers only
         kind = "short-header" if year == 2016 else self.descriptor
         staged = listed(self.spark, folder, ".zip")
@@ -125,7 +136,7 @@ class Store:
 
     def datapack(self, year: int) -> dict[str, Callable[[], DataFrame]]:
         """Tables of a data pack by id: scans of extracted files, or of what is kept of the archive's members."""
-        if extracted := {t: p for p in listed(self.spark, f"{self.root}/census/{year}", ".csv") if (t := census.table_of(p))}:
+        if extracted := {t: p for p in listed(self.spark, self.census_folder(year), ".csv") if (t := census.table_of(p))}:
             return {t: lambda p=p: census.table_file(self.spark, p) for t, p in extracted.items()}
         path = self.archive(year)
         folder = kept_files(self.spark, f"{self.root}/sidecars/census/{year}/{path.rsplit('/', 1)[-1]}", lambda at: census.extract(self.spark, path, at), [path], self.refresh)
@@ -133,7 +144,7 @@ class Store:
 
     def catalogue(self, year: int) -> DataFrame | None:
         """``table_id, pos, code, description, table_name`` of a data pack, kept; None if no workbook describes it."""
-        books = [p for p in listed(self.spark, f"{self.root}/census/{year}", ".xlsx") if census.METADATA.search(p.rsplit("/", 1)[-1])]
+        books = [p for p in listed(self.spark, self.census_folder(year), ".xlsx") if census.METADATA.search(p.rsplit("/", 1)[-1])]
         try:
             path = books[0] if books else self.archive(year)
         except FileNotFoundError:
@@ -231,15 +242,28 @@ class DatasetLoader:
         here = set(folders(self.store.spark, f"{self.store.root}/datasets/{self.dataset}"))
         return max([r for r in self.releases if r in here] or self.releases)
 
+    def resolved_release(self, release: str | None = None) -> str:
+        """The release that a request means."""
+        return self.latest() if release in (None, "latest") else release
+
+    def sources(self, release: str) -> list[str]:
+        """The files that a release is parsed from."""
+        s = self.store
+        maps = [p for p in listed(s.spark, s.root, ".csv") if self.dataset == "dss_payments" and p.endswith("/short_codes.csv")]
+        return listed(s.spark, f"{s.root}/datasets/{self.dataset}/{release}") + maps
+
+    def is_cached(self, release: str | None = None) -> bool:
+        """Whether a release is kept, and of the files that are there now."""
+        release = self.resolved_release(release)
+        return fresh(self.store.spark, release_path(self.store.root, self.dataset, release), self.sources(release))
+
     def parsed(self, release: str) -> DataFrame:
         """The table as published, kept beside its files and made anew when these change."""
         s = self.store
-        here = f"{s.root}/datasets/{self.dataset}/{release}"
-        files = listed(s.spark, here) + [p for p in listed(s.spark, s.root, "/short_codes.csv") if self.dataset == "dss_payments"]
-        return kept(s.spark, release_path(s.root, self.dataset, release), lambda: PARSERS[self.dataset](s, self.dataset, release), s.refresh, files)
+        return kept(s.spark, release_path(s.root, self.dataset, release), lambda: PARSERS[self.dataset](s, self.dataset, release), s.refresh, self.sources(release))
 
     def __call__(self, spark: SparkSession, release: str | None = None) -> DataFrame:
-        release = release or self.latest()
+        release = self.resolved_release(release)
         made = attach(self.store, self.dataset, self.level, self.parsed(release))
         return made.withColumn("reference_financial_year", F.lit(release)) if self.level == "LGA" else made
 

@@ -500,9 +500,10 @@ _RESOURCE = "CASE WHEN event_id%5=0 THEN 'notes' ELSE 'Payments '||strftime(ts +
 SELECT release, name, 'u'||event_id AS url, lpad(CAST(event_id AS VARCHAR), 9, '0') AS last_modified FROM q ORDER BY release DESC, event_id DESC LIMIT 1""")
 def json_resource_latest(spark, sf):
     month = F.date_format(F.col("ts") + F.expr("INTERVAL 60 DAY"), "MMMM yyyy")
-    e = _t(spark, sf, "events").select(F.when(F.col("event_id") % 5 == 0, "notes").otherwise(F.concat(F.lit("Payments "), month)).alias("name"), F.concat(F.lit("u"), F.col("event_id")).alias("url"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("last_modified"))
-    answer = e.agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct("name", "url", "last_modified")).alias("resources")).alias("result"))).alias("j"))
-    return latest_resource(answer, "j").select("release", "name", "url", "last_modified")
+    e = _t(spark, sf, "events").select(F.struct("user_id", F.to_date("ts")).alias("page"), F.when(F.col("event_id") % 5 == 0, "notes").otherwise(F.concat(F.lit("Payments "), month)).alias("name"), F.concat(F.lit("u"), F.col("event_id")).alias("url"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("last_modified"))
+    # an answer for each page of resources, here of each user and day
+    pages = e.groupBy("page").agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct("name", "url", "last_modified")).alias("resources")).alias("result"))).alias("j"))
+    return latest_resource(pages, "j").select("release", "name", "url", "last_modified")
 
 
-from areaweave.plans import function_queries, run_queries  # noqa: E402, F401  they register their queries here
+from areaweave.plans import function_queries, run_queries, source_queries  # noqa: E402, F401  they register their queries here

@@ -101,9 +101,34 @@ def address_by_release(spark, sf):
 _QUARTER = [release(f"{y}-Q{q}", "quarter_ending") for y in range(1996, 2001) for q in range(1, 5)]
 
 
-@query(f"WITH {_windows_sql(_QUARTER)} SELECT release, CAST(mid AS DATE) AS middle FROM w")
+@query(f"WITH {_windows_sql(_QUARTER)} SELECT o_orderkey, release, CAST(mid AS DATE) AS middle FROM orders JOIN w ON release=year(o_orderdate)||'-Q'||quarter(o_orderdate)")
 def release_midpoints(spark, sf):
+    """The middle of the quarter that each order lies in."""
     from areaweave.functions.temporal import midpoint
     from areaweave.operators.asof import releases_table
 
-    return releases_table(spark, _QUARTER).select("release", midpoint(F.col("start"), F.col("end")).alias("middle"))
+    middles = releases_table(spark, _QUARTER).select("release", midpoint(F.col("start"), F.col("end")).alias("middle"))
+    orders = _t(spark, sf, "orders").select("o_orderkey", F.concat(F.year("o_orderdate").cast("string"), F.lit("-Q"), F.quarter("o_orderdate").cast("string")).alias("release"))
+    return orders.join(middles, "release").select("o_orderkey", "release", "middle")
+
+
+@query(f"""WITH {_EDGES}, {_hits_sql('SELECT o_orderkey AS id, ' + _xy_sql('o_orderkey') + ' FROM orders')}, {_windows_sql(_YEARS)},
+whole AS (SELECT id, 'E2-'||k AS code2 FROM points JOIN tiles ON x>x0 AND x<x0+20 AND y>y0 AND y<y0+20),
+o AS (SELECT o_orderkey, area_code, code2, coalesce((SELECT arg_max(release, start_) FROM w WHERE start_<=CAST(o_orderdate AS DATE)), '1996') AS release FROM orders LEFT JOIN hits ON hits.id=o_orderkey LEFT JOIN whole ON whole.id=o_orderkey),
+s AS (SELECT *, CASE WHEN release<='1998' THEN code2 ELSE area_code END AS source FROM o), v AS (SELECT *, CAST(replace(source, 'E2-', '') AS INTEGER) AS k FROM s)
+SELECT o_orderkey, area_code AS sa2_code, release AS yearly_release, source AS yearly_sa2_code_source, CASE WHEN k%5<>3 THEN CAST(k+CAST(release AS INTEGER) AS BIGINT) END AS sa2_value FROM v""")
+def run_dated_points_two_editions(spark, sf):
+    """Dated rows; releases up to 1998 are joined on the codes of older, simpler outlines."""
+    x, y = _xy("o_orderkey")
+    rows = _t(spark, sf, "orders").select("o_orderkey", x.alias("lon"), y.alias("lat"), F.to_date("o_orderdate").alias("day"))
+    n = _t(spark, sf, "nation")
+    west, south = (F.col("n_nationkey") % 5) * 20.0, F.floor(F.col("n_nationkey") / 5) * 20.0
+    p = lambda dx, dy: F.struct((west + dx).alias("x"), (south + dy).alias("y"))
+    old = n.select(F.concat(F.lit("E2-"), F.col("n_nationkey")).alias("code"), F.col("n_name").alias("name"), F.array(F.array(p(0.0, 0.0), p(20.0, 0.0), p(20.0, 20.0), p(0.0, 20.0))).alias("rings"))
+    out = Registry()
+    out.register_spec(DatasetSpec("yearly", "YEARLY", "financial_year_ending", tuple(r.id for r in _YEARS), {r.id: 2 if r.id <= "1998" else 3 for r in _YEARS}))
+    code = lambda r: F.concat(F.lit("E2-"), F.col("n_nationkey")) if r <= "1998" else _padded("n_nationkey")
+    out.register_loader("yearly", lambda s, r: n.where("n_nationkey % 5 <> 3").select(code(r).alias("sa2_code"), (F.col("n_nationkey") + int(r)).cast("long").alias("value")))
+    config = Config(input={"latitude_column": "lat", "longitude_column": "lon", "date_column": "day"}, variables={"value": "YEARLY.value"}, temporal={"out_of_range": "nearest"})
+    made = Pipeline(spark, config, Sources({3: _tiles(spark, sf), 2: old}, out), CELL).augment(rows).df
+    return made.select("o_orderkey", "sa2_code", "yearly_release", "yearly_sa2_code_source", "sa2_value")

@@ -12,7 +12,7 @@ from areaweave.plans.config import Config
 from areaweave.plans.loaders import Store, registry_of
 from areaweave.plans.pipeline import Sources
 from areaweave.sources import corpus
-from areaweave.sources.editions import YEARS
+from areaweave.sources.editions import YEARS, edition
 from areaweave.sources.files import stored
 
 
@@ -62,12 +62,12 @@ def providers_of(spark: SparkSession, config: Config, root: str, cache: str | No
 
 def sources_of(spark: SparkSession, config: Config, root: str, cache: str | None = None, fetch=None, ask=None, askers: int = 1) -> Sources:
     """Boundaries, datasets, geocoders and mesh blocks of a run; only what the configuration asks for is looked up."""
-    c = config.census
-    store = Store(spark, root.rstrip("/"), c.year, c.datum, descriptor=c.descriptor, region=c.region, local_zip=os.environ.get(LOCAL_ZIP))
+    c, d = config.census, config.data_sources
+    store = Store(spark, root.rstrip("/"), c.year, c.datum, descriptor=c.descriptor, region=c.region, local_zip=os.environ.get(LOCAL_ZIP), boundaries_base=d.boundaries_base_url or None, census_base=d.datapacks_base_url or None, lga_base=d.lga_base_url or None)
     boundaries = {c.asgs_edition: store.sa2}
     if config.input.date_column:
         for year, n in YEARS.items():
-            if n not in boundaries and stored(spark, f"{store.root}/boundaries/{year}"):
+            if n not in boundaries and stored(spark, store.boundary_source(edition(year, "GDA94" if year < 2021 else c.datum))):
                 boundaries[n] = store.boundary_table(year)
     given, releases = providers_of(spark, config, store.root, cache, fetch, config.input.date_column is not None, ask, askers) if config.input.address_column else ([], [])
     return Sources(boundaries, registry_of(store), given, store.mesh if config.input.address_column else None, corpus_releases=releases)

@@ -139,6 +139,24 @@ def with_density(df: DataFrame, areas: DataFrame) -> DataFrame:
 # -- payments, income, businesses -------------------------------------------------------------------------------------
 
 
+def code_map(boundaries: DataFrame) -> DataFrame:
+    """``short, sa2_code``: five-digit codes of the areas with their nine-digit ones, from the boundaries' attributes.
+
+    A boundary file may have the short code as a column; else it is the digit of the state and the last four of the code.
+    A short code that two areas share stands for neither.
+    """
+    named = F.map_filter("attributes", lambda k, v: F.upper(k).rlike("^SA2_5DIG"))
+    short = F.coalesce(F.get(F.map_values(named), F.lit(0)), F.concat(F.substring("code", 1, 1), F.substring("code", 6, 4)))
+    pairs = boundaries.where(F.length("code") == 9).select(short.alias("short"), F.col("code").alias("sa2_code")).distinct()
+    return pairs.groupBy("short").agg(F.min("sa2_code").alias("sa2_code"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+def long_codes(df: DataFrame, short_codes: DataFrame, name: str = "sa2_code") -> DataFrame:
+    """The table with nine-digit codes in place of the five-digit ones that are known."""
+    known = short_codes.select(F.col("short").alias("__short"), F.col("sa2_code").alias("__long"))
+    return df.join(known, F.col(name) == F.col("__short"), "left").withColumn(name, F.coalesce("__long", name)).drop("__short", "__long")
+
+
 def dss(spark: SparkSession, sheets: dict[str, Grid], quarter: str, short_codes: DataFrame | None = None) -> DataFrame:
     """Recipients by payment. Codes of five digits are turned to nine by ``short_codes (short, sa2_code)``; unknown ones go."""
     grid = _sheet(sheets, "SA2")
@@ -147,8 +165,9 @@ def dss(spark: SparkSession, sheets: dict[str, Grid], quarter: str, short_codes:
     names = [r[0] for r in spark.createDataFrame([(v,) for _, v in labels], "v string").select(recipients_column(F.col("v"))).collect()]
     df = grid_frame(spark, grid, ["sa2_code", *names], head + 1, [0, *[i for i, _ in labels]]).withColumn("sa2_code", area_code(F.col("sa2_code")))
     if short_codes is not None:
-        known = short_codes.select(F.col("short").alias("__short"), F.col("sa2_code").alias("__long"))
-        df = df.join(known, F.col("sa2_code") == F.col("__short"), "left").withColumn("sa2_code", F.coalesce("__long", "sa2_code")).drop("__short", "__long")
+        df = long_codes(df, short_codes)
+        if unknown := df.where(is_code(F.col("sa2_code"), 5)).count():
+            log.warning("payments of %s: %s five-digit codes have no area and are left out", quarter, unknown)
     df = _coded(df)
     plain = typed(df, names, "dss", "long")
     return df.select("sa2_code", *[plain[n].alias(n) for n in names], F.lit(quarter).alias("release_quarter"))
@@ -323,6 +342,23 @@ HEALTH = {
 }
 
 
+def all_equal(df: DataFrame, wanted: dict[str, Column]) -> DataFrame:
+    """The rows that meet all conditions (by the column they are about), counted in one pass.
+
+    If none is left, an error tells which column leaves nothing and what values it has.
+    """
+    both, steps = F.lit(True), {}
+    for column, test in wanted.items():
+        both = both & F.coalesce(test, F.lit(False))
+        steps[column] = both
+    if steps:
+        left = df.agg(*[F.count_if(t).alias(f"c{k}") for k, t in enumerate(steps.values())]).first()
+        for k, column in enumerate(steps):
+            if not left[f"c{k}"]:
+                raise ValueError(f"no rows with the {column} that is asked for; there are {[r[0] for r in df.select(F.col(f'`{column}`')).distinct().limit(10).collect()]}")
+    return df.where(both)
+
+
 def health(spark: SparkSession, archive: bytes, source: HealthSource, year: str) -> DataFrame:
     """``sa4_code`` and the measures of one financial year; a filter that leaves nothing tells what there is."""
     df = csv_frame(spark, zip_member(archive, source.members), source.encoding)
@@ -330,13 +366,13 @@ def health(spark: SparkSession, archive: bytes, source: HealthSource, year: str)
     if lacking := sorted(needed - set(df.columns)):
         raise LayoutError(f"the table lacks {lacking}")
     df = df.withColumns({c: plain_spaces(F.col(c)) for c in source.spaces})
-    for column, value in {**source.filters, **({source.year: year} if source.year else {})}.items():
-        want = plain_spaces(F.lit(value)) if column == source.year else F.lit(value)
-        own = plain_spaces(F.col(column)) if column == source.year else F.col(column)
-        left = df.where(own == want)
-        if not left.limit(1).count():
-            raise LayoutError(f"no rows with {column} = {value!r}; there are {[r[0] for r in df.select(column).distinct().limit(10).collect()]}")
-        df = left
+    wanted = {c: F.col(f"`{c}`") == F.lit(v) for c, v in source.filters.items()}
+    if source.year:
+        wanted[source.year] = plain_spaces(F.col(f"`{source.year}`")) == plain_spaces(F.lit(year))
+    try:
+        df = all_equal(df, wanted)
+    except ValueError as e:
+        raise LayoutError(str(e)) from e
     df = df.withColumn("sa4_code", without_prefix(F.col(source.code), source.prefix)).withColumn("__value", number(F.col(source.value), "aihw"))
     wide = first_values(df, "sa4_code", source.measure, "__value", source.measures, "line_no")
     wide = wide.withColumns({c: F.col(c).cast("long") for c in source.counts})

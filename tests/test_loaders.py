@@ -223,3 +223,33 @@ def test_command_line(spark, root, tmp_path, capsys):
     assert main(["run", c]) == 2 and main(["run", c, "--data-dir", root]) == 0
     said = capsys.readouterr().out
     assert "Boundaries: 2 areas" in said and "release 202405" in said and "Resolved release: 202405" in said and "Rows: 1" in said
+
+
+def test_filters_tell_what_leaves_nothing(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "x string, y int")
+    assert datasets.all_equal(df, {"x": F.col("x") == "a", "y": F.col("y") == 1}).count() == 1 and datasets.all_equal(df, {}).count() == 3
+    with pytest.raises(ValueError, match="the y that.*2"):
+        datasets.all_equal(df, {"x": F.col("x") == "a", "y": F.col("y") == 2})
+
+
+def test_stores_of_their_own_and_hooks(spark, root, tmp_path, monkeypatch):
+    """Boundaries, data packs and councils may lie in other stores; loaders tell what a request means and what is kept."""
+    import shutil
+
+    from areaweave.plans.wiring import sources_of
+
+    away, here = tmp_path / "away", tmp_path / "here"
+    here.mkdir()
+    shutil.copytree(f"{root}/boundaries/2021", away / "asgs")
+    shutil.copytree(f"{root}/census", away / "packs")
+    shutil.copytree(f"{root}/datasets/abs_personal_income", here / "datasets/abs_personal_income")
+    c = config(input={"latitude_column": "lat", "longitude_column": "lon"}, variables={"people": "G01.Tot_P_P"}, data_sources={"boundaries_base_url": f"{away}/asgs/", "datapacks_base_url": str(away / "packs")})
+    got = areaweave.Pipeline.from_config(spark, c, str(here)).augment(spark.createDataFrame([(-33.9, 150.2)], "lat double, lon double")).df.first()
+    assert (got["sa2_code"], got["sa2_people"]) == (CODE, 10.0) and (here / "sidecars/boundaries").exists()
+    loader = sources_of(spark, c, str(here)).registry.loaders["abs_personal_income"]
+    assert loader.resolved_release("latest") == "2021-22" == loader.resolved_release() and not loader.is_cached()
+    loader(spark).count()
+    assert loader.is_cached() and loader.is_cached("2021-22") and not loader.is_cached("2020-21")
+    monkeypatch.setenv("AREAWEAVE_DATAPACK_ZIP", str(tmp_path / "mine.zip"))
+    (tmp_path / "mine.zip").write_bytes(zipped(**{"2021Census_G01_AUS_SA2.csv": f"SA2_CODE_2021,Tot_P_P\n{CODE},99\n"}))
+    assert sources_of(spark, c, str(here)).registry.load(spark, "gcp", None, ["G01.Tot_P_P"]).first()["G01.Tot_P_P"] == 99.0
