@@ -10,7 +10,8 @@ of ``ARITY ** LEVELS`` ranks are the unit of work. On the way up, each block is
 stack and the nodes are the leaves of the next round, 256 times fewer. On the way down, a block meets the path of its node, walks
 its leaves in order and puts the block's part before the part that all its leaves share. The walk is a scheduled
 traversal: each level holds the run of nodes that the current leaf is in, and a stack that builds the next run by one leaf
-a step, so a path is there when its leaf comes up and memory is ``2 * ARITY * LEVELS`` digests. Everything is written
+a step, so a path is there when its leaf comes up and, beside the block's own leaves, no more than ``2 * ARITY * LEVELS``
+digests are held. Everything is written
 between rounds, so a lost executor reads again and ranks don't change.
 
 Defined cases: a null value counts as ``-``; a null group is a group of its own and comes first; rows of equal order
