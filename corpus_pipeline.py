@@ -15,13 +15,13 @@ from areaweave.llm.queries import tokenizer_path
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of the best grade is a half or more."""
+    """Documents that the classifier keeps: those beyond the line at which the model with heavier rare grades is undecided."""
     model = quality.fit(docs, quality.grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return quality.score(docs, model, keep_col="__keep").where("__keep").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of the n-gram Jaccard join, that of least id."""
+    """One document of each class of the n-gram Jaccard join: that of least id, of equal ones the first by its other columns."""
     return jaccard.keep_one(docs)
 
 
