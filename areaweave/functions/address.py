@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from areaweave.functions.columns import once
+
 # Street-type abbreviations, further street types, and state names in the order they are replaced.
 STREET_ABBREVIATIONS = {
     "ST": "STREET", "AVE": "AVENUE", "AV": "AVENUE", "RD": "ROAD", "BLVD": "BOULEVARD", "BVD": "BOULEVARD",
@@ -85,8 +87,8 @@ def parsed_address(c: Column) -> Column:
 
 
 def parse_address(df: DataFrame, normalized: str, out: str = "parsed") -> DataFrame:
-    """Add the parts of a normalised address."""
-    return df.withColumn(out, parsed_address(F.col(normalized)))
+    """Add the parts of a normalised address, worked out once for each row."""
+    return df.withColumn(out, once(parsed_address(F.col(normalized))))
 
 
 def cache_key_text(c: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaweave.functions.address import cache_key, normalize_address, parse_address
+from areaweave.functions.columns import once
 from areaweave.functions.fuzzy import Labels
 from areaweave.sources.files import stored
 
@@ -305,7 +306,7 @@ def resolve(rows: DataFrame, address: str | None, lat: str | None, lon: str | No
     """
     own = F.lit(False) if lat is None else F.col(lat).isNotNull() & F.col(lon).isNotNull()
     text = normalize_address(F.col(address)) if address else F.lit("")
-    rows = rows.withColumn("__own", own).withColumn("norm", F.when(~F.col("__own"), text))
+    rows = rows.withColumn("__own", own).withColumn("norm", once(F.when(~F.col("__own"), text)))
     keys = ["norm"]
     if release:
         rows, keys = rows.withColumn("release", F.col(release)), ["norm", "release"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from areaweave.functions.address import cache_key, normalize_address, parse_address
 from areaweave.functions.coerce import number
+from areaweave.functions.columns import once
 from areaweave.functions.features import Expression, Feature, compiled
 from areaweave.functions.temporal import Release, month_quarter, release
 from areaweave.functions.text import is_code, recipients_column
@@ -353,7 +354,7 @@ def _raw(spark, sf):
 
 
 def _norms(spark, sf):
-    return _raw(spark, sf).withColumn("norm", normalize_address(F.col("raw")))
+    return _raw(spark, sf).withColumn("norm", once(normalize_address(F.col("raw"))))
 
 
 @query(f"WITH {_ADDRESSES} SELECT o_orderkey, norm FROM addr")

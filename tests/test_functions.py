@@ -187,3 +187,15 @@ def test_paced_requests():
     paced = Paced(ask, 1.0, wait=wait, clock=lambda: now[0])
     assert list(paced(iter("abcdef"))) == [(1.5, 2.0), (3.0, 4.0), None, None, None, None]
     assert asked == list("a" + "bbb" + "c" + "d" + "eeee" + "f") and 7 in waits and 2 in waits and max(waits) == 7
+
+
+def test_costly_columns_are_worked_out_once(spark):
+    """Filters on a normalised or parsed address stay above it, so its expression stands once in the plan."""
+    from areaweave.functions.address import normalize_address, parse_address
+    from areaweave.functions.columns import once
+
+    df = spark.createDataFrame([("1 George St, Sydney NSW 2000",), (None,), ("",)], "a string").withColumn("norm", once(normalize_address(F.col("a"))))
+    rows = parse_address(df.where("norm <> ''"), "norm").where("parsed.postcode is not null and parsed.street_number is not null")
+    assert [r["parsed"]["postcode"] for r in rows.collect()] == ["2000"] and df.count() == 3
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2 and plan.count("upper(") == 1
