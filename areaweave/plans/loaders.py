@@ -285,7 +285,8 @@ class DatasetLoader:
         reads = [spark.read.option("basePath", whole).schema("release string, " + _ddl(spark.read.parquet(release_path(self.store.root, self.dataset, r)))).parquet(release_path(self.store.root, self.dataset, r)) for r in there]
         alike = all(x.schema == reads[0].schema for x in reads)
         df = spark.read.option("basePath", whole).schema(reads[0].schema).parquet(*[release_path(self.store.root, self.dataset, r) for r in there]) if alike else _united(reads)
-        return attach(self.store, self.dataset, self.level, df, ("release",)), lacking
+        made = attach(self.store, self.dataset, self.level, df, ("release",))
+        return (made.withColumn("reference_financial_year", F.col("release")) if self.level == "LGA" else made), lacking
 
 
 def _ddl(df: DataFrame) -> str:

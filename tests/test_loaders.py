@@ -150,6 +150,14 @@ def test_releases_are_pruned_when_the_query_runs(spark, root):
     r = registry_of(Store(spark, root))
     df, lacking = r.load_releases(spark, "seifa", ["2011", "2016", "2021"])
     assert lacking == ["2011"] and {(x["release"], x["sa2_code"], x["irsd_score"]) for x in df.select("release", "sa2_code", "irsd_score").collect()} == {("2016", "111111111", 2018.0), ("2021", CODE, 2023.0)}
+    for i, level in (("abs_building_approvals_lga", "LGA"), ("aihw_mh_medicare", "SA4"), ("erp_by_sa2", "SA2")):
+        # all levels: the one table of several releases has the rows of each
+        spec = r.get(i)
+        whole, _ = r.load_releases(spark, i, list(spec.releases))
+        for release in {x["release"] for x in whole.select("release").distinct().collect()}:
+            one = r.load(spark, i, release)
+            want = {tuple(x) for x in one.where("sa2_code = '" + CODE + "'").select(*sorted(one.columns)).collect()}
+            assert {tuple(x) for x in whole.where((F.col("release") == release) & (F.col("sa2_code") == CODE)).select(*sorted(one.columns)).collect()} == want and len(want) == 1
     c = config(input={"latitude_column": "lat", "longitude_column": "lon", "date_column": "d"}, variables={"irsd": "SEIFA.irsd_score"})
     p = areaweave.Pipeline.from_config(spark, c, root)
     spec = p.sources.registry.get("seifa")
