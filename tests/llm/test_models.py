@@ -153,3 +153,44 @@ def test_language_sample_counts_copies_once_and_loses_none(spark):
     assert all(got[i] == x for i, (x, _) in enumerate(rows))
     once, _ = langid.fit(train.dropDuplicates(["text"]), pieces, max_docs_per_lang=5)
     assert once == langs and np.allclose(langid.fit(train.dropDuplicates(["text"]), pieces, max_docs_per_lang=5)[1], table)
+
+
+def test_ordinal_fit_is_a_minimum_of_the_written_out_likelihood():
+    """The penalised likelihood, written out row by row, is least at the fit; probabilities and expected grade follow from it."""
+    import math
+
+    rng = random.Random(8)
+    n, levels = 240, 3
+    rows = [np.array(sorted(rng.sample(range(12), rng.randint(1, 5)))) for _ in range(n)]
+    grade = np.array([min(2, max(0, int(sum({0: 1.5, 1: -1.5, 2: 0.7}.get(int(x), 0) for x in r) + rng.gauss(1, 0.8)))) for r in rows])
+    assert set(grade) == {0, 1, 2}
+    model = quality.Ordinal.fit(rows, grade, levels, rounds=3000, ridge=0.5, rate=0.02)
+    counts = [sum(g == k for g in grade) for k in range(levels)]
+    heavy = [1 / counts[g] ** 0.75 for g in grade]
+    heavy = [h * n / sum(heavy) for h in heavy]
+
+    def sigma(v):
+        return 1 / (1 + math.exp(-v))
+
+    def chances(weights, thresholds, row):
+        line = sum(float(weights[x]) for x in row)
+        below = [0.0, *(sigma(t - line) for t in thresholds), 1.0]
+        return [b - a for a, b in zip(below, below[1:])]
+
+    def cost(weights, thresholds):
+        return -sum(h * math.log(chances(weights, thresholds, r)[g]) for h, r, g in zip(heavy, rows, grade)) + 0.25 * sum(float(w) ** 2 for w in weights[:12])
+
+    best = cost(model.weights, model.thresholds)
+    assert list(model.thresholds) == sorted(model.thresholds) and best < cost(np.zeros(12), model.thresholds) - 10
+    for _ in range(60):
+        w, t = model.weights[:12].astype(float).copy(), model.thresholds.copy()
+        if rng.random() < 0.7:
+            w[rng.randrange(12)] += rng.choice([-0.1, 0.1])
+        else:
+            t[rng.randrange(2)] += rng.choice([-0.1, 0.1])
+        assert cost(w, t) > best - 1e-3
+    line = model.line(rows)
+    tails = model.tails(line)
+    for r, tail in zip(rows[:50], tails):
+        p = chances(model.weights, model.thresholds, r)
+        assert sum(p) == pytest.approx(1) and tail.tolist() == pytest.approx([p[1] + p[2], p[2]]) and tail.sum() == pytest.approx(p[1] + 2 * p[2])
