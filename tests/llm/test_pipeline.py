@@ -91,4 +91,4 @@ def test_run(spark, folder, rows):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in queries.queries()}
