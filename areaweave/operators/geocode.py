@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +47,8 @@ def _picked(df: DataFrame, keys: list[str], source: str, score: bool = False) ->
 def exact(addresses: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:
     """Labels equal to the normalised address; of several the least id."""
     on = (F.col("norm") == F.col("label")) & (F.col("release") == F.col("c_release") if "release" in keys else F.lit(True))
-    hits = addresses.join(_with_release(corpus, keys), on)
-    best = hits.groupBy(*keys).agg(F.min_by(F.struct("lat", "lon", "mb_code", "pid"), "pid").alias("b"))
+    hits = addresses.join(_labels(corpus, keys, []), on)
+    best = hits.groupBy(*keys).agg(F.min("least").alias("b"))
     return _picked(best.select(*keys, "b.*"), keys, "gnaf_exact")
 
 
@@ -72,13 +72,14 @@ def component(addresses: DataFrame, corpus: DataFrame, keys: list[str]) -> DataF
     wanted = F.concat_ws(" ", p["street_number"], p["street_name"], p["street_type"])
     rows = rows.select(*keys, p["postcode"].alias("__code"), wanted.alias("__wanted"), token.alias("__token")).distinct()
     # only labels of postcodes that are asked for are taken apart
-    near = _with_release(corpus, keys).join(rows.select(F.col("__code").alias("postcode")).distinct(), "postcode", "left_semi")
+    near = _labels(corpus, keys).join(rows.select(F.col("__code").alias("postcode")).distinct(), "postcode", "left_semi")
     words = F.split("label", " ")
     starts = F.transform(F.filter(words, lambda t: F.length(t) >= START), lambda t: F.concat(F.lit("^"), F.substring(t, 1, START)))
     by_token = near.withColumn("__of", F.explode(F.array_distinct(F.concat(words, starts, F.array(F.lit(""))))))
     on = (F.col("__code") == F.col("postcode")) & (F.col("__token") == F.col("__of")) & (F.col("release") == F.col("c_release") if "release" in keys else F.lit(True))
-    hits = rows.join(by_token, on).where(F.contains("label", F.col("__wanted")))
-    one = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.first(F.struct("lat", "lon", "mb_code", "pid")).alias("b")).where("n = 1")
+    # a label has many tokens, which its size as Spark estimates it knows nothing of: never broadcast
+    hits = rows.join(by_token.hint("merge"), on).where(F.contains("label", F.col("__wanted")))
+    one = hits.groupBy(*keys).agg(F.sum("held").alias("n"), F.first("least").alias("b")).where("n = 1")
     return _picked(one.select(*keys, "b.*"), keys, "gnaf_component")
 
 
@@ -89,7 +90,7 @@ ADDRESSES, LABELS = 2000, 20_000
 def fuzzy(addresses: DataFrame, corpus: DataFrame, keys: list[str], threshold: float = 0.85) -> DataFrame:
     """The most similar label of the postcode, or of labels that name the locality where there is no postcode.
 
-    In the second case labels are found by the first two words of the locality (the only one, if it has one), which a
+    Equal labels of a postcode are one, that of the least id. In the second case labels are found by the first two words of the locality (the only one, if it has one), which a
     label has to hold, so ``MOUNT`` alone leads nowhere. The labels of a key are dealt to shards of `LABELS` and its addresses
     to parts of `ADDRESSES`; a task has one of each, an inverted index of the shard's tokens bounds what its labels are
     worth (see `functions.fuzzy.Labels`), and the best of an address over all shards is merged. Pairs never become rows.
@@ -103,10 +104,10 @@ def fuzzy(addresses: DataFrame, corpus: DataFrame, keys: list[str], threshold: f
     couples = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
     named = F.transform(F.concat(words, couples), lambda t: F.concat(F.lit("L"), t))
     found_by = F.array_distinct(F.concat(F.array(F.concat(F.lit("P"), "postcode")), named))
-    labels = _with_release(corpus, keys).withColumn("__k", F.explode(found_by)).where("__k is not null")
+    labels = _labels(corpus, keys).withColumn("__k", F.explode(found_by)).where("__k is not null")
     labels = labels.withColumn("__k", F.concat_ws("|", "__k", *([F.col("c_release")] if release else [])))
     parts = rows.groupBy("__k").agg(F.ceil(F.count("*") / ADDRESSES).cast("int").alias("__parts"))
-    wanted = labels.join(parts, "__k").select("__k", "__parts", "pid", "label", "lat", "lon", "mb_code")
+    wanted = labels.hint("merge").join(parts, "__k").select("__k", "__parts", "label", "least.*")
     shards = wanted.groupBy("__k").agg(F.ceil(F.count("*") / LABELS).cast("int").alias("__shards"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = rows.join(parts, "__k").join(shards, "__k")
@@ -132,9 +133,15 @@ def fuzzy(addresses: DataFrame, corpus: DataFrame, keys: list[str], threshold: f
     return _picked(found.groupBy(*keys).agg(top.alias("b")).select(*keys, "b.*"), keys, "gnaf_fuzzy", score=True)
 
 
-def _with_release(corpus: DataFrame, keys: list[str]) -> DataFrame:
-    names = ["pid", "label", "lat", "lon", "mb_code", "postcode"]
-    return corpus.select(*names, *([F.col("release").alias("c_release")] if "release" in keys else []))
+def _labels(corpus: DataFrame, keys: list[str], apart: Sequence[str] = ("postcode",)) -> DataFrame:
+    """``label, held, least`` (and ``postcode``, ``c_release``): a row for each label, the rows that hold it, and that of the least id.
+
+    A corpus may hold a label any number of times, so nothing after this grows by copies; and its size is counted at
+    run time, where an estimate from the corpus's files takes computed labels for smaller than they are.
+    """
+    one = ["label", *apart, *([F.col("release").alias("c_release")] if "release" in keys else [])]
+    least = F.min(F.struct(F.col("pid").isNull().alias("none"), "pid", "lat", "lon", "mb_code")).alias("least")
+    return corpus.where(F.col("label").isNotNull()).groupBy(*one).agg(F.count("*").alias("held"), least)
 
 
 class CorpusProvider:
@@ -151,8 +158,7 @@ class CorpusProvider:
 
     def resolve(self, addresses: DataFrame) -> DataFrame:
         keys = self.keys
-        # one row for each label: of several the least id
-        by_label = _with_release(self.corpus, keys).groupBy("label", *(["c_release"] if "release" in keys else [])).agg(F.min_by(F.struct("lat", "lon", "mb_code", "pid"), "pid").alias("b"))
+        by_label = _labels(self.corpus, keys, []).where(~F.col("least.none")).withColumnRenamed("least", "b")
         on = (F.col("norm") == F.col("label")) & (F.col("release") == F.col("c_release") if "release" in keys else F.lit(True))
         rows = addresses.select(*keys).join(by_label, on, "left").select(*keys, "b")
         found = _picked(rows.where("b is not null").select(*keys, "b.*"), keys, "gnaf_exact")

@@ -341,7 +341,8 @@ def _corpus(spark, sf):
 
 
 def _raw(spark, sf):
-    o = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    # by its files customer looks small enough to broadcast, at any size the driver could not hold
+    o = _t(spark, sf, "orders").join(_t(spark, sf, "customer").hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
     n, seg, loc, code = (F.col("c_custkey") % 150 + 1).cast("string"), F.col("c_mktsegment"), F.concat(F.lit("N"), F.col("c_nationkey")), (F.col("c_nationkey") + 2000).cast("string")
     k = F.col("o_orderkey") % 4
     raw = (

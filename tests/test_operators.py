@@ -129,6 +129,19 @@ def test_fuzzy_shards_against_every_label(spark, monkeypatch, addresses, labels)
     assert got == want and len(want) > 10
 
 
+def test_taken_apart_labels_are_not_broadcast(spark):
+    """Labels by token outgrow what Spark takes them for, so no tier sends them through the driver."""
+    from areaweave.functions.address import parse_address
+
+    k = F.col("id")
+    label = F.concat_ws(" ", k.cast("string"), F.lit("GEORGE STREET SYDNEY NSW 2000"))
+    c = spark.range(20_000).select(k.cast("string").alias("pid"), label.alias("label"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon"), F.lit("M").alias("mb_code"), F.lit("2000").alias("postcode"))
+    rows = parse_address(spark.range(50_000).select(F.concat(k.cast("string"), F.lit(" GEORGE STREET SYDNEY NSW 2000")).alias("norm")), "norm")
+    for tier, name in ((geocode.component, "__of#"), (geocode.fuzzy, "least#")):
+        lines = tier(rows, c, ["norm"])._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert not [a for a, b in zip(lines, lines[1:]) if "BroadcastExchange" in a and name in b], tier
+
+
 @pytest.mark.parametrize("text", ["12 GEORGE", "2 GEORG", "2 PI", "2 PIT", "2 P", "2 X", "2 GEORGE STREET", "12 GEORGE STREET", "92 GEORGE"])
 def test_component_by_whole_and_started_tokens(spark, text):
     c = spark.createDataFrame([("P1", "112 GEORGE STREET SYDNEY NSW 2000", 1.0, 1.0, "M", "2000"), ("P2", "2 PITT STREET SYDNEY NSW 2000", 1.0, 1.0, "M", "2000"), ("P3", "2 GEORGE STREET PERTH WA 6000", 1.0, 1.0, "M", "6000"), ("P4", "92 GEORGE STREET SYDNEY NSW 2000", 1.0, 1.0, "M", "2000")], "pid string, label string, lat double, lon double, mb_code string, postcode string")
