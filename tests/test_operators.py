@@ -142,6 +142,20 @@ def test_taken_apart_labels_are_not_broadcast(spark):
         assert not [a for a, b in zip(lines, lines[1:]) if "BroadcastExchange" in a and name in b], tier
 
 
+def test_copies_of_labels_are_one(spark):
+    """Rows of an equal label are counted, and compared once: that of the least id; the component tier still sees several."""
+    from areaweave.functions.address import parse_address
+
+    rows = [(f"P{k:03}" if k else None, f"{k % 3 + 1} GEORGE STREET SYDNEY NSW 2000", float(k), 1.0, f"M{k}", "2000") for k in range(90)] + [("P100", "7 KING STREET SYDNEY NSW 2000", 100.0, 1.0, "M100", "2000")]
+    c = spark.createDataFrame(rows, "pid string, label string, lat double, lon double, mb_code string, postcode string")
+    got = {r["label"][0]: (r["held"], r["least"]["pid"], r["least"]["lat"]) for r in geocode._labels(c, ["norm"]).collect()}
+    assert got == {"1": (30, "P003", 3.0), "2": (30, "P001", 1.0), "3": (30, "P002", 2.0), "7": (1, "P100", 100.0)}
+    asked = parse_address(spark.createDataFrame([("1 GEORGE STREET SYDNEY NSW 2000",), ("7 KING STREET LEVEL 5 SYDNEY NSW 2000",), ("7 KINGX STREET SYDNEY NSW 2000",)], "norm string"), "norm")
+    assert {r["norm"]: r["pid"] for r in geocode.fuzzy(asked, c, ["norm"]).collect()} == {"1 GEORGE STREET SYDNEY NSW 2000": "P003", "7 KING STREET LEVEL 5 SYDNEY NSW 2000": "P100", "7 KINGX STREET SYDNEY NSW 2000": "P100"}
+    assert [r["pid"] for r in geocode.component(asked, c, ["norm"]).collect()] == ["P100"]
+    assert [(r["pid"], r["lat"]) for r in geocode.exact(asked, c, ["norm"]).collect()] == [("P003", 3.0)]
+
+
 @pytest.mark.parametrize("text", ["12 GEORGE", "2 GEORG", "2 PI", "2 PIT", "2 P", "2 X", "2 GEORGE STREET", "12 GEORGE STREET", "92 GEORGE"])
 def test_component_by_whole_and_started_tokens(spark, text):
     c = spark.createDataFrame([("P1", "112 GEORGE STREET SYDNEY NSW 2000", 1.0, 1.0, "M", "2000"), ("P2", "2 PITT STREET SYDNEY NSW 2000", 1.0, 1.0, "M", "2000"), ("P3", "2 GEORGE STREET PERTH WA 6000", 1.0, 1.0, "M", "6000"), ("P4", "92 GEORGE STREET SYDNEY NSW 2000", 1.0, 1.0, "M", "2000")], "pid string, label string, lat double, lon double, mb_code string, postcode string")
