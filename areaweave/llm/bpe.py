@@ -19,6 +19,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,10 +31,10 @@ from pyspark.sql import types as T
 
 from areaweave.llm._common import slices
 
-#: Words kept per Python worker before the cache starts anew.
+#: Words kept by a task before the cache starts anew.
 CACHE_WORDS = 300_000
-#: Bytes of text that are encoded at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are encoded at a time: a slice's words stand apart in memory, at many times their size.
+SLICE_BYTES = 1 << 19
 
 
 def _byte_alphabet() -> list[str]:
@@ -354,19 +355,29 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: l
     spec = spark.sparkContext.broadcast(_read(tokenizer_path))
     schema = T.StructType([*fields, T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.StringType())])
     rows = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    n = len(fields)
 
     def run(batches):
-        bpe = codec(spec.value)
+        yield from encoded(codec(spec.value), batches, [f.name for f in fields])
+
+    return rows.mapInArrow(run, schema)
+
+
+def encoded(bpe: WordBpe, batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of the columns ``names`` and a text to the same columns and the text's ``ids_le, decoded``.
+
+    A Python worker outlives its task and serves other stages after it, so what it has learnt of words goes with the
+    batches; the vocabulary stays.
+    """
+    n = len(names)
+    try:
         for whole in batches:
             for part in slices(whole, "__text", SLICE_BYTES):
                 ids, texts = bpe.encode_batch(part.column(n).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:n], pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
-                    names=[f.name for f in fields] + ["ids_le", "decoded"],
-                )
-
-    return rows.mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=[*names, "ids_le", "decoded"])
+                del ids, texts
+    finally:
+        bpe.fresh()
+        pa.default_memory_pool().release_unused()
 
 
 def ids_array(column: str = "ids_le"):

@@ -41,6 +41,21 @@ def test_bpe_columns_and_empty(docs, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_bpe_task_leaves_no_words_behind():
+    """A worker serves other stages after a task: it keeps the vocabulary alone, and the words of few texts stand in memory at once."""
+    import pyarrow as pa
+
+    b, seen = bpe.WordBpe(open(tokenizer_path("word_bpe_49k.json"), "rb").read()), []
+    whole, texts = b.encode_batch, [f"{k} " + " ".join(f"w{k}x{i}" for i in range(20_000)) for k in range(12)]
+    b.encode_batch = lambda part: (seen.append(sum(map(len, part))), whole(part))[1]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts)], names=["doc_id", "__text"])
+    got = [r for out in bpe.encoded(b, iter([batch]), ["doc_id"]) for r in out.to_pylist()]
+    assert [r["doc_id"] for r in got] == list(range(12)) and max(seen) < 1 << 20 < sum(seen)
+    assert not b.index and not b.compatible and not b.decoded and not len(b.flat)
+    ids, decoded = bpe.WordBpe.encode_batch(b, texts)
+    assert [r["ids_le"] for r in got] == ids and [r["decoded"] for r in got] == decoded
+
+
 def test_vectorised_merging_equals_scalar():
     b = bpe.WordBpe(open(tokenizer_path("word_bpe_49k.json"), "rb").read())
     rng = np.random.default_rng(2)
